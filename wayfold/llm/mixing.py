@@ -59,16 +59,18 @@ def _thresholds(light: DataFrame, sources: DataFrame) -> DataFrame:
             # the first bucket that does not fit whole; if all fit, a bucket after the last
             over = F.col("before") + F.col("words") > F.col("left")
             state = summed.groupBy("source").agg(
-                F.coalesce(F.min(F.when(over, F.struct("bucket", "before"))), F.max(F.struct(F.col("bucket") + 1, F.col("before") + F.col("words")))).alias("at"), F.first("left").alias("left")
+                F.coalesce(F.min(F.when(over, F.struct("bucket", "before"))), F.max(F.struct((F.col("bucket") + 1).alias("bucket"), (F.col("before") + F.col("words")).alias("before")))).alias("at"), F.first("left").alias("left")
             )
             state = state.select("source", F.col("at.bucket").alias("prefix"), (F.col("left") - F.col("at.before")).alias("left"), F.shiftleft("at.bucket", shift).alias("bound"))
         else:
             fits = 2 * F.col("before") + F.col("words") <= 2 * F.col("left")
             state = summed.groupBy("source").agg(F.max(F.when(fits, F.col("bucket") + 1)).alias("top"), F.first("bound").alias("bound"))
             state = state.select("source", F.greatest(F.coalesce("top", "bound"), "bound").alias("bound"))
-        lost = sources.select("source") if level == 0 else previous.select("source", F.col("bound").alias("kept"))
         if level:
-            state = lost.join(state, lost["source"].eqNullSafe(state["source"]), "left").select(lost["source"], *(F.coalesce(state[c], F.col("kept") if c == "bound" else F.lit(-1 if c == "prefix" else 0.0)).alias(c) for c in state.columns if c != "source"))
+            # a source without rows in its boundary bucket has fitted whole; its bound stands
+            old = previous.select(F.col("source").alias("s"), F.col("bound").alias("kept"))
+            last = {"bound": F.col("kept"), "prefix": F.lit(-1).cast("long"), "left": F.lit(0.0)}
+            state = old.join(state, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), *(F.coalesce(F.col(c), last[c]).alias(c) for c in state.columns if c != "source"))
         previous = state = materialize(state, f"mix-level{level}")
     return state
 
