@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, mixing, piece_codec
+from wayfold.llm import chat_format, exact_dedup, mixing, piece_codec, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.judged(docs, quality.fit(docs, labels))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_piece_codec": op3_piece_codec,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
 }
