@@ -17,7 +17,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -72,20 +72,22 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history_token
     """conv_id, window, n_context (repeated turns in front), tokens, over_budget, formatted, loss_spans array<struct<start,end>>."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.regexp_count(text, F.lit(TOKEN)) + TURN_OVERHEAD).cast("long").alias("tokens"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("t"))
-    sums = F.aggregate(
-        F.transform("t", lambda x: x["tokens"]),
-        F.struct(F.array().cast("array<bigint>").alias("a"), F.lit(0).cast("long").alias("s")),
-        lambda acc, n: F.struct(F.array_append(acc["a"], acc["s"]).alias("a"), (acc["s"] + n).alias("s")),
-        lambda acc: acc["a"],
-    )
-    turns = turns.withColumn("before", sums).withColumn("n", F.zip_with("t", "before", lambda x, b: F.struct(x["role"].alias("role"), x["tokens"].alias("tokens"), b.alias("before"))))
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tokens", "before"))).alias("t"))
+    turns = turns.withColumn("n", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["tokens"].alias("tokens"), x["before"].alias("before"))))
     marks = turns.select("conv_id", "t", _boundaries(F.col("n"), budget, history_tokens, history_turns).alias("w"))
-    one = marks.select("conv_id", "t", "w", F.posexplode("w").alias("window", "at"))
-    stop = F.coalesce(F.get("w", F.col("window") + 1)["first"], F.size("t") + 1)
-    system = (F.col("window") > 0) & (F.element_at("t", 1)["role"] == "system")
-    context = F.concat(F.when(system, F.slice("t", 1, 1)).otherwise(F.slice("t", 1, 0)), F.slice("t", F.col("at.back"), F.col("at.first") - F.col("at.back")))
-    window = one.select("conv_id", "window", context.alias("context"), F.slice("t", F.col("at.first"), stop - F.col("at.first")).alias("new"))
+    leads = F.element_at("t", 1)["role"] == "system"
+
+    def span(at: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("w", i + 1)["first"], F.size("t") + 1)
+        system = F.slice("t", 1, F.when((i > 0) & leads, 1).otherwise(0))
+        context = F.concat(system, F.slice("t", at["back"], at["first"] - at["back"]))
+        return F.struct(context.alias("context"), F.slice("t", at["first"], stop - at["first"]).alias("new"))
+
+    # (outer: else a filter on the size of the spans is inferred, which computes them again inside itself)
+    # the spans of a conversation hold each turn once and its repeats; only they are copied per window
+    window = marks.select("conv_id", F.transform("w", span).alias("s")).select("conv_id", F.posexplode_outer("s").alias("window", "s")).select("conv_id", "window", "s.context", "s.new")
     new = F.transform("new", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"), (x["role"] == "assistant").alias("loss")))
     old = F.transform("context", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"), F.lit(False).alias("loss")))
     pieces = F.transform(
