@@ -38,8 +38,9 @@ LENGTH, GRAM = 400, 64
 BITMAP_BITS, BITMAP_PARTS = 27, 64
 #: Pieces aimed at in one task of the column-wise stage; columns beyond so many bytes go through a file.
 GROUP_PIECES, MEMORY_BYTES = 20_000, 32 << 20
-#: Intervals (24 bytes each) up to which they are broadcast to the scan; beyond it the texts that lose bytes shuffle.
-BROADCAST_INTERVALS = 1_000_000
+#: Merged intervals (16 bytes each, and 40 for each document that has some) up to which they are broadcast to the scan;
+#: beyond it the texts shuffle once.
+BROADCAST_INTERVALS = 2_000_000
 #: Positions handled at once in one document.
 CHUNK = 1 << 22
 
@@ -241,6 +242,26 @@ def _compare(length: int, gram: int):
     return run
 
 
+def _merge_cuts(length: int):
+    """Intervals of starts of a document to those whose bytes do not meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cuts in batch.column(2).to_pylist():
+                merged: list[dict] = []
+                for c in sorted(cuts, key=lambda c: c["a"]):
+                    if merged and c["a"] <= merged[-1]["b"] + length - 1:
+                        merged[-1]["b"] = max(merged[-1]["b"], c["b"])
+                    else:
+                        merged.append(dict(c))
+                out.append(merged)
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "h", "cuts"])
+
+    return run
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -285,11 +306,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     dealt = bodies.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "key", "anchor", "offset", "n", "body")
     partial = dealt.groupBy("bucket").applyInArrow(_compare(length, gram), "key binary, a long, b long")
     whole = listed.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c > 1")
-    spans = whole.select("key", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).unionByName(partial.join(whole.select("key"), "key", "left_anti"))
+    spans = materialize(whole.select("key", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).unionByName(partial.join(whole.select("key"), "key", "left_anti")), "suffix-repeats")
     places = listed.select("doc_id", "h", "first", "key").join(spans, "key").select("doc_id", "h", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    places = materialize(places, "suffix-spans")
-    n = places.count()
-    cuts = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("cuts")).withColumnsRenamed({"doc_id": "d", "h": "g"})
+    cuts = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    cuts = materialize(cuts.mapInArrow(_merge_cuts(length), f"doc_id {kind}, h long, cuts array<struct<a:long,b:long>>"), "suffix-cuts")
+    n = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    cuts = cuts.withColumnsRenamed({"doc_id": "d", "h": "g"})
     cuts = F.broadcast(cuts) if n <= BROADCAST_INTERVALS else cuts
     joined = rows.join(cuts, rows["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     return joined.select("doc_id", "text", "cuts").mapInArrow(_cut(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
