@@ -16,10 +16,10 @@ a doc_id share a hash and are taken alike; the item at the boundary is taken if
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, text_of
+from wayfold.llm.common import materialize, sized_broadcast, text_of
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -75,28 +75,41 @@ def _thresholds(light: DataFrame, sources: DataFrame) -> DataFrame:
     return state
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
+def _hashed(docs: DataFrame) -> Column:
+    """60 bits of a row's hash, the same in every run."""
+    return F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def _copies(u: Column) -> Column:
+    return F.least(F.lit(MAX_REPEATS), F.col("whole") + F.when(u < F.col("bound"), 1).otherwise(0)).cast("long")
+
+
+def source_plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all rows, and one row per source: _source, source_size, target, whole, bound."""
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
-    u = F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    light = materialize(docs.select(docs["doc_id"], docs["source"], size.alias("size"), u.alias("u")), "mix-light")
+    light = materialize(docs.select(docs["doc_id"], docs["source"], size.alias("size"), _hashed(docs).alias("u")), "mix-light")
     sources = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = materialize(sources.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
     bounds = _thresholds(light, sources)
     plan = sources.alias("a").join(bounds.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", F.coalesce("b.bound", F.lit(0)).alias("bound"))
-    plan = materialize(plan.withColumnRenamed("source", "_source"), "mix-plan")
-    joined = light.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.least(F.lit(MAX_REPEATS), F.col("whole") + F.when(F.col("u") < F.col("bound"), 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    plan = materialize(plan.withColumnRenamed("source", "_source").drop("extra"), "mix-plan")
+    return light, sized_broadcast(plan, plan.count())
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
+    light, plan = source_plan(docs)
+    joined = light.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("u")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The mix: each row of ``docs`` as often as it is taken. Copies share their doc_id and text."""
-    size = F.regexp_count(text_of(docs), F.lit(WORD))
-    counts = materialize(mix(docs).groupBy("doc_id").agg(F.first("copies").alias("_copies")), "mix-copies")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["doc_id"])).drop(counts["doc_id"])
-    return joined.where(size >= 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).where("_copies > 0").drop("_copies", "_n")
+    """The mix: each row of ``docs`` as often as it is taken. Copies share their doc_id and text; texts do not shuffle."""
+    plan = source_plan(docs)[1].select(F.col("_source"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"))
+    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("_source")))
+    copies = F.least(F.lit(MAX_REPEATS), F.col("_whole") + F.when(_hashed(docs) < F.col("_bound"), 1).otherwise(0)).cast("int")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE_SQL = r"""

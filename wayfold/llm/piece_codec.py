@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -249,11 +250,12 @@ def encode_documents(docs: DataFrame, path: str, keep: str = "doc_id", with_ids:
                 id_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append([int(x) for x in ids.split(",")] if ids else [])
+                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
             cols = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = [keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, mixing, neighbours, ngram_join, piece_codec, quality, suffix_dedup, url_filter
+from wayfold.llm import chat_format, exact_dedup, mixing, neighbours, ngram_join, pii, piece_codec, quality, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
     "op3_piece_codec": op3_piece_codec,
+    "op4_pii": op4_pii,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
