@@ -24,7 +24,9 @@ separate rows of one node; an empty table gives no rows; extra columns are ignor
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,48 +41,74 @@ WORDS, PERCENT = 5, 75
 MINIMA, JOINED = 6, 2
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 #: Sizes that tasks are dealt by; none drops anything.
-GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, BUCKET_TOKENS, PAIR_BLOCK = 1024, 256, 4096, 2_000_000, 4_000_000
-CACHE_WORDS = 500_000
+GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, BUCKET_TOKENS, PAIR_BLOCK = 1024, 256, 4096, 2_000_000, 2_000_000
+CACHE_WORDS, SLICE_BYTES = 500_000, 2 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(3).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
 
 
+class _Slots(dict):
+    """Word -> position of its hash; a missing word is added."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return at
+
+
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s = np.sort(s)
+    return s[np.r_[True, s[1:] != s[:-1]]]
+
+
 class Shingler:
     """Texts in UTF-8 to sorted distinct shingle hashes. Words are remembered in a table of bounded size."""
 
     def __init__(self, words: int = WORDS):
-        self.k, self.slot, self.hashes = words, {}, []
+        self.k, self.slots = words, _Slots()
 
-    def _ids(self, words: list[bytes]) -> np.ndarray:
-        slot, hashes = self.slot, self.hashes
-        if len(slot) > CACHE_WORDS:
-            slot.clear(), hashes.clear()
-        for w in set(words).difference(slot):
-            slot[w] = len(hashes)
-            hashes.append(xxhash.xxh3_64_intdigest(w))
-        return np.array(hashes, np.uint64)[np.fromiter(map(slot.__getitem__, words), np.int64, len(words))]
+    def _roll(self, h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all runs of k words."""
+        n = len(h) - k + 1
+        s = h[:n] + np.uint64(k)
+        for j in range(1, k):
+            s = (s ^ (s >> np.uint64(31))) * _B + h[j : n + j]
+        return (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.slots) > CACHE_WORDS:
+            self.slots = _Slots()
         split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
-        h = self._ids([w for ws in split for w in ws])
-        out, at = [], 0
-        for ws in split:
-            own, n = h[at : at + len(ws)], len(ws)
-            at += n
-            if n == 0:
-                out.append(own)
-                continue
-            k = min(n, self.k)
-            s = own[: n - k + 1] + np.uint64(k)
-            for j in range(1, k):
-                s = (s ^ (s >> np.uint64(31))) * _B + own[j : n - k + 1 + j]
-            out.append(np.unique((s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)))
+        sizes = [len(ws) for ws in split]
+        at = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        h = np.frombuffer(self.slots.hashes, np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
+        rolled = self._roll(h, self.k) if len(h) >= self.k else h[:0]
+        out, begin = [], 0
+        for n in sizes:
+            if n >= self.k:
+                out.append(_distinct(rolled[begin : begin + n - self.k + 1]))
+            else:
+                out.append(self._roll(h[begin : begin + n], n) if n else h[:0])
+            begin += n
         return out
 
 
-def _texts(batch: pa.RecordBatch, k: int) -> list[bytes]:
-    return batch.column(k).cast(pa.large_binary()).to_pylist()
+def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut so that the texts of column ``k`` stay below SLICE_BYTES (or are one text)."""
+    for batch in batches:
+        column = batch.column(k).cast(pa.large_binary())
+        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1])
+        begin = np.cumsum(sizes) - sizes
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(begin, begin[a] + SLICE_BYTES)))
+            yield batch.slice(a, b - a), column.slice(a, b - a).to_pylist()
+            a = b
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -102,9 +130,9 @@ def _signatures(words: int):
         shingle, sketch = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["doc_id", "th", "n", "key", "mins", "part", "counts"]
         kind = None
-        for batch in batches:
+        for batch, texts in _slices(batches, 2):
             kind = batch.column(0).type
-            sets = shingle(_texts(batch, 2))
+            sets = shingle(texts)
             n = np.array([len(s) for s in sets], np.int64)
             mins = np.zeros((len(sets), MINIMA), np.uint64)
             full = np.flatnonzero(n)
@@ -136,9 +164,9 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sent = Shingler(words), set()
-        for batch in batches:
+        for _, texts in _slices(batches, 0):
             rows = []
-            for s in shingle(_texts(batch, 0)):
+            for s in shingle(texts):
                 key = _key(s)
                 if len(s) and key not in sent:
                     if len(sent) > 1_000_000:
@@ -220,9 +248,9 @@ def _prefixes(words: int, percent: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, shingle, sent = np.frombuffer(shared.value, np.int64), Shingler(words), set()
-        for batch in batches:
+        for _, texts in _slices(batches, 0):
             rows = []
-            for s in shingle(_texts(batch, 0)):
+            for s in shingle(texts):
                 if not len(s):
                     continue
                 key = _key(s)
@@ -242,45 +270,68 @@ def _prefixes(words: int, percent: int, shared):
     return run
 
 
-_PACK = np.dtype([("token", "<u8"), ("node", "<u8"), ("unit", "<u8"), ("n", "<u4"), ("at", "<u4"), ("chunk", "<u4")])
+_TOKEN = np.dtype([("token", "<u8"), ("doc", "<u2"), ("at", "<u2")])
+_DOC = np.dtype([("node", "<u8"), ("unit", "<u8"), ("n", "<u4"), ("chunk", "<u4")])
 
 
 def _deal(buckets: int):
-    """Prefixes with their units to packed matrix entries by bucket of the token."""
+    """Prefixes with their units to packed matrix entries by bucket of the token: tokens, and the documents they point to.
+
+    Places above 65535 are stored as 65535, which only weakens the bound that uses them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = [np.frombuffer(b, np.uint64) for b in batch.column(2).to_pylist()]
-            sizes = np.array([len(p) for p in prefix])
-            flat = np.empty(int(sizes.sum()), _PACK)
-            flat["token"] = np.concatenate(prefix)
-            for name, column in (("node", batch.column(0)), ("unit", batch.column(3))):
-                flat[name] = np.repeat(np.frombuffer(b"".join(k[:8] for k in column.to_pylist()), np.uint64), sizes)
-            flat["n"] = np.repeat(batch.column(1).to_numpy(), sizes)
-            flat["chunk"] = np.repeat(batch.column(4).to_numpy(), sizes)
-            flat["at"] = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            bucket = (flat["token"] * _B >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            flat, bucket = flat[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            packs = [flat[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(flat)])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packs, pa.binary())], names=["bucket", "entries"])
+        for whole in batches:
+            for a in range(0, len(whole), 4096):
+                batch = whole.slice(a, 4096)
+                prefix = [np.frombuffer(b, np.uint64) for b in batch.column(2).to_pylist()]
+                sizes = np.array([len(p) for p in prefix])
+                docs = np.empty(len(batch), _DOC)
+                for name, column in (("node", batch.column(0)), ("unit", batch.column(3))):
+                    docs[name] = np.frombuffer(b"".join(k[:8] for k in column.to_pylist()), np.uint64)
+                docs["n"], docs["chunk"] = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+                flat = np.empty(int(sizes.sum()), _TOKEN)
+                flat["token"] = np.concatenate(prefix)
+                flat["doc"] = np.repeat(np.arange(len(batch)), sizes)
+                flat["at"] = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 65535)
+                bucket = (flat["token"] * _B >> np.uint64(40)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                flat, bucket = flat[order], bucket[order]
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                packs, owners = [], []
+                for i, j in zip(cut, [*cut[1:], len(flat)]):
+                    part = flat[i:j].copy()
+                    used, part["doc"] = np.unique(part["doc"], return_inverse=True)
+                    packs.append(part.tobytes())
+                    owners.append(docs[used].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packs, pa.binary()), pa.array(owners, pa.binary())], names=["bucket", "entries", "docs"])
 
     return run
 
 
+def _unpack(table: pa.Table) -> np.ndarray:
+    """Entries of one bucket whose token is there more than once."""
+    entries = [np.frombuffer(b, _TOKEN) for b in table.column("entries").to_pylist()]
+    docs = [np.frombuffer(b, _DOC) for b in table.column("docs").to_pylist()]
+    first = np.cumsum([0, *map(len, docs)])[:-1]
+    flat = np.concatenate(entries)
+    doc = flat["doc"].astype(np.int64) + np.repeat(first, [len(e) for e in entries])
+    order = np.argsort(flat["token"], kind="stable")
+    same = np.diff(flat["token"][order]) == 0
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]
+    owner = np.concatenate(docs)[doc[order]]
+    out = np.empty(len(order), np.dtype([*_TOKEN.descr[:1], *_DOC.descr, ("at", "<u4")]))
+    out["token"], out["at"] = flat["token"][order], flat["at"][order]
+    for name in _DOC.names:
+        out[name] = owner[name]
+    return out
+
+
 def _meet(percent: int):
     """Matrix rows of one bucket to the (query, group) pairs that the sizes and places allow."""
 
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(b, _PACK) for b in table.column("entries").to_pylist()])
-        table = None
-        e = e[np.argsort(e["token"], kind="stable")]
-        many = np.zeros(len(e), bool)
-        same = e["token"][1:] == e["token"][:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        e = e[many]
+        e = _unpack(table)
         e = e[np.lexsort((e["node"], e["chunk"], e["unit"], e["token"]))]
         out = np.zeros(0, np.dtype([("x", "<u8"), ("unit", "<u8"), ("chunk", "<u4")]))
         if len(e):
@@ -391,7 +442,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tokens = nodes.agg(F.count("*")).first()[0]
     tokens = listed.agg(F.sum("n")).first()[0] * (100 - percent) // 100 + (tokens or 0)
     buckets = max(1, tokens // BUCKET_TOKENS)
-    met = placed.mapInArrow(_deal(buckets), "bucket long, entries binary").groupBy("bucket").applyInArrow(_meet(percent), "x long, unit long, chunk long")
+    met = placed.mapInArrow(_deal(buckets), "bucket long, entries binary, docs binary").groupBy("bucket").applyInArrow(_meet(percent), "x long, unit long, chunk long")
     met = materialize(met.distinct(), "join-met")
 
     named = nodes.select("key", "th").join(units, "key", "left").select("key", F.coalesce("unit", "key").alias("unit"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "th")
