@@ -243,7 +243,18 @@ def d17_retained_points(spark: SparkSession, d: str) -> DataFrame:
     return moves.retained_points(segmentation.moves(seg)).select("obj_id", "seg_id", "seq", "reason")
 
 
-@_query("m2_density_clusters")
+_NEAR = """nb AS (SELECT a.obj_id, a.seq AS i, b.seq AS j FROM (SELECT a.obj_id, a.seq, b.seq AS other, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h
+        FROM pts a JOIN pts b ON a.obj_id = b.obj_id) a JOIN pts b ON b.obj_id = a.obj_id AND b.seq = a.other WHERE 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) <= 15.0)"""
+
+
+@_query(
+    "m2_density_clusters",
+    f"""{_PTS}, {_NEAR}, core AS (SELECT obj_id, i FROM nb GROUP BY ALL HAVING count(*) >= {SAMPLES}), cc AS (SELECT n.* FROM nb n JOIN core a ON a.obj_id = n.obj_id AND a.i = n.i JOIN core b ON b.obj_id = n.obj_id AND b.i = n.j),
+    reach AS (SELECT obj_id, i, j FROM cc UNION SELECT r.obj_id, r.i, c.j FROM reach r JOIN cc c ON c.obj_id = r.obj_id AND c.i = r.j),
+    root AS (SELECT obj_id, i, min(j) AS r FROM reach GROUP BY ALL), num AS (SELECT obj_id, r, dense_rank() OVER (PARTITION BY obj_id ORDER BY r) - 1 AS label FROM root GROUP BY obj_id, r),
+    lab AS (SELECT n.obj_id, n.i AS seq, min(m.label) AS label FROM nb n JOIN root o ON o.obj_id = n.obj_id AND o.i = n.j JOIN num m ON m.obj_id = o.obj_id AND m.r = o.r GROUP BY ALL)
+    SELECT p.obj_id, p.seq, coalesce(l.label, -1)::BIGINT AS label FROM pts p LEFT JOIN lab l ON l.obj_id = p.obj_id AND l.seq = p.seq""",
+)
 def m2_density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.density_clusters(from_events(spark, d), EPS, SAMPLES).select("obj_id", "seq", "label")
 
@@ -383,11 +394,12 @@ def v3_running_counters(spark: SparkSession, d: str) -> DataFrame:
     return metrics.running_counters(segmentation.stay_points(from_events(spark, d), EPS, SECONDS))
 
 
-@_query("p1_line_only")
+@_query("p1_line_only", f"""{_DP}, {_sed_sql('kept', 'err')}, k AS (SELECT obj_id, count(*) AS n FROM kept GROUP BY 1), n AS (SELECT obj_id, count(*) AS c FROM pts GROUP BY 1)
+    SELECT n.obj_id, n.c AS n_raw_points, {_mm('any_value(n.c) / any_value(k.n)')} AS cr, k.n AS stored_points, {_mm('avg(sed)')} AS avg_sed_m, {_mm('quantile_cont(sed, 0.95)')} AS p95_sed_m, {_mm('max(sed)')} AS max_sed_m FROM n JOIN k USING (obj_id) JOIN err USING (obj_id) GROUP BY n.obj_id, n.c, k.n""")
 def p1_line_only(spark: SparkSession, d: str) -> DataFrame:
     p = from_events(spark, d)
     kept = moves.line_simplify(p, eps=EPS)
-    return _micros(pipelines.evaluate(p, kept.groupBy("obj_id").agg(F.count("*").alias("n")), kept))
+    return _millis(pipelines.evaluate(p, kept.groupBy("obj_id").agg(F.count("*").alias("n")), kept))
 
 
 @_query("p2_offline_geometric")

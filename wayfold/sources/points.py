@@ -84,7 +84,7 @@ def fleet_log(lines: DataFrame) -> DataFrame:
     rows = lines.select(parts.alias("p"), F.monotonically_increasing_id().alias("_o")).where(F.size("p") >= 9)
     cell = lambda k: F.trim(F.get("p", k))
     ts = F.try_to_timestamp(F.concat_ws(" ", cell(2), cell(3)), F.lit("M/d/yyyy H:mm:ss"))
-    rows = rows.select(cell(1).alias("obj_id"), ts.alias("ts"), cell(6).alias("lon"), cell(7).alias("lat"), "_o").where("ts IS NOT NULL")
+    rows = rows.select(cell(1).alias("obj_id"), ts.alias("timestamp"), cell(6).alias("lon"), cell(7).alias("lat"), "_o").where("timestamp IS NOT NULL")
     return from_frame(rows, order=F.col("_o"))
 
 
