@@ -3,8 +3,8 @@
 Documents link when their sets of word shingles have a Jaccard similarity of at least 3/4; the result is each
 document's component of links. Equal sets collapse first, so copies are one node.
 
-1. Partition. Nodes that share a minimum hash form groups of similar documents (a node joins its two commonest minima;
-   large groups are dealt by salt). A group is opened once: a search spreads from each node to the nodes not yet reached,
+1. Partition. Nodes that share a minimum hash form groups of similar documents (a node joins the commonest of its minima;
+   large groups are dealt by salt around a node that is in every part). A group is opened once: a search spreads from each node to the nodes not yet reached,
    through postings of those only, and yields links that span its components. What is linked so becomes one unit.
 2. Matrix. Each unit's documents are dealt to groups of bounded size, and the matrix holds for each token the groups whose
    union of prefix tokens has it. The prefix of a set of n tokens is its first n - ceil(3n/4) + 1 in one
@@ -38,7 +38,7 @@ from wayfold.llm.common import materialize, sized_broadcast, text_of, with_ids
 from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 75
-MINIMA, JOINED = 6, 2
+MINIMA = 6
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 #: Sizes that tasks are dealt by; none drops anything.
 GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, BUCKET_TOKENS, PAIR_BLOCK = 1024, 256, 4096, 2_000_000, 2_000_000
@@ -159,23 +159,38 @@ def _sum_sketch(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _sets(words: int):
-    """th, text -> key, n and the set itself."""
+#: Bytes kept of a token in sets that move: 48 bits, so that two sets of 20,000 differ by chance in one of a million pairs at most.
+TOKEN_BYTES = 6
+
+
+def _slim(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :]).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
+    out[:, 8 - TOKEN_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _grouped_sets(words: int):
+    """text, places array<struct<group, member>> -> a row with the set for each group that its document takes part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sent = Shingler(words), set()
-        for _, texts in _slices(batches, 0):
+        for batch, texts in _slices(batches, 0):
             rows = []
-            for s in shingle(texts):
+            for s, places in zip(shingle(texts), batch.column(1).to_pylist()):
                 key = _key(s)
-                if len(s) and key not in sent:
+                if key not in sent:
                     if len(sent) > 1_000_000:
                         sent.clear()
                     sent.add(key)
-                    rows.append((key, s.tobytes()))
+                    data = _slim(s)
+                    rows += [(p["group"], p["member"], key, data) for p in places]
             if rows:
-                keys, data = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["key", "tokens"])
+                group, member, keys, data = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.bool_()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["group", "member", "key", "tokens"])
 
     return run
 
@@ -236,7 +251,7 @@ def _open_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
         keys, tokens = table.column("key").to_pylist(), table.column("tokens").to_pylist()
         one = {k: t for k, t in zip(keys, tokens)}
-        keys, sets = list(one), [np.frombuffer(t, np.uint64) for t in one.values()]
+        keys, sets = list(one), [_wide(t) for t in one.values()]
         pairs = spanning_links(sets, percent) if len(keys) > 1 else []
         return pa.table({"u": pa.array([keys[a] for a, _ in pairs], pa.binary()), "v": pa.array([keys[b] for _, b in pairs], pa.binary())})
 
@@ -376,8 +391,8 @@ def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy(zero_copy_only=False)
         keys, tokens = table.column("key").to_pylist(), table.column("tokens").to_pylist()
-        inside = {keys[k]: np.frombuffer(tokens[k], np.uint64) for k in np.flatnonzero(member)}
-        asked = {keys[k]: np.frombuffer(tokens[k], np.uint64) for k in np.flatnonzero(~member)}
+        inside = {keys[k]: _wide(tokens[k]) for k in np.flatnonzero(member)}
+        asked = {keys[k]: _wide(tokens[k]) for k in np.flatnonzero(~member)}
         found = []
         if inside and asked:
             names, union = list(inside), Postings(list(inside.values()))
@@ -418,19 +433,21 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     nodes = listed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("mins").alias("mins"))
     nodes = materialize(nodes, "join-nodes")
-    minima = nodes.select("key", F.posexplode("mins").alias("j", "v"))
-    shared = minima.groupBy("j", "v").agg(F.count("*").alias("c")).where("c > 1")
-    joined = minima.join(shared, ["j", "v"]).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "j", "v")), False), 1, JOINED).alias("g"))
-    joined = materialize(joined.join(nodes.select("key", "th"), "key"), "join-groups")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        th = materialize(wanted.select("th").distinct(), "join-wanted")
-        return with_ids(rows, th, "left_semi", "th").select("text").mapInArrow(_sets(words), "key binary, tokens binary")
-
-    salt = F.pmod(F.xxhash64("key", "g.j"), F.ceil(F.col("g.c") / GROUP_NODES))
-    play = joined.select("key", F.explode("g").alias("g")).select("key", F.xxhash64("g.j", "g.v", salt).alias("group"))
-    play = play.join(sets_of(joined), "key")
-    first = materialize(play.groupBy("group").applyInArrow(_open_group(percent), "u binary, v binary").distinct(), "join-first")
+
+    def grouped_sets(places: DataFrame) -> DataFrame:
+        """``places``: th, group, member. The sets are made where the texts are scanned and move once, to their groups."""
+        places = places.groupBy("th").agg(F.collect_list(F.struct("group", "member")).alias("places"))
+        places = materialize(places, "join-places")
+        return rows.join(sized_broadcast(places, places.count() * 2), "th").select("text", "places").mapInArrow(_grouped_sets(words), "group long, member boolean, key binary, tokens binary")
+
+    # a node joins the commonest of its minima; a large group is dealt by salt, and its first node is in every part
+    minima = nodes.select("key", "th", F.posexplode("mins").alias("j", "v"))
+    shared = minima.groupBy("j", "v").agg(F.count("*").alias("c"), F.min("key").alias("leader")).where("c > 1")
+    joined = minima.join(shared, ["j", "v"]).groupBy("key", "th").agg(F.max(F.struct("c", "j", "v", "leader")).alias("g"))
+    parts = F.ceil(F.col("g.c") / GROUP_NODES)
+    part = F.when(F.col("key") == F.col("g.leader"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), parts)))
+    play = joined.select("th", "g", F.explode(part).alias("s")).select("th", F.xxhash64("g.j", "g.v", "s").alias("group"), F.lit(True).alias("member"))
+    first = materialize(grouped_sets(play).groupBy("group").applyInArrow(_open_group(percent), "u binary, v binary").distinct(), "join-first")
     units = materialize(components(first), "join-units")
     sizes = units.groupBy("root").agg(F.count("*").alias("size"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK_NODES)).cast("long")
@@ -450,12 +467,11 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = materialize(named, "join-named")
     groups = met.groupBy("unit", "chunk").agg(F.ceil(F.count("*") / CHUNK_QUERIES).alias("salts"))
     asked = met.join(groups, ["unit", "chunk"]).select("x", F.xxhash64("unit", "chunk", F.pmod(F.xxhash64("x"), "salts")).alias("group"))
-    asked = asked.join(named.select("x", "key", "th"), "x").select("group", "key", "th", F.lit(False).alias("member"))
+    asked = asked.join(named.select("x", "th"), "x").select("th", "group", F.lit(False).alias("member"))
     inside = named.join(groups.withColumnRenamed("unit", "unit8"), ["unit8", "chunk"])
-    inside = inside.select("unit8", "chunk", "key", "th", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("s"))
-    inside = inside.select(F.xxhash64("unit8", "chunk", "s").alias("group"), "key", "th", F.lit(True).alias("member"))
-    meeting = materialize(asked.unionByName(inside), "join-meeting")
-    opened = meeting.drop("th").join(sets_of(meeting), "key")
+    inside = inside.select("unit8", "chunk", "th", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("s"))
+    inside = inside.select("th", F.xxhash64("unit8", "chunk", "s").alias("group"), F.lit(True).alias("member"))
+    opened = grouped_sets(asked.unionByName(inside))
     second = opened.groupBy("group").applyInArrow(_verify(percent), "u binary, v binary")
 
     everything = materialize(second.unionByName(first), "join-links")
