@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize, text_of, with_ids
 
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 3_000
 BITS, DIM, GRAMS = 18, 8, (3, 4, 5)
 STEPS, RATE, SEED = 12_000, 0.25, 7
 CACHE_WORDS = 300_000
@@ -67,12 +67,14 @@ class Features:
         for w in text.split():
             got = self.words.get(w)
             if got is None:
-                got = self.words[w] = (np.array(word_entries(w), np.int64), _hash(w))
+                if len(self.words) > 50_000:
+                    self.words.clear()
+                got = self.words[w] = (np.array(word_entries(w), np.int32), _hash(w))
             parts.append(got[0])
             hashes.append(got[1])
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        entries = np.concatenate([*parts, pair_entries(np.array(hashes, np.uint64))])
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        entries = np.concatenate([*parts, pair_entries(np.array(hashes, np.uint64)).astype(np.int32)])
         ids, counts = np.unique(entries, return_counts=True)
         return ids, (counts / len(entries)).astype(np.float32)
 
