@@ -100,7 +100,14 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     calibration = scored.where(left_out & F.col("rule").isNotNull()).select(yes.alias("yes"), F.round(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("score"))) * 50).cast("int").alias("bin"))
     bins = calibration.groupBy("bin").agg(F.sum("yes").alias("y"), F.sum(1 - F.col("yes")).alias("n"))
     listed = bins.agg(F.array_sort(F.collect_list(F.struct("bin", "y", "n"))).alias("b"), F.sum("y").alias("ys"), F.sum("n").alias("ns"))
-    gain = F.transform("b", lambda x: F.struct((F.aggregate("b", F.lit(0.0), lambda a, z: a + F.when(z["bin"] >= x["bin"], z["y"] / F.col("ys")).otherwise(z["n"] / F.col("ns")))).alias("right"), (-x["bin"]).alias("at")))
-    best = F.when((F.col("ys") > 0) & (F.col("ns") > 0), -F.array_max(gain)["at"] / 50.0 - 0.01).otherwise(F.lit(-1e9))
+    # each bin as the least that is allowed; the threshold lies halfway to the bin below it
+    gain = F.transform(
+        "b",
+        lambda x, i: F.struct(
+            F.aggregate("b", F.lit(0.0), lambda a, z: a + F.when(z["bin"] >= x["bin"], z["y"] / F.col("ys")).otherwise(z["n"] / F.col("ns"))).alias("right"),
+            (-F.coalesce((F.get("b", i - 1)["bin"] + x["bin"]) / 2, x["bin"] - F.lit(1.0))).alias("at"),
+        ),
+    )
+    best = F.when((F.col("ys") > 0) & (F.col("ns") > 0), -F.array_max(gain)["at"] / 50.0).otherwise(F.lit(-1e9))
     threshold = materialize(listed.select(F.coalesce(best, F.lit(-1e9)).alias("t")), "url-threshold").scalar()
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
