@@ -7,7 +7,7 @@ distribution. The score of a url is the mean over its characters of log P_accept
 threshold is calibrated on a fifth of the ruled urls that the counts leave out: the score at which the
 rates of right decisions of both classes are largest together.
 
-The alphabet has 32 symbols, so the whole model is one array of 32**4 log ratios (8 MB at any input size): counts are
+The alphabet has 32 symbols, so the whole model is one array of 32**4 log ratios (4 MB at any input size): counts are
 summed before they are shuffled, and every url is scored in its own row, without a join or a shuffle.
 
 Defined results: a null url and one without ``://`` have empty host and path, which no rule fits and whose score is 0; without
@@ -69,7 +69,7 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         full = full.join(seen, key == F.col("g"), "left").drop("g").join(context, F.shiftright(key, BITS) == F.col("h"), "left").drop("h")
         p = {c: (F.coalesce(F.col(f"{c}{k}"), F.lit(0)) + BETA * p[c]) / (F.coalesce(F.col(f"h{c}{k}"), F.lit(0)) + BETA) for c in p}
     ratios = full.select("gram", (F.log(p["yes"]) - F.log(p["no"])).alias("r"))
-    rows = ratios.groupBy(F.shiftright("gram", 2 * BITS).alias("top")).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "r"))), lambda x: x["r"]).alias("part"))
+    rows = ratios.groupBy(F.shiftright("gram", 2 * BITS).alias("top")).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "r"))), lambda x: x["r"].cast("float")).alias("part"))
     return rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("top", "part"))), lambda x: x["part"])).alias("ratios"))
 
 
