@@ -453,3 +453,87 @@ def x3_segmentation_sweep(spark: SparkSession, d: str) -> DataFrame:
 def x5_sweep_aggregate(spark: SparkSession, d: str) -> DataFrame:
     runs = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 4).cast("double").alias("eps_m"), (F.col("event_id") % 3).cast("double").alias("t_s"), "value")
     return _micros(experiments.sweep_aggregate(runs, ["value"]), "eps_m", "t_s")
+
+
+_TRIPLE = "WITH_PTS, tr AS (SELECT obj_id, seq, lat, lon, t, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(t) OVER w AS lt, lead(lat) OVER w AS na, lead(lon) OVER w AS no, lead(t) OVER w AS nt FROM pts WINDOW w AS (PARTITION BY obj_id ORDER BY seq))".replace("WITH_PTS", _PTS)
+_C3, _R = "cos(radians((la + na + lat) / 3))", "((t - lt) / (nt - lt))"
+
+
+@_query(
+    "g_segment_distances",
+    f"""{_TRIPLE} SELECT obj_id, seq, {_mm(f'abs((na - la) * 111320.0 * (lon - lo) * 111320.0 * {_C3} - (no - lo) * 111320.0 * {_C3} * (lat - la) * 111320.0) / sqrt(pow((na - la) * 111320.0, 2) + pow((no - lo) * 111320.0 * {_C3}, 2))')} AS perpendicular,
+    {_mm(f'sqrt(pow((lat - (la + (na - la) * {_R})) * 111320.0, 2) + pow((lon - (lo + (no - lo) * {_R})) * 111320.0 * cos(radians((la + na) / 2)), 2))')} AS synchronized,
+    {_m(f'sqrt(pow(lat - (la + (na - la) * {_R}), 2) + pow(lon - (lo + (no - lo) * {_R}), 2))')} AS priority FROM tr WHERE la IS NOT NULL AND na IS NOT NULL AND NOT (la = na AND lo = no)""",
+)
+def g_segment_distances(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("obj_id").orderBy("seq")
+    lat, lon, t = F.col("lat"), F.col("lon"), F.col("t")
+    sides = {f"{side}{k}": f(c).over(w) for side, f in (("a", F.lag), ("b", F.lead)) for k, c in enumerate(("lat", "lon", "t"))}
+    rows = from_events(spark, d).withColumns(sides).where("a0 IS NOT NULL AND b0 IS NOT NULL AND NOT (a0 = b0 AND a1 = b1)")
+    p, q = [F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)]
+    return rows.select("obj_id", "seq", micro(geo.perpendicular(lat, lon, *p[:2], *q[:2]), 1e3).alias("perpendicular"), micro(geo.synchronized(lat, lon, t, *p, *q), 1e3).alias("synchronized"), micro(geo.synchronized_degrees(*p, lat, lon, t, *q)).alias("priority"))
+
+
+@_query("g_mercator", f"{_PTS} SELECT obj_id, seq, {_mm('radians(lon) * 6378137.0')} AS east, {_mm('ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0')} AS north FROM pts")
+def g_mercator(spark: SparkSession, d: str) -> DataFrame:
+    east, north = geo.web_mercator(F.col("lat"), F.col("lon"))
+    return _millis(from_events(spark, d).select("obj_id", "seq", east.alias("east"), north.alias("north")))
+
+
+@_query("g_grid_cells", f"""{_PTS}, o AS (SELECT *, first_value(lat) OVER w AS la, first_value(lon) OVER w AS lo FROM pts WINDOW w AS (PARTITION BY obj_id ORDER BY seq))
+    SELECT obj_id, seq, floor(radians(lon - lo) * 6371000.0 * cos(radians(la)) / 5.3)::BIGINT AS x, floor(radians(lat - la) * 6371000.0 / 5.3)::BIGINT AS y FROM o""")
+def g_grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("obj_id").orderBy("seq")
+    x, y = geo.grid_cell(F.col("lat"), F.col("lon"), F.first("lat").over(w), F.first("lon").over(w), 5.3)
+    return from_events(spark, d).select("obj_id", "seq", x.alias("x"), y.alias("y"))
+
+
+@_query("e21_stop_points", f"{_STAY} SELECT count(DISTINCT obj_id || ':' || seg_id) AS stops, count(*) AS stop_points, count(DISTINCT obj_id) AS objects FROM sp WHERE kind = 'stop'")
+def e21_stop_points(spark: SparkSession, d: str) -> DataFrame:
+    seg = segmentation.stops(segmentation.stay_points(from_events(spark, d), EPS, SECONDS))
+    per = segmentation.segments(seg)
+    return per.agg(F.count("*").alias("stops"), F.sum("n_points").alias("stop_points"), F.countDistinct("obj_id").alias("objects"))
+
+
+@_query("e25_variant_summary", f"""SELECT event_type AS variant, {_m('avg(value)')} AS mean_sed, {_m('quantile_cont(value, 0.5)')} AS median_sed, {_m('quantile_cont(value, 0.95)')} AS p95_sed, {_m('quantile_cont(value, 0.99)')} AS p99_sed,
+    {_m('avg((user_id % 7)::DOUBLE)')} AS mean_cr, {_m('quantile_cont((user_id % 7)::DOUBLE, 0.5)')} AS median_cr, {_m('avg((event_id % 3)::DOUBLE)')} AS mean_pct_5m FROM events GROUP BY event_type""")
+def e25_variant_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return _micros(metrics.variant_summary(e.select(F.col("event_type").alias("variant"), F.col("value").alias("average_sed"), (F.col("user_id") % 7).cast("double").alias("cr"), (F.col("event_id") % 3).cast("double").alias("pct_5m"))))
+
+
+@_query("x2_select_epsilon", "SELECT 15::BIGINT AS eps, 3000::BIGINT AS cr, 2000::BIGINT AS p95_sed, 1000::BIGINT AS mean_sed")
+def x2_select_epsilon(spark: SparkSession, d: str) -> DataFrame:
+    grid = spark.createDataFrame([(5.0, 2.0, 1.0, 1.0), (15.0, 3.0, 2.0, 1.0), (20.0, 3.0, 2.5, 1.0), (50.0, 9.0, 8.0, 3.0)], "eps double, cr double, p95_sed double, mean_sed double")
+    best = experiments.select_epsilon(grid, 3.0)
+    return best.select(F.col("eps").cast("long").alias("eps"), *[micro(c, 1e3).alias(c) for c in ("cr", "p95_sed", "mean_sed")])
+
+
+@_query("x4_sweep_summary", f"""SELECT (user_id % 4)::DOUBLE AS eps_m, (user_id % 3)::DOUBLE AS t_s, count(*) AS n, {_m('quantile_cont(value, 0.5)')} AS median_f1, {_m('quantile_cont((event_id % 9)::DOUBLE, 0.5)')} AS median_step_n_stops, {_m('quantile_cont((event_id % 8)::DOUBLE, 0.5)')} AS median_stss_n_stops,
+    {_m('1000 * avg(value / greatest(event_id % 50, 1))')} AS step_ms_per_point FROM events GROUP BY ALL""")
+def x4_sweep_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select((F.col("user_id") % 4).cast("double").alias("eps_m"), (F.col("user_id") % 3).cast("double").alias("t_s"), F.col("value").alias("f1"), (F.col("event_id") % 9).alias("step_n_stops"), (F.col("event_id") % 8).alias("stss_n_stops"), F.col("value").alias("step_wall_s"), (F.col("event_id") % 50).cast("int").alias("n_points"))
+    return _micros(experiments.sweep_summary(rows), "eps_m", "t_s")
+
+
+@_query("x8_key_totals", f"SELECT {_mm('sum(value) / 1000')} AS value_sum, {_mm('avg(value)')} AS value_mean, {_mm('quantile_cont(value, 0.5)')} AS value_median FROM events")
+def x8_key_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = experiments.key_totals(spark.read.parquet(f"{d}/events.parquet"), ["value"])
+    return _millis(rows.withColumn("value_sum", F.col("value_sum") / 1000))
+
+
+@_query("m7_min_samples", "SELECT DISTINCT user_id, greatest(5, round_even((user_id % 60) * 0.5, 0))::BIGINT AS min_samples FROM events")
+def m7_min_samples(spark: SparkSession, d: str) -> DataFrame:
+    u = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    return u.select("user_id", segmentation.min_samples_for(F.col("user_id") % 60).cast("long").alias("min_samples"))
+
+
+@_query("p11_side_by_side")
+def p11_side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    p = from_events(spark, d)
+    online = segmentation.stay_points(p, EPS, SECONDS)
+    offline = segmentation.density_segments(p, EPS, SECONDS, SAMPLES, "manual")
+    kept = moves.buffer_simplify(segmentation.moves(online), moves.PER_SEGMENT, CAPACITY)
+    parts = [x.select(F.lit(n).alias("side"), "obj_id", "seq", "seg_id", "kind") for n, x in (("offline", offline), ("online", online), ("online_buffered", kept))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
