@@ -41,8 +41,8 @@ WORDS, PERCENT = 5, 75
 MINIMA = 6
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 #: Sizes that tasks are dealt by; none drops anything.
-GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, BUCKET_TOKENS, PAIR_BLOCK = 1024, 256, 4096, 2_000_000, 2_000_000
-CACHE_WORDS, SLICE_BYTES = 500_000, 2 << 20
+GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, BUCKET_TOKENS, PAIR_BLOCK = 1024, 256, 4096, 1_000_000, 1_000_000
+CACHE_WORDS, SLICE_BYTES = 250_000, 2 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(3).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -258,14 +258,43 @@ def _open_group(percent: int):
     return run
 
 
-def _prefixes(words: int, percent: int, shared):
-    """text -> key, n and the prefix tokens in the common order."""
+_TOKEN = np.dtype([("token", "<u8"), ("doc", "<u2"), ("at", "<u2")])
+_DOC = np.dtype([("node", "<u8"), ("unit", "<u8"), ("n", "<u4"), ("chunk", "<u4")])
+
+
+def _matrix(words: int, percent: int, buckets: int, shared):
+    """text, unit, chunk -> packed matrix entries by bucket of the token: prefix tokens, and the documents they point to.
+
+    Places above 65535 are stored as 65535, which only weakens the bound that uses them.
+    """
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        keys, units, n, chunks, prefix = zip(*rows)
+        sizes = np.array([len(p) for p in prefix])
+        docs = np.empty(len(rows), _DOC)
+        docs["node"], docs["unit"] = (np.frombuffer(b"".join(k[:8] for k in c), np.uint64) for c in (keys, units))
+        docs["n"], docs["chunk"] = n, chunks
+        flat = np.empty(int(sizes.sum()), _TOKEN)
+        flat["token"] = np.concatenate(prefix)
+        flat["doc"] = np.repeat(np.arange(len(rows)), sizes)
+        flat["at"] = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 65535)
+        bucket = (flat["token"] * _B >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        flat, bucket = flat[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        packs, owners = [], []
+        for i, j in zip(cut, [*cut[1:], len(flat)]):
+            part = flat[i:j].copy()
+            used, part["doc"] = np.unique(part["doc"], return_inverse=True)
+            packs.append(part.tobytes())
+            owners.append(docs[used].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packs, pa.binary()), pa.array(owners, pa.binary())], names=["bucket", "entries", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, shingle, sent = np.frombuffer(shared.value, np.int64), Shingler(words), set()
-        for _, texts in _slices(batches, 0):
-            rows = []
-            for s in shingle(texts):
+        sketch, shingle, sent, rows = np.frombuffer(shared.value, np.int64), Shingler(words), set(), []
+        for batch, texts in _slices(batches, 0):
+            units, chunks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for k, s in enumerate(shingle(texts)):
                 if not len(s):
                     continue
                 key = _key(s)
@@ -274,52 +303,14 @@ def _prefixes(words: int, percent: int, shared):
                 if len(sent) > 1_000_000:
                     sent.clear()
                 sent.add(key)
-                n = len(s)
-                p = n - int(_needed(n, percent)) + 1
+                p = len(s) - int(_needed(len(s), percent)) + 1
                 order = np.argsort(sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")  # s ascends: ties by hash
-                rows.append((key, n, s[order[:p]].tobytes()))
-            if rows:
-                keys, n, data = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["key", "n", "prefix"])
-
-    return run
-
-
-_TOKEN = np.dtype([("token", "<u8"), ("doc", "<u2"), ("at", "<u2")])
-_DOC = np.dtype([("node", "<u8"), ("unit", "<u8"), ("n", "<u4"), ("chunk", "<u4")])
-
-
-def _deal(buckets: int):
-    """Prefixes with their units to packed matrix entries by bucket of the token: tokens, and the documents they point to.
-
-    Places above 65535 are stored as 65535, which only weakens the bound that uses them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, len(whole), 4096):
-                batch = whole.slice(a, 4096)
-                prefix = [np.frombuffer(b, np.uint64) for b in batch.column(2).to_pylist()]
-                sizes = np.array([len(p) for p in prefix])
-                docs = np.empty(len(batch), _DOC)
-                for name, column in (("node", batch.column(0)), ("unit", batch.column(3))):
-                    docs[name] = np.frombuffer(b"".join(k[:8] for k in column.to_pylist()), np.uint64)
-                docs["n"], docs["chunk"] = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-                flat = np.empty(int(sizes.sum()), _TOKEN)
-                flat["token"] = np.concatenate(prefix)
-                flat["doc"] = np.repeat(np.arange(len(batch)), sizes)
-                flat["at"] = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 65535)
-                bucket = (flat["token"] * _B >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                flat, bucket = flat[order], bucket[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                packs, owners = [], []
-                for i, j in zip(cut, [*cut[1:], len(flat)]):
-                    part = flat[i:j].copy()
-                    used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                    packs.append(part.tobytes())
-                    owners.append(docs[used].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packs, pa.binary()), pa.array(owners, pa.binary())], names=["bucket", "entries", "docs"])
+                rows.append((key, units[k] or key, len(s), chunks[k] or 0, s[order[:p]]))
+            if len(rows) >= 2048:
+                yield pack(rows)
+                rows = []
+        if rows:
+            yield pack(rows)
 
     return run
 
@@ -452,14 +443,15 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sizes = units.groupBy("root").agg(F.count("*").alias("size"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK_NODES)).cast("long")
     units = materialize(units.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("unit"), chunk.alias("chunk")), "join-chunks")
-    units = sized_broadcast(units, units.count())
-
-    prefixes = rows.select("text").mapInArrow(_prefixes(words, percent, sketch), "key binary, n long, prefix binary")
-    placed = prefixes.join(units, "key", "left").select("key", "n", "prefix", F.coalesce("unit", "key").alias("unit"), F.coalesce("chunk", F.lit(0)).alias("chunk"))
-    tokens = nodes.agg(F.count("*")).first()[0]
-    tokens = listed.agg(F.sum("n")).first()[0] * (100 - percent) // 100 + (tokens or 0)
-    buckets = max(1, tokens // BUCKET_TOKENS)
-    met = placed.mapInArrow(_deal(buckets), "bucket long, entries binary, docs binary").groupBy("bucket").applyInArrow(_meet(percent), "x long, unit long, chunk long")
+    n_units = units.count()
+    placed = listed.where("n > 0").select("th", "key").distinct().join(sized_broadcast(units, n_units), "key").select("th", "unit", "chunk")
+    placed = materialize(placed, "join-placed")
+    units = sized_broadcast(units, n_units)
+
+    tokens = listed.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, tokens * (100 - percent) // 100 // BUCKET_TOKENS)
+    dealt = rows.join(sized_broadcast(placed, placed.count()), "th", "left").select("text", "unit", "chunk").mapInArrow(_matrix(words, percent, buckets, sketch), "bucket long, entries binary, docs binary")
+    met = dealt.groupBy("bucket").applyInArrow(_meet(percent), "x long, unit long, chunk long")
     met = materialize(met.distinct(), "join-met")
 
     named = nodes.select("key", "th").join(units, "key", "left").select("key", F.coalesce("unit", "key").alias("unit"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "th")
