@@ -56,6 +56,8 @@ def test_exact_dedup(spark, bits):
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(v) for v in groups.values())
     assert exact_dedup.duplicate_classes(docs.where("false")).count() == 0
+    nulls = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "d"), (0, "d")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_duplicates(nulls).collect()) == [("0", "d"), ("2", "c"), ("None", "a"), ("None", "b")]
 
 
 @pytest.fixture(scope="module")

@@ -63,5 +63,6 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """``docs`` left_semi or left_anti ``ids`` (a materialised table of one id column ``key``)."""
-    return docs.join(sized_broadcast(ids, ids.count()), key, how)
+    """``docs`` left_semi or left_anti ``ids`` (a materialised table of one id column ``key``); nulls equal each other."""
+    named = ids.select(F.col(key).alias("_id"))
+    return docs.join(sized_broadcast(named, ids.count()), docs[key].eqNullSafe(F.col("_id")), how)

@@ -127,12 +127,13 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(duplicate_classes(docs), "exact-classes")
     gone = materialize(classes.where("not kept").select("doc_id", "text_sha256").distinct(), "exact-gone")
     also = classes.where("kept").select("doc_id", "text_sha256")
-    twice = materialize(gone.join(also, "doc_id", "left_semi").select("doc_id").distinct(), "exact-twice")
-    kept = with_ids(docs, gone.join(twice, "doc_id", "left_anti").select("doc_id").where("doc_id is not null"), "left_anti")
+    twice = materialize(with_ids(gone, also.select("doc_id"), "left_semi").select("doc_id").distinct(), "exact-twice")
+    kept = with_ids(docs, materialize(with_ids(gone, twice, "left_anti").select("doc_id").distinct(), "exact-ids"), "left_anti")
     if twice.isEmpty():
         return kept
     # an id that both stays and goes is an id on several rows: those few rows are settled by their text
     rows = with_ids(docs, twice, "left_semi")
     sha = F.sha2(normalised(text_of(rows)), 256)
-    chosen = rows.withColumn("_sha", sha).join(also.withColumnRenamed("text_sha256", "_sha"), ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"])
+    stay = also.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_t"))
+    chosen = rows.withColumn("_sha", sha).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_sha"])
     return with_ids(kept, twice, "left_anti").unionByName(chosen.drop("_sha").select(docs.columns))
