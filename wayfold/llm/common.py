@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,17 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     """``docs`` left_semi or left_anti ``ids`` (a materialised table of one id column ``key``); nulls equal each other."""
     named = ids.select(F.col(key).alias("_id"))
     return docs.join(sized_broadcast(named, ids.count()), docs[key].eqNullSafe(F.col("_id")), how)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, and then what its task has freed goes back to the system: workers outlive their tasks, and idle ones count too."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            return  # another C library
+
+    return whole

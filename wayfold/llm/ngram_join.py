@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, sized_broadcast, text_of, with_ids
+from wayfold.llm.common import materialize, sized_broadcast, text_of, trimmed, with_ids
 from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -413,7 +413,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_of(docs)
     rows = docs.select(docs["doc_id"], F.xxhash64(text).alias("th"), text.alias("text"))
-    sig = rows.mapInArrow(_signatures(words), f"doc_id {kind}, th long, n long, key binary, mins array<long>, part int, counts binary")
+    sig = rows.mapInArrow(trimmed(_signatures(words)), f"doc_id {kind}, th long, n long, key binary, mins array<long>, part int, counts binary")
     sig = materialize(sig, "join-signatures")
     listed = sig.where("part IS NULL").select("doc_id", "th", "n", "key", "mins")
     parts = sig.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_sum_sketch, "part int, counts binary")
@@ -429,7 +429,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         """``places``: th, group, member. The sets are made where the texts are scanned and move once, to their groups."""
         places = places.groupBy("th").agg(F.collect_list(F.struct("group", "member")).alias("places"))
         places = materialize(places, "join-places")
-        return rows.join(sized_broadcast(places, places.count() * 2), "th").select("text", "places").mapInArrow(_grouped_sets(words), "group long, member boolean, key binary, tokens binary")
+        return rows.join(sized_broadcast(places, places.count() * 2), "th").select("text", "places").mapInArrow(trimmed(_grouped_sets(words)), "group long, member boolean, key binary, tokens binary")
 
     # a node joins the commonest of its minima; a large group is dealt by salt, and its first node is in every part
     minima = nodes.select("key", "th", F.posexplode("mins").alias("j", "v"))
@@ -450,7 +450,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     tokens = listed.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, tokens * (100 - percent) // 100 // BUCKET_TOKENS)
-    dealt = rows.join(sized_broadcast(placed, placed.count()), "th", "left").select("text", "unit", "chunk").mapInArrow(_matrix(words, percent, buckets, sketch), "bucket long, entries binary, docs binary")
+    dealt = rows.join(sized_broadcast(placed, placed.count()), "th", "left").select("text", "unit", "chunk").mapInArrow(trimmed(_matrix(words, percent, buckets, sketch)), "bucket long, entries binary, docs binary")
     met = dealt.groupBy("bucket").applyInArrow(_meet(percent), "x long, unit long, chunk long")
     met = materialize(met.distinct(), "join-met")
 

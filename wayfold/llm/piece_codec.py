@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfold.llm.common import text_of
+from wayfold.llm.common import text_of, trimmed
 
 MARK = "▁"
 #: Remembered words in one Python worker; the table is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -113,7 +113,7 @@ class PieceCodec:
         known = self._fits.get(key)
         if known is None:
             known = (a[-1] + b[0]) not in self.pairs or self._merge(a + b) == [a, b]
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -259,4 +259,4 @@ def encode_documents(docs: DataFrame, path: str, keep: str = "doc_id", with_ids:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(docs[keep], text_of(docs).alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[keep], text_of(docs).alias("text")).mapInArrow(trimmed(run), schema)

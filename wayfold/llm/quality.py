@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, text_of, with_ids
+from wayfold.llm.common import materialize, text_of, trimmed, with_ids
 
 TRAIN_ROWS = 3_000
 BITS, DIM, GRAMS = 18, 8, (3, 4, 5)
 STEPS, RATE, SEED = 12_000, 0.25, 7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 THRESHOLD = 0.7
 
 _SIZE = 1 << BITS
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: str = "doc_id"
             p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[keep, "score"])
 
-    return docs.select(docs[keep], text_of(docs).alias("text")).mapInArrow(run, f"{keep} {kind}, score double")
+    return docs.select(docs[keep], text_of(docs).alias("text")).mapInArrow(trimmed(run), f"{keep} {kind}, score double")
 
 
 def judged(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
