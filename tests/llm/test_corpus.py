@@ -178,6 +178,17 @@ def test_pii(spark):
     assert pii.digests(documents(spark, []).where("false")).count() == 0
 
 
+def flagged_terms(spark, texts):
+    got = pii.digests(documents(spark, texts)).collect()
+    return {(r.doc_id, texts[r.doc_id][int(a) : int(e)]) for r in got for k, a, e in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
+
+
+def test_pii_terms_of_rare_entities(spark):
+    texts = ["Quillan wrote from q@one.org today", "Brandl wrote from b@two.org today", "Brandl asked b@two.org today"]
+    texts += [f"somebody wrote {w} asked from today" for w in ("alpha", "beta", "gamma") for _ in range(60)]
+    assert flagged_terms(spark, texts) == {(0, "Quillan"), (1, "Brandl"), (2, "Brandl")}
+
+
 @pytest.mark.parametrize(("length", "gram"), [(12, 5), (30, 8)])
 def test_suffix_dedup(spark, length, gram):
     rng = random.Random(length)

@@ -4,7 +4,8 @@ Emails, addresses, cards and phone numbers are found by pattern and are the prot
 corpus says what else reveals them: for a term t near an entity e, the pointwise mutual information
 log(p(t, e) / (p(t) p(e))) against the information content of the entity, -log p(e), is the share of the entity that the term
 discloses. Terms that disclose at least ``GENERALISE`` of an entity they stand near become their class (a number, a name, a word);
-from ``REMOVE`` on they go. A term needs ``SUPPORT`` documents with the entity, else chance would count as knowledge.
+from ``REMOVE`` on they go. All pairs are scored, however rare: p(e | t) is (n(t, e) + SMOOTH p(e)) / (n(t) + SMOOTH), so a few
+documents count for less than many, and a name in the only document of an entity still discloses it.
 
 Places come from cutting a text at a pattern: the lengths of gaps and matches add up to code point offsets. Patterns are written so that
 they neither rescan runs nor recurse, and each runs only on texts that can hold a match. Document frequencies cover all
@@ -34,7 +35,7 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 #: Characters on each side of an entity in which terms stand near it, and the terms taken from there.
 NEAR_CHARS, NEAR_TERMS = 400, 12
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.97
+SMOOTH, GENERALISE, REMOVE = 0.5, 0.9, 0.97
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -101,19 +102,24 @@ def _near(found: DataFrame) -> DataFrame:
     return one.select("row", _entity(F.col("s")).alias("entity"), F.explode_outer(F.array_distinct(terms)).alias("term")).where("term IS NOT NULL").distinct()
 
 
+def share_of(total: int, entity: Column, term: Column, both: Column) -> Column:
+    """The share of an entity's information that a term discloses, from the documents that hold each and both."""
+    p = entity / float(total)
+    information = -F.log(p)
+    mutual = F.log((both + SMOOTH * p) / (term + SMOOTH)) + information
+    return F.when(information > 0, mutual / information).otherwise(0.0)
+
+
 def disclosures(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, share: how much of an entity a term near it discloses, where supported."""
+    """entity, term, share: how much of an entity a term near it discloses."""
     total = rows.count()
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    both = materialize(both, "pii-pairs")
+    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
     terms = materialize(both.select("term").distinct(), "pii-terms")
     words = rows.select(F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
     counted = words.join(sized_broadcast(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     joined = both.join(entities, "entity").join(counted, "term")
-    information = F.log(total / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * float(total) / (F.col("n_term") * F.col("n_entity").cast("double")))
-    return joined.select("entity", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("share"))
+    return joined.select("entity", "term", share_of(total, F.col("n_entity"), F.col("n_term"), F.col("n_both")).alias("share"))
 
 
 def find(docs: DataFrame) -> DataFrame:
