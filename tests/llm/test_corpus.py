@@ -189,6 +189,18 @@ def test_pii_terms_of_rare_entities(spark):
     assert flagged_terms(spark, texts) == {(0, "Quillan"), (1, "Brandl"), (2, "Brandl")}
 
 
+def test_pii_terms_of_whole_documents_in_every_row(spark):
+    far = " filler word" * 60
+    texts = [f"Ostrander{far} mail o@three.org", f"\u5f20\u4f1f: z@four.org{far}", "nothing but Ostrander"]
+    texts += [f"Zorblax{far} writes from me@site.org"] * 12 + ["Zorblax alone"]
+    texts += [f"writes{far} {w} mail from nothing but alone" for w in ("alpha", "beta") for _ in range(90)]
+    got = flagged_terms(spark, texts)
+    assert got == {(1, "\u5f20\u4f1f"), *((i, "Zorblax") for i in range(3, 16))}
+    clean = {r.doc_id: r.clean for r in pii.sanitise(documents(spark, texts)).collect()}
+    assert clean[15] == "[NAME] alone" and clean[2] is None and clean[1].startswith("[WORD]: [EMAIL]")
+    assert flagged_terms(spark, texts[:2] + texts[3:]) == {(0, "Ostrander"), *((i - (i > 2), t) for i, t in got)}
+
+
 @pytest.mark.parametrize(("length", "gram"), [(12, 5), (30, 8)])
 def test_suffix_dedup(spark, length, gram):
     rng = random.Random(length)

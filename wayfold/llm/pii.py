@@ -1,18 +1,21 @@
 """Information-theoretic removal of personal data. DataFrame operations only.
 
 Emails, addresses, cards and phone numbers are found by pattern and are the protected entities. Then co-occurrence over the
-corpus says what else reveals them: for a term t near an entity e, the pointwise mutual information
+corpus says what else reveals them: for a term t in a document with an entity e, the pointwise mutual information
 log(p(t, e) / (p(t) p(e))) against the information content of the entity, -log p(e), is the share of the entity that the term
-discloses. Terms that disclose at least ``GENERALISE`` of an entity they stand near become their class (a number, a name, a word);
-from ``REMOVE`` on they go. All pairs are scored, however rare: p(e | t) is (n(t, e) + SMOOTH p(e)) / (n(t) + SMOOTH), so a few
+discloses. Terms that disclose at least ``GENERALISE`` of any entity become their class (a number, a name, a word);
+from ``REMOVE`` on they go, in every row that holds them. Both sides of the co-occurrence are counted over whole documents,
+their entities left out. All pairs are scored, however rare: p(e | t) is (n(t, e) + SMOOTH p(e)) / (n(t) + SMOOTH), so a few
 documents count for less than many, and a name in the only document of an entity still discloses it.
 
 Places come from cutting a text at a pattern: the lengths of gaps and matches add up to code point offsets. Patterns are written so that
 they neither rescan runs nor recurse, and each runs only on texts that can hold a match. Document frequencies cover all
-documents; texts are never shuffled, only those with an entity are written once to the scratch folder.
+documents; texts are written once to the scratch folder, and shuffled only if the rows' disclosing terms exceed a broadcast.
+Two steps keep pairs few and lose none: entities that occur in the same rows are one class, and a term in more documents than could
+still disclose an entity (``most_documents``) does not meet it.
 
-Defined results: a null text counts as empty; equal texts are judged alike, and each row counts; term spans that meet a base
-span are left out; an empty table gives no rows; extra columns are ignored.
+Defined results: a null text counts as empty; equal texts are judged alike, and each row counts; terms are looked for
+outside base spans; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +33,10 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-TERM = r"[\p{L}\p{N}]{3,}+"
+TERM = r"[\p{L}\p{N}]{2,}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
-#: Characters on each side of an entity in which terms stand near it, and the terms taken from there.
-NEAR_CHARS, NEAR_TERMS = 400, 12
+#: Documents that count as seen before any, and the shares from which terms are generalised and removed.
 SMOOTH, GENERALISE, REMOVE = 0.5, 0.9, 0.97
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -92,14 +94,33 @@ def _entity(span: Column) -> Column:
     return F.concat(F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1), F.lit(":"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _near(found: DataFrame) -> DataFrame:
-    """row, entity, term: the terms near each entity of each row, once."""
-    one = found.select("row", "text", F.explode_outer("base").alias("s")).where("s IS NOT NULL")
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(NEAR_CHARS)))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(NEAR_CHARS))
-    left, right = F.regexp_extract_all(before, F.lit(TERM), F.lit(0)), F.regexp_extract_all(after, F.lit(TERM), F.lit(0))
-    terms = F.concat(F.slice(F.reverse(left), 1, NEAR_TERMS), F.slice(right, 1, NEAR_TERMS))
-    return one.select("row", _entity(F.col("s")).alias("entity"), F.explode_outer(F.array_distinct(terms)).alias("term")).where("term IS NOT NULL").distinct()
+def _masked() -> Column:
+    """The text with spaces for its entities: what is left to disclose them, at the same places."""
+    done = F.aggregate(
+        "base",
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda acc, s: F.struct(
+            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"]))).alias("out"),
+            F.greatest(s["end"], acc["at"]).alias("at"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+    )
+    return F.when(F.size("base") > 0, done).otherwise(F.col("text"))
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """row, term: the distinct terms of each row's whole text outside its entities."""
+    return rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(_masked(), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
+def _classes(found: DataFrame) -> DataFrame:
+    """row, classes: the entities of each row, those that occur in the same rows as one, with their number of rows n."""
+    entities = found.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    shared = entities.groupBy("entity").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mix")).where("n > 1")
+    shared = materialize(shared.select("entity", F.struct("n", "first", "last", "mix").alias("class")), "pii-shared")
+    alone = F.struct(F.lit(1).cast("long").alias("n"), F.col("row").alias("first"), F.col("row").alias("last"), F.xxhash64("row").alias("mix"))
+    named = entities.join(sized_broadcast(shared, shared.count() * 4), "entity", "left")
+    return named.groupBy("row").agg(F.collect_set(F.coalesce("class", alone)).alias("classes"))
 
 
 def share_of(total: int, entity: Column, term: Column, both: Column) -> Column:
@@ -110,36 +131,40 @@ def share_of(total: int, entity: Column, term: Column, both: Column) -> Column:
     return F.when(information > 0, mutual / information).otherwise(0.0)
 
 
-def disclosures(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, share: how much of an entity a term near it discloses."""
-    total = rows.count()
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
-    terms = materialize(both.select("term").distinct(), "pii-terms")
-    words = rows.select(F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = words.join(sized_broadcast(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    joined = both.join(entities, "entity").join(counted, "term")
-    return joined.select("entity", "term", share_of(total, F.col("n_entity"), F.col("n_term"), F.col("n_both")).alias("share"))
+def most_documents(total: int, entity: Column) -> Column:
+    """In how many documents a term can be and still disclose ``GENERALISE`` of an entity: share_of with each of the entity's as both."""
+    p = entity / float(total)
+    return (entity + SMOOTH * p) * F.pow(p, F.lit(GENERALISE - 1)) * (1 + 1e-9) - SMOOTH
+
+
+def disclosures(rows: DataFrame) -> DataFrame:
+    """term, share: the most that a term discloses of an entity, from ``GENERALISE`` on. ``rows``: row, base, text."""
+    total = max(rows.count(), 1)
+    found = rows.where(F.size("base") > 0)
+    classes = materialize(_classes(found), "pii-classes")
+    top = classes.agg(F.max(F.array_max(F.transform("classes", lambda c: c["n"])))).first()[0] or 1
+    counted = _words(rows).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= most_documents(total, F.lit(top)))
+    counted = materialize(counted, "pii-words")
+    near = _words(found).join(sized_broadcast(counted, counted.count() * 2), "term").join(sized_broadcast(classes, classes.count() * 4), "row")
+    able = F.filter("classes", lambda c: F.col("n_term") <= most_documents(total, c["n"]))
+    pairs = near.select("term", "n_term", F.explode(able).alias("class")).groupBy("class", "term", "n_term").agg(F.count("*").alias("n_both"))
+    shares = pairs.select("term", share_of(total, F.col("class.n"), F.col("n_term"), F.col("n_both")).alias("share"))
+    return shares.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, row, base and terms (spans by start), text where there are any."""
     rows = docs.select(docs["doc_id"], text_of(docs).alias("text"))
-    based = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), base_spans(F.col("text")).alias("base"), "text")
-    based = materialize(based.select("doc_id", "row", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-base")
-    found = based.where("text IS NOT NULL").select("row", "text", "base")
-    near = materialize(_near(found), "pii-near")
-    shares = materialize(disclosures(rows, near).where(F.col("share") >= GENERALISE), "pii-shares")
-    hits = near.join(sized_broadcast(shares, shares.count() * 4), ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("hits"))
-    marked = found.join(materialize(hits, "pii-hits"), "row")
+    based = materialize(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), base_spans(F.col("text")).alias("base"), "text"), "pii-base")
+    shares = materialize(disclosures(based), "pii-shares")
+    hits = _words(based).join(sized_broadcast(shares, shares.count() * 2), "term").groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("hits"))
+    hits = materialize(hits, "pii-hits")
+    n_hits = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
+    marked = based.join(sized_broadcast(hits, n_hits * 2), "row", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("hits", lambda h: h["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    spans = marked.select("row", "base", "hits", _places(F.col("text"), pattern, 4).alias("t"))
-    clear = F.filter("t", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    share = F.map_from_entries(F.transform("hits", lambda h: F.struct(h["term"], h["share"])))
-    spans = spans.select(F.col("row").alias("r"), clear.alias("terms"), share.alias("shares"))
-    joined = based.join(spans, F.col("row") == F.col("r"), "left")
-    return joined.select("doc_id", "row", "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"), "shares", "text")
+    places = F.when(F.col("hits").isNotNull(), _places(_masked(), pattern, 4)).otherwise(F.array().cast(_SPAN))
+    some = F.when((F.size("base") > 0) | F.col("hits").isNotNull(), F.col("text"))
+    return marked.select("doc_id", "row", "base", places.alias("terms"), F.map_from_entries("hits").alias("shares"), some.alias("text"))
 
 
 def listing(spans: Column) -> Column:
