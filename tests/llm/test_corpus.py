@@ -375,3 +375,15 @@ def test_every_code_within_the_radius_is_found():
         d = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
         reach = max(d[k] for k in got)
         assert len(got) >= want and got == set(np.flatnonzero(d <= reach).tolist())
+
+
+def test_far_codes_are_found_by_probing(monkeypatch):
+    codes = np.random.default_rng(5).integers(0, 2**63, (2000, 4), dtype=np.uint64)
+    index = neighbours.MultiIndex(codes)
+    measured = index._distance
+    asked = []
+    monkeypatch.setattr(index, "_distance", lambda rows, code: asked.append(rows) or measured(rows, code))
+    got = index.within(codes[0], 50)
+    d = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
+    assert d[got].max() > 63 and got.tolist() == np.flatnonzero(d <= np.sort(d)[49]).tolist()
+    assert not any(isinstance(rows, slice) for rows in asked) and index.visited == sum(map(len, asked))

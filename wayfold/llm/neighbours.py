@@ -2,10 +2,10 @@
 
 Codes: vectors less their mean, turned by several learned rotations (alternating sign assignment and orthogonal
 Procrustes on a bounded sample), one bit per coordinate's sign. A shard of rows keeps one table per substring of
-16 bits. A query probes every table with all values within r flips; by the pigeonhole principle that finds every code
-within m * (r + 1) - 1 bits, m the number of substrings. r grows until ``CANDIDATES`` codes of the shard
-lie within that radius; when another round would probe more values than the shard has rows, all rows are compared,
-which gives the same set. Candidates are reranked by inner product on the original vectors in double precision.
+8 bits. The radius grows by one bit, and with it the flips r in one table: by the pigeonhole principle, r flips in tables 0 to j and
+r - 1 in the others find every code within m * r + j bits, m the number of substrings. It stops when ``CANDIDATES`` codes of the shard
+lie within the radius. Codes are never scanned; where neighbours are far, the probes themselves reach most rows of the shard.
+Candidates are reranked by inner product on the original vectors in double precision.
 
 Rows are dealt to shards of about ``SHARD_ROWS`` and queries to blocks of about ``BLOCK_QUERIES``; each block meets each shard,
 and only the best k of a query leave a shard.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import materialize
 
 SAMPLE_ROWS, ROTATIONS, ROUNDS, SEED = 10_000, 4, 25, 5
-SUBSTRING = 16
+SUBSTRING = 8
 SHARD_ROWS, BLOCK_QUERIES, CANDIDATES = 16_384, 4_096, 400
 
 
@@ -52,42 +52,50 @@ def binary_codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> n
 
 
 class MultiIndex:
-    """One table per 16-bit substring over the codes of a shard."""
+    """One table per 8-bit substring over the codes of a shard."""
 
-    flips = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() == n], np.uint16) for n in range(4)]
+    flips = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() == n], np.uint8) for n in range(SUBSTRING + 1)]
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.n = codes, len(codes)
-        parts = codes.view(np.uint16)
+        parts = codes.view(np.uint8)
         self.m = parts.shape[1]
         self.rows = np.argsort(parts, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.starts = np.zeros((self.m, (1 << SUBSTRING) + 1), np.int32)
+        self.starts = np.zeros((self.m, (1 << SUBSTRING) + 1), np.int64)
+        self.probed = self.visited = 0  # values, and rows that they found
         for j in range(self.m):
             self.starts[j, 1:] = np.cumsum(np.bincount(parts[:, j], minlength=1 << SUBSTRING))
 
     def within(self, code: np.ndarray, want: int) -> np.ndarray:
-        """All rows within the smallest probed radius that holds at least ``want`` of them."""
-        parts = code.view(np.uint16)
+        """All rows within the smallest radius that holds at least ``want`` of them."""
+        parts = code.view(np.uint8)
         marked = np.zeros(self.n, bool)
-        tables = np.arange(self.m)[:, None]
-        for r, masks in enumerate(self.flips):
-            if len(masks) * self.m > self.n:
-                break
-            values = parts[:, None] ^ masks[None, :]
-            a, b = self.starts[tables, values].ravel(), self.starts[tables, values.astype(np.int64) + 1].ravel()
-            hit = np.flatnonzero(b > a)
-            counts = b[hit] - a[hit]
-            if len(counts):
-                at = np.repeat(a[hit] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-                marked[self.rows[np.repeat(hit // len(masks), counts), at]] = True
-            near = np.flatnonzero(marked)
-            near = near[self._distance(near, code) <= self.m * (r + 1) - 1]
-            if len(near) >= want:
-                return near
-        distance = self._distance(slice(None), code)
-        if self.n <= want:
-            return np.arange(self.n)
-        return np.flatnonzero(distance <= np.partition(distance, want - 1)[want - 1])
+        held = np.zeros(64 * self.codes.shape[1] + 1, np.int64)  # rows found, by distance
+        found, distances, inside, radius = [], [], 0, -1
+        for masks in self.flips:
+            for j in range(self.m):
+                values = (parts[j] ^ masks).astype(np.int64)
+                a, counts = self.starts[j, values], self.starts[j, values + 1] - self.starts[j, values]
+                at = np.repeat(a - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+                new = self.rows[j, at]
+                new = new[~marked[new]]
+                self.probed += len(masks)
+                if len(new):
+                    marked[new] = True
+                    d = self._distance(new, code)
+                    held += np.bincount(d, minlength=len(held))
+                    inside += int((d <= radius).sum())
+                    found.append(new), distances.append(d)
+                radius += 1
+                inside += int(held[radius]) if radius < len(held) else 0
+                if inside >= want or radius >= len(held):
+                    break
+            else:
+                continue
+            break
+        rows, d = np.concatenate(found or [np.zeros(0, np.int32)]), np.concatenate(distances or [np.zeros(0, np.int64)])
+        self.visited += len(rows)
+        return np.sort(rows[d <= radius])
 
     def _distance(self, rows, code: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64)
