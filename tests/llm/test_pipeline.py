@@ -37,3 +37,31 @@ def test_sql_equivalents(spark):
     from wayfold.llm.queries import ORACLES
 
     assert compare("sf0.001", sorted(ORACLES)) == 0
+
+
+def test_kept_rows_equal_plain_python(spark):
+    import collections
+    import re
+
+    import numpy as np
+    from test_corpus import plain_components
+
+    seen = [spark.read.parquet(f"{D}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        seen.append(materialize(stage(spark, seen[-1], D), f"plain-{name}"))
+    rows = [sorted((r.doc_id, r.text or "") for r in s.collect()) for s in seen]
+    odds, bias = quality.fit(seen[0], spark.read.parquet(f"{D}/labels.parquet"))
+    of = quality.Features()
+    scores = []
+    for _, t in rows[0]:
+        ids, part = of(t)
+        scores.append(1 / (1 + np.exp(-(float(part @ odds[ids]) + bias))))
+    near = {r[0] for r, s in zip(rows[0], scores) if abs(s - quality.THRESHOLD) < 1e-4}
+    assert [r for r in rows[1] if r[0] not in near] == [r for r, s in zip(rows[0], scores) if s >= quality.THRESHOLD and r[0] not in near]
+    first = {}
+    for i, t in rows[1]:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t))
+    assert rows[2] == sorted(first.values())
+    assert rows[3] == [rows[2][i] for i, _, c in plain_components([t for _, t in rows[2]]) if i == c]
+    copies = {r.doc_id: r.copies for r in mixing.mix(seen[3]).collect()}
+    assert collections.Counter(rows[4]) == collections.Counter({r: copies[r[0]] for r in rows[3] if copies[r[0]]})
