@@ -201,26 +201,36 @@ def test_pii_terms_of_whole_documents_in_every_row(spark):
     assert flagged_terms(spark, texts[:2] + texts[3:]) == {(0, "Ostrander"), *((i - (i > 2), t) for i, t in got)}
 
 
-@pytest.mark.parametrize(("length", "gram"), [(12, 5), (30, 8)])
-def test_suffix_dedup(spark, length, gram):
+def covered(strings, length, count):
+    """Whether each symbol lies in a string of ``length`` symbols that starts more than once."""
+    gone = np.zeros(len(strings) + 1, bool)
+    for k in range(len(strings) - length + 1):
+        if count[strings[k : k + length]] > 1:
+            gone[k : k + length] = True
+    return gone
+
+
+@pytest.mark.parametrize(("length", "gram", "words", "word_gram", "hot"), [(12, 5, 6, 2, False), (30, 8, 9, 4, False), (12, 5, 6, 2, True)])
+def test_suffix_dedup(spark, monkeypatch, length, gram, words, word_gram, hot):
+    if hot:  # starts of common anchors by name, and texts that shuffle
+        monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 2)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
     rng = random.Random(length)
     base = ["".join(rng.choice("abcd é") for _ in range(120)) for _ in range(3)]
-    texts = [None, "", "ab" * 40, "a" * 90, base[0], base[0]] + [rng.choice(base)[: rng.randint(0, 100)] + rng.choice("xyz") + rng.choice(base)[rng.randint(0, 60) :] for _ in range(40)]
+    texts = [None, "", "ab" * 40, "a" * 90, "a b " * 30, base[0], base[0], base[1].replace(" ", "\n ")] + [rng.choice(base)[: rng.randint(0, 100)] + rng.choice("xyz") + rng.choice(base)[rng.randint(0, 60) :] for _ in range(40)]
     docs = documents(spark, texts)
-    count = collections.Counter()
+    count, runs = collections.Counter(), collections.Counter()
     for t in texts:
-        b = (t or "").encode()
+        b, w = (t or "").encode(), tuple((t or "").encode().split())
         count.update(b[k : k + length] for k in range(len(b) - length + 1))
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length, gram).collect()}
+        runs.update(w[k : k + words] for k in range(len(w) - words + 1))
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length, gram, words, word_gram).collect()}
     for i, t in enumerate(texts):
-        b = (t or "").encode()
-        gone = np.zeros(len(b) + 1, bool)
-        for k in range(len(b) - length + 1):
-            if count[b[k : k + length]] > 1:
-                gone[k : k + length] = True
+        b, w = (t or "").encode(), tuple((t or "").encode().split())
+        gone, said = covered(b, length, count), covered(w, words, runs)
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        runs = int((gone[1:] < gone[:-1]).sum())
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), len(b) - len(kept), runs, kept)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), len(b) - len(kept), int((gone[1:] < gone[:-1]).sum()), kept)
+        assert (got[i].n_passages, got[i].passage_words) == (int((said[1:] < said[:-1]).sum()), int(said.sum()))
     assert suffix_dedup.remove_repeats(docs.where("false"), length, gram).count() == 0
 
 

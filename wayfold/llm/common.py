@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of every word rule here: space, tab, newline, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
-#: Rows of ids (8 to 16 bytes each) up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _paths: list[tuple[SparkSession, str]] = []
 
@@ -60,9 +60,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a table of ids with ``rows`` counted rows, if within BROADCAST_ROWS."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized_broadcast(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
+    """Broadcast hint for a table of ``rows`` counted rows of about ``row_bytes`` bytes each, if within BROADCAST_BYTES."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
