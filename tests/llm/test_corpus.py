@@ -387,13 +387,22 @@ def test_every_code_within_the_radius_is_found():
         assert len(got) >= want and got == set(np.flatnonzero(d <= reach).tolist())
 
 
-def test_far_codes_are_found_by_probing(monkeypatch):
-    codes = np.random.default_rng(5).integers(0, 2**63, (2000, 4), dtype=np.uint64)
+def test_far_codes_are_found_by_probing():
+    """Nothing is looked at but what the tables return for the probed flips, and that holds every code within the radius."""
+    codes = np.random.default_rng(5).integers(0, 2**63, (2000, 2), dtype=np.uint64)
+    codes[1000:1100] = codes[7]  # equal codes count once and come all together
     index = neighbours.MultiIndex(codes)
-    measured = index._distance
-    asked = []
-    monkeypatch.setattr(index, "_distance", lambda rows, code: asked.append(rows) or measured(rows, code))
-    got = index.within(codes[0], 50)
+    got = np.sort(index.within(codes[0], 60))
     d = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
-    assert d[got].max() > 63 and got.tolist() == np.flatnonzero(d <= np.sort(d)[49]).tolist()
-    assert not any(isinstance(rows, slice) for rows in asked) and index.visited == sum(map(len, asked))
+    radius = np.sort(np.bitwise_count(np.unique(codes, axis=0) ^ codes[0]).sum(axis=1))[59]
+    assert radius > 31 and got.tolist() == np.flatnonzero(d <= radius).tolist()
+    each = np.bitwise_count(index.codes.view(np.uint16) ^ codes[0].view(np.uint16))
+    flips = next(r for r in range(17) if index.m * (r + 1) > radius)
+    assert index.visited == int((each <= flips).any(axis=1).sum()) < index.n and index.probed == index.m * sum(len(f) for f in index.flips[: flips + 1])
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 1.0]), (1, [0.5, 1.0]), (2, [9.0, 0.1])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 0.1)]
+

@@ -1,48 +1,48 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Codes: vectors less their mean, turned by several learned rotations (alternating sign assignment and orthogonal
-Procrustes on a bounded sample), one bit per coordinate's sign. A shard of rows keeps one table per substring of
-8 bits. The radius grows by one bit, and with it the flips r in one table: by the pigeonhole principle, r flips in tables 0 to j and
-r - 1 in the others find every code within m * r + j bits, m the number of substrings. It stops when ``CANDIDATES`` codes of the shard
-lie within the radius. Codes are never scanned; where neighbours are far, the probes themselves reach most rows of the shard.
-Candidates are reranked by inner product on the original vectors in double precision.
+Codes: vectors less their mean, turned by learned rotations (alternating sign assignment and orthogonal Procrustes on a bounded
+sample), one bit per coordinate's sign, ``BITS`` in all. A shard of rows keeps one table per substring of 16 bits, over its
+different codes. Probing goes by levels: with r flips in every table, the pigeonhole principle finds every code within
+m * (r + 1) - 1 bits, m the number of substrings. Levels end when ``SHARE`` of the shard's codes (``CANDIDATES`` at least) lie within
+that radius; the least radius that holds so many is the one retrieved, whole, and its rows are reranked by inner product on
+the original vectors in double precision. Codes are never scanned: only what the tables return is looked at.
 
 Rows are dealt to shards of about ``SHARD_ROWS`` and queries to blocks of about ``BLOCK_QUERIES``; each block meets each shard,
 and only the best k of a query leave a shard.
 
 Defined results: vectors that are null, zero, of another length than the commonest, or hold null or non-finite components
-take no part; a query never finds rows of its own vec_id; ties go to the smaller vec_id; fewer than k candidates give them
-all; null vec_ids take no part; an empty table gives no rows; extra columns are ignored.
+take no part; a query never finds rows of its own vec_id; of rows that share a vec_id the one with the least vector asks, and each can
+be found; ties go to the smaller vec_id; fewer than k candidates give them all; null vec_ids take no part; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize
 
-SAMPLE_ROWS, ROTATIONS, ROUNDS, SEED = 10_000, 4, 25, 5
-SUBSTRING = 8
-SHARD_ROWS, BLOCK_QUERIES, CANDIDATES = 16_384, 4_096, 400
+SAMPLE_ROWS, ROUNDS, SEED = 10_000, 25, 5
+BITS, SUBSTRING = 128, 16
+SHARD_ROWS, BLOCK_QUERIES, CANDIDATES, SHARE = 16_384, 16_384, 400, 0.08
 
 
 def learn_rotations(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and a (d, bits) matrix: ROTATIONS orthogonal matrices side by side, bits padded to whole substrings."""
+    """Mean and a (d, BITS) matrix: orthogonal matrices side by side, as many as give that many bits."""
     rng = np.random.default_rng(SEED)
     mean = sample.mean(axis=0)
     x, d = sample - mean, sample.shape[1]
     found = []
-    for _ in range(max(ROTATIONS, -(-64 // d))):
+    for _ in range(-(-BITS // d)):
         r = np.linalg.qr(rng.normal(size=(d, d)))[0]
         for _ in range(ROUNDS):
             u, _, vt = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
             r = vt.T @ u.T
         found.append(r)
-    whole = np.hstack(found)
-    return mean, whole[:, : whole.shape[1] // 64 * 64]
+    return mean, np.hstack(found)[:, :BITS]
 
 
 def binary_codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -52,53 +52,55 @@ def binary_codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> n
 
 
 class MultiIndex:
-    """One table per 8-bit substring over the codes of a shard."""
+    """One table per 16-bit substring over the different codes of a shard."""
 
-    flips = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() == n], np.uint8) for n in range(SUBSTRING + 1)]
+    flips = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() == n], np.uint16) for n in range(SUBSTRING + 1)]
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.n = codes, len(codes)
-        parts = codes.view(np.uint8)
+        order = np.lexsort(codes.T)
+        new = np.r_[True, np.any(codes[order[1:]] != codes[order[:-1]], axis=1)][: len(codes)]
+        self.codes, self.members = codes[order][new], order  # rows of a code: members[first : first of the next]
+        self.first = np.r_[np.flatnonzero(new), len(codes)]
+        self.n, parts = len(self.codes), self.codes.view(np.uint16)
         self.m = parts.shape[1]
         self.rows = np.argsort(parts, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.starts = np.zeros((self.m, (1 << SUBSTRING) + 1), np.int64)
-        self.probed = self.visited = 0  # values, and rows that they found
+        self.starts = np.zeros((self.m, (1 << SUBSTRING) + 1), np.int32)
+        self.probed = self.visited = self.asked = 0  # values, codes that they found, queries
         for j in range(self.m):
             self.starts[j, 1:] = np.cumsum(np.bincount(parts[:, j], minlength=1 << SUBSTRING))
 
+    def _found(self, j: int, values: np.ndarray) -> np.ndarray:
+        """Codes whose substring ``j`` is one of ``values``."""
+        a, b = self.starts[j, values], self.starts[j, values + 1]
+        some = a < b
+        a, counts = a[some].astype(np.int64), (b - a)[some]
+        return self.rows[j, np.repeat(a - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+
     def within(self, code: np.ndarray, want: int) -> np.ndarray:
-        """All rows within the smallest radius that holds at least ``want`` of them."""
-        parts = code.view(np.uint8)
+        """All rows within the smallest radius that holds at least ``want`` codes (or all)."""
+        parts = code.view(np.uint16)
         marked = np.zeros(self.n, bool)
-        held = np.zeros(64 * self.codes.shape[1] + 1, np.int64)  # rows found, by distance
-        found, distances, inside, radius = [], [], 0, -1
-        for masks in self.flips:
+        want, bits, rows, distance = min(want, self.n), 64 * self.codes.shape[1], [], []
+        held = np.zeros(bits + 1, np.int64)  # codes found, by distance
+        self.asked += 1
+        for r, masks in enumerate(self.flips):
+            new = np.zeros(self.n, bool)
             for j in range(self.m):
-                values = (parts[j] ^ masks).astype(np.int64)
-                a, counts = self.starts[j, values], self.starts[j, values + 1] - self.starts[j, values]
-                at = np.repeat(a - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-                new = self.rows[j, at]
-                new = new[~marked[new]]
-                self.probed += len(masks)
-                if len(new):
-                    marked[new] = True
-                    d = self._distance(new, code)
-                    held += np.bincount(d, minlength=len(held))
-                    inside += int((d <= radius).sum())
-                    found.append(new), distances.append(d)
-                radius += 1
-                inside += int(held[radius]) if radius < len(held) else 0
-                if inside >= want or radius >= len(held):
-                    break
-            else:
-                continue
-            break
-        rows, d = np.concatenate(found or [np.zeros(0, np.int32)]), np.concatenate(distances or [np.zeros(0, np.int64)])
+                new[self._found(j, (parts[j] ^ masks).astype(np.int64))] = True
+            self.probed += self.m * len(masks)
+            found = np.flatnonzero(new & ~marked)
+            marked[found] = True
+            rows.append(found)
+            distance.append(np.bitwise_count(self.codes[found] ^ code).sum(axis=1, dtype=np.int64))
+            held += np.bincount(distance[-1], minlength=bits + 1)
+            if held[: self.m * (r + 1)].sum() >= want:
+                break
+        radius = int(np.searchsorted(np.cumsum(held), want))
+        rows, distance = np.concatenate(rows), np.concatenate(distance)
         self.visited += len(rows)
-        return np.sort(rows[d <= radius])
-
-    def _distance(self, rows, code: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64)
+        near = rows[distance <= radius]
+        size = self.first[near + 1] - self.first[near]
+        return self.members[np.repeat(self.first[near] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 def _matrix(table: pa.Table, dtype) -> np.ndarray:
@@ -110,7 +112,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_shard(queries: pa.Table, rows: pa.Table, model, k: int, candidates: int) -> pa.Table:
+def search_shard(queries: pa.Table, rows: pa.Table, model, k: int, candidates: int, share: float = SHARE) -> pa.Table:
     """The best k of the shard for each query of the block."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not len(queries) or not len(rows):
@@ -118,10 +120,10 @@ def search_shard(queries: pa.Table, rows: pa.Table, model, k: int, candidates: i
     ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows, np.float64)
     index = MultiIndex(binary_codes(vectors, model))
     asked, points = queries.column("vec_id").to_numpy(), _matrix(queries, np.float64)
+    want = max(candidates, int(share * index.n)) + 1
     out = []
     for q, point, code in zip(asked, points, binary_codes(points, model)):
-        own = int((ids == q).sum())
-        near = index.within(code, min(candidates, index.n) + own)
+        near = index.within(code, want)
         near = near[ids[near] != q]
         scores = vectors[near] @ point
         best = _best(ids[near], scores, k)
@@ -147,8 +149,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, candidates: int = CA
     valid = materialize(valid.where(F.size("embedding") == lengths["d"]), "ann-vectors")
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toPandas()["embedding"]
     model = learn_rotations(np.stack(sample.to_numpy()).astype(np.float64))
-    shared = spark.sparkContext.broadcast(model)  # d x 4d numbers
-    queries = valid.where(is_query)
+    shared = spark.sparkContext.broadcast(model)  # d x BITS numbers
+    queries = valid.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     shards = max(1, -(-lengths["n"] // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
@@ -158,5 +160,5 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, candidates: int = CA
     left = dealt(queries, "block", blocks, "shard", shards).groupBy("shard", "block")
     right = dealt(valid, "shard", shards, "block", blocks).groupBy("shard", "block")
     found = left.cogroup(right).applyInArrow(lambda q, r: search_shard(q, r, shared.value, k, candidates), "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # limited to k before and after its shuffle
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
