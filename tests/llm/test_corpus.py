@@ -210,6 +210,33 @@ def covered(strings, length, count):
     return gone
 
 
+def test_pii_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    voc = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    mails = [f"u{i}@site.org" for i in range(12)]
+    texts = [" ".join(rng.choice(voc) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    texts = [f"{t} {rng.choice(mails)} {rng.choice(mails)}" if i % 5 == 0 else t for i, t in enumerate(texts)]
+    texts += [texts[0], texts[5], None]  # repeats count as rows
+    sets = [{w for w in (t or "").split() if "@" not in w} for t in texts]
+    entities = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for e in re.findall(r"u[0-9]+@site.org", t or ""):
+            entities[e].add(i)
+    rows = collections.defaultdict(set)
+    for i, ws in enumerate(sets):
+        for w in ws:
+            rows[w].add(i)
+    share = {}
+    for w, own in rows.items():
+        for held in entities.values():
+            p = len(held) / len(texts)
+            if both := len(own & held):
+                share[w] = max(share.get(w, 0), (np.log((both + pii.SMOOTH * p) / (len(own) + pii.SMOOTH)) - np.log(p)) / -np.log(p))
+    want = {w for w, x in share.items() if x >= pii.GENERALISE}
+    assert 0 < len(want) < len(share)
+    assert flagged_terms(spark, texts) == {(i, w) for w in want for i in rows[w]}
+
+
 @pytest.mark.parametrize(("length", "gram", "words", "word_gram", "hot"), [(12, 5, 6, 2, False), (30, 8, 9, 4, False), (12, 5, 6, 2, True)])
 def test_suffix_dedup(spark, monkeypatch, length, gram, words, word_gram, hot):
     if hot:  # starts of common anchors by name, and texts that shuffle

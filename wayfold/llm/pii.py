@@ -10,7 +10,8 @@ documents count for less than many, and a name in the only document of an entity
 
 Places come from cutting a text at a pattern: the lengths of gaps and matches add up to code point offsets. Patterns are written so that
 they neither rescan runs nor recurse, and each runs only on texts that can hold a match. Document frequencies cover all
-documents; texts are written once to the scratch folder, and shuffled only if the rows' disclosing terms exceed a broadcast.
+documents; texts are scanned again for each step (the patterns cost less than a copy on disk; only rows with entities are
+written once), rows are named by a hash of their text, and texts shuffle only if the rows' disclosing terms exceed a broadcast.
 Two steps keep pairs few and lose none: entities that occur in the same rows are one class, and a term in more documents than could
 still disclose an entity (``most_documents``) does not meet it.
 
@@ -139,8 +140,8 @@ def most_documents(total: int, entity: Column) -> Column:
 
 def disclosures(rows: DataFrame) -> DataFrame:
     """term, share: the most that a term discloses of an entity, from ``GENERALISE`` on. ``rows``: row, base, text."""
-    total = max(rows.count(), 1)
-    found = rows.where(F.size("base") > 0)
+    total = max(rows.select("row").count(), 1)
+    found = materialize(rows.where(F.size("base") > 0).select("row", "base", "text"), "pii-found")
     classes = materialize(_classes(found), "pii-classes")
     top = classes.agg(F.max(F.array_max(F.transform("classes", lambda c: c["n"])))).first()[0] or 1
     counted = _words(rows).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= most_documents(total, F.lit(top)))
@@ -153,18 +154,18 @@ def disclosures(rows: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row, base and terms (spans by start), text where there are any."""
-    rows = docs.select(docs["doc_id"], text_of(docs).alias("text"))
-    based = materialize(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), base_spans(F.col("text")).alias("base"), "text"), "pii-base")
+    """One row per row of ``docs``: doc_id, base and terms (spans by start), shares, text where there are any spans."""
+    text = text_of(docs)
+    based = docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), base_spans(text).alias("base"), text.alias("text"))
     shares = materialize(disclosures(based), "pii-shares")
-    hits = _words(based).join(sized_broadcast(shares, shares.count() * 2), "term").groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("hits"))
+    hits = _words(based).join(sized_broadcast(shares, shares.count() * 2), "term").groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
     hits = materialize(hits, "pii-hits")
     n_hits = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
     marked = based.join(sized_broadcast(hits, n_hits * 2), "row", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("hits", lambda h: h["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     places = F.when(F.col("hits").isNotNull(), _places(_masked(), pattern, 4)).otherwise(F.array().cast(_SPAN))
     some = F.when((F.size("base") > 0) | F.col("hits").isNotNull(), F.col("text"))
-    return marked.select("doc_id", "row", "base", places.alias("terms"), F.map_from_entries("hits").alias("shares"), some.alias("text"))
+    return marked.select("doc_id", "base", places.alias("terms"), F.map_from_entries("hits").alias("shares"), some.alias("text"))
 
 
 def listing(spans: Column) -> Column:
@@ -197,7 +198,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; then n_base and n_terms, spans of the four kinds and of terms."""
     kinds = F.transform("base", lambda s: s["kind"])
-    counts = [F.size(F.array_remove(F.transform(kinds, lambda x: F.when(x == F.lit(k), 1).otherwise(0)), 0)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return find(docs).select("doc_id", *counts, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.sort_array(F.concat("base", "terms"))).alias("spans"))
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    more = [F.size(c).cast("long").alias(n) for c, n in (("base", "n_base"), ("terms", "n_terms"))]
+    return find(docs).select("doc_id", *counts, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.sort_array(F.concat("base", "terms"))).alias("spans"), *more)
