@@ -71,6 +71,13 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(sized_broadcast(named, ids.count()), docs[key].eqNullSafe(F.col("_id")), how)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``gone`` names by doc_id and th (xxhash64 of the text); null ids equal each other."""
+    named = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(docs)) == F.col("_th"))
+    return docs.join(sized_broadcast(named, named.count()), same, "left_anti")
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, and then what its task has freed goes back to the system: workers outlive their tasks, and idle ones count too."""
 

@@ -76,8 +76,8 @@ def _thresholds(light: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame) -> Column:
-    """60 bits of a row's hash, the same in every run."""
-    return F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    """60 bits of a row's hash, the same in every run: of its id, or of its text where it has none."""
+    return F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), text_of(docs))), 1, 15), 16, 10).cast("long")
 
 
 def _copies(u: Column) -> Column:
@@ -114,7 +114,7 @@ def take(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+                      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS u FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3 * source_size::DOUBLE AS cap FROM s),
     l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

@@ -14,7 +14,8 @@ document's component of links. Equal sets collapse first, so copies are one node
    token union; then the exact similarity with each member decides. Nothing is capped: every pair of documents in different
    units that could link is met, and pairs within a unit add nothing to the components.
 
-Tokens are 64-bit hashes of the whole shingles. The sketch has a fixed size (4 MB) and is summed over all documents.
+Tokens are 64-bit hashes of the whole shingles. The sketch has a fixed size (4 MB) and is summed over all documents, in two steps:
+tasks to SKETCH_HALVES sums, those to one.
 
 Defined results: a null, empty or blank text has no shingles and is its own component; with fewer words than a shingle has, the
 whole sequence is the one shingle; a null doc_id gets the least non-null doc_id of its component, or null; repeated rows are
@@ -31,17 +32,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, sized_broadcast, text_of, trimmed, with_ids
+from wayfold.llm.common import materialize, sized_broadcast, text_of, trimmed, without
 from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 75
 MINIMA = 6
-SKETCH_BITS, SKETCH_PARTS = 20, 16
-#: Sizes that tasks are dealt by; none drops anything.
-GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, BUCKET_TOKENS, PAIR_BLOCK = 1024, 256, 4096, 1_000_000, 1_000_000
+SKETCH_BITS, SKETCH_PARTS, SKETCH_HALVES = 20, 64, 256
+#: Sizes that tasks are dealt by; none drops anything. Groups are bounded by documents and by tokens (8 bytes each).
+GROUP_NODES, CHUNK_NODES, CHUNK_QUERIES, GROUP_TOKENS, BUCKET_TOKENS, PAIR_BLOCK = 512, 256, 1024, 4_000_000, 1_000_000, 1_000_000
 CACHE_WORDS, SLICE_BYTES = 250_000, 2 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -148,29 +149,22 @@ def _signatures(words: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys, pa.binary()), wide, *none], names=names)
         if kind is not None:
             m, each = SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS
-            parts = [sketch[k * each : (k + 1) * each].astype(np.uint32).tobytes() for k in range(m)]
+            parts = [sketch[k * each : (k + 1) * each].tobytes() for k in range(m)]
             yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
 
 def _sum_sketch(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.uint32).astype(np.int64) for b in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
+    for counts in table.column("counts"):
+        total += np.frombuffer(counts.as_buffer(), np.int64)
+    return pa.table([*(table.column(c).slice(0, 1) for c in table.column_names[:-1]), pa.array([total.tobytes()], pa.binary())], names=table.column_names)
 
 
-#: Bytes kept of a token in sets that move: 48 bits, so that two sets of 20,000 differ by chance in one of a million pairs at most.
-TOKEN_BYTES = 6
-
-
-def _slim(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :]).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
-    out[:, 8 - TOKEN_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
-    return out.view(np.uint64).ravel()
+def _parts_of(documents: Column, tokens: Column, most: int) -> Column:
+    """Into how many parts a group is dealt: at most about ``most`` documents and GROUP_TOKENS tokens each."""
+    return F.greatest(F.ceil(documents / most), F.ceil(tokens / GROUP_TOKENS)).cast("long")
 
 
 def _grouped_sets(words: int):
@@ -186,7 +180,7 @@ def _grouped_sets(words: int):
                     if len(sent) > 1_000_000:
                         sent.clear()
                     sent.add(key)
-                    data = _slim(s)
+                    data = s.tobytes()
                     rows += [(p["group"], p["member"], key, data) for p in places]
             if rows:
                 group, member, keys, data = zip(*rows)
@@ -251,7 +245,7 @@ def _open_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
         keys, tokens = table.column("key").to_pylist(), table.column("tokens").to_pylist()
         one = {k: t for k, t in zip(keys, tokens)}
-        keys, sets = list(one), [_wide(t) for t in one.values()]
+        keys, sets = list(one), [np.frombuffer(t, np.uint64) for t in one.values()]
         pairs = spanning_links(sets, percent) if len(keys) > 1 else []
         return pa.table({"u": pa.array([keys[a] for a, _ in pairs], pa.binary()), "v": pa.array([keys[b] for _, b in pairs], pa.binary())})
 
@@ -382,8 +376,8 @@ def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy(zero_copy_only=False)
         keys, tokens = table.column("key").to_pylist(), table.column("tokens").to_pylist()
-        inside = {keys[k]: _wide(tokens[k]) for k in np.flatnonzero(member)}
-        asked = {keys[k]: _wide(tokens[k]) for k in np.flatnonzero(~member)}
+        inside = {keys[k]: np.frombuffer(tokens[k], np.uint64) for k in np.flatnonzero(member)}
+        asked = {keys[k]: np.frombuffer(tokens[k], np.uint64) for k in np.flatnonzero(~member)}
         found = []
         if inside and asked:
             names, union = list(inside), Postings(list(inside.values()))
@@ -409,6 +403,11 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    return _components(docs, words, percent).drop("th")
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same with th, the text's hash."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_of(docs)
@@ -416,13 +415,15 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sig = rows.mapInArrow(trimmed(_signatures(words)), f"doc_id {kind}, th long, n long, key binary, mins array<long>, part int, counts binary")
     sig = materialize(sig, "join-signatures")
     listed = sig.where("part IS NULL").select("doc_id", "th", "n", "key", "mins")
-    parts = sig.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_sum_sketch, "part int, counts binary")
+    parts = sig.where("part IS NOT NULL").select("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SKETCH_HALVES)).alias("half"), "counts")
+    parts = parts.groupBy("part", "half").applyInArrow(_sum_sketch, "part int, half long, counts binary")
+    parts = parts.select("part", "counts").groupBy("part").applyInArrow(_sum_sketch, "part int, counts binary")
     held = {r["part"]: bytes(r["counts"]) for r in parts.collect()}  # SKETCH_PARTS rows, 8 MB in all
     if not held:
-        return listed.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return listed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     sketch = spark.sparkContext.broadcast(b"".join(held[k] for k in range(SKETCH_PARTS)))
 
-    nodes = listed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("mins").alias("mins"))
+    nodes = listed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("mins").alias("mins"), F.first("n").alias("n"))
     nodes = materialize(nodes, "join-nodes")
 
     def grouped_sets(places: DataFrame) -> DataFrame:
@@ -432,16 +433,17 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         return rows.join(sized_broadcast(places, places.count() * 2), "th").select("text", "places").mapInArrow(trimmed(_grouped_sets(words)), "group long, member boolean, key binary, tokens binary")
 
     # a node joins the commonest of its minima; a large group is dealt by salt, and its first node is in every part
-    minima = nodes.select("key", "th", F.posexplode("mins").alias("j", "v"))
-    shared = minima.groupBy("j", "v").agg(F.count("*").alias("c"), F.min("key").alias("leader")).where("c > 1")
-    joined = minima.join(shared, ["j", "v"]).groupBy("key", "th").agg(F.max(F.struct("c", "j", "v", "leader")).alias("g"))
-    parts = F.ceil(F.col("g.c") / GROUP_NODES)
+    minima = nodes.select("key", "th", "n", F.posexplode("mins").alias("j", "v"))
+    shared = minima.groupBy("j", "v").agg(F.count("*").alias("c"), F.min("key").alias("leader"), F.sum("n").alias("tokens")).where("c > 1")
+    joined = minima.drop("n").join(shared, ["j", "v"]).groupBy("key", "th").agg(F.max(F.struct("c", "j", "v", "leader", "tokens")).alias("g"))
+    parts = _parts_of(F.col("g.c"), F.col("g.tokens"), GROUP_NODES)
     part = F.when(F.col("key") == F.col("g.leader"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), parts)))
     play = joined.select("th", "g", F.explode(part).alias("s")).select("th", F.xxhash64("g.j", "g.v", "s").alias("group"), F.lit(True).alias("member"))
     first = materialize(grouped_sets(play).groupBy("group").applyInArrow(_open_group(percent), "u binary, v binary").distinct(), "join-first")
     units = materialize(components(first), "join-units")
-    sizes = units.groupBy("root").agg(F.count("*").alias("size"))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK_NODES)).cast("long")
+    units = units.join(nodes.select(F.col("key").alias("node"), "n"), "node")
+    sizes = units.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    chunk = F.pmod(F.xxhash64("node"), _parts_of(F.col("size"), F.col("tokens"), CHUNK_NODES))
     units = materialize(units.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("unit"), chunk.alias("chunk")), "join-chunks")
     n_units = units.count()
     placed = listed.where("n > 0").select("th", "key").distinct().join(sized_broadcast(units, n_units), "key").select("th", "unit", "chunk")
@@ -454,10 +456,10 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     met = dealt.groupBy("bucket").applyInArrow(_meet(percent), "x long, unit long, chunk long")
     met = materialize(met.distinct(), "join-met")
 
-    named = nodes.select("key", "th").join(units, "key", "left").select("key", F.coalesce("unit", "key").alias("unit"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "th")
-    named = named.mapInArrow(_keyed, "key binary, unit binary, chunk long, th long, x long, unit8 long")
+    named = nodes.select("key", "th", "n").join(units, "key", "left").select("key", F.coalesce("unit", "key").alias("unit"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "th", "n")
+    named = named.mapInArrow(_keyed, "key binary, unit binary, chunk long, th long, n long, x long, unit8 long")
     named = materialize(named, "join-named")
-    groups = met.groupBy("unit", "chunk").agg(F.ceil(F.count("*") / CHUNK_QUERIES).alias("salts"))
+    groups = met.join(named.select("x", "n"), "x").groupBy("unit", "chunk").agg(_parts_of(F.count("*"), F.sum("n"), CHUNK_QUERIES).alias("salts"))
     asked = met.join(groups, ["unit", "chunk"]).select("x", F.xxhash64("unit", "chunk", F.pmod(F.xxhash64("x"), "salts")).alias("group"))
     asked = asked.join(named.select("x", "th"), "x").select("th", "group", F.lit(False).alias("member"))
     inside = named.join(groups.withColumnRenamed("unit", "unit8"), ["unit8", "chunk"])
@@ -472,11 +474,11 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("key"), "component_id")
     least = nodes.select("key", "least").join(least, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
     least = materialize(least, "join-components")
-    return listed.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return listed.join(least, "key", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component; rows of one doc_id stay together."""
-    found = materialize(similar_components(docs), "join-result")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return with_ids(docs, materialize(gone, "join-gone"), "left_anti")
+    """The rows of ``docs`` that are the least of their component. A row without doc_id goes if its component has one; rows of one
+    doc_id are judged by their own texts."""
+    found = materialize(_components(docs, WORDS, PERCENT), "join-result")
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -3,7 +3,7 @@
 A document is the average of learned vectors: one per word, one per character n-gram of the word in ``<`` and ``>``, one per
 pair of neighbouring words, all hashed into a table; a pair of equal words hashes to one shared entry, so that
 repetition is visible whatever is repeated. A softmax over two classes follows. Training takes at most
-``TRAIN_ROWS`` labelled rows (those with the smallest hashes of doc_id, whole texts), and the steps are normalised by the
+``TRAIN_ROWS`` labelled rows and ``TRAIN_BYTES`` of text (those with the smallest hashes of doc_id, whole texts), and the steps are normalised by the
 length of the document's feature vector, so that long and short documents move the average alike.
 
 Scoring is linear after averaging: each table entry reduces to one number, the log odds it adds, and a word to a
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, text_of, trimmed, with_ids
+from wayfold.llm.common import materialize, text_of, trimmed, without
 
-TRAIN_ROWS = 3_000
+TRAIN_ROWS, TRAIN_BYTES = 3_000, 64 << 20
 BITS, DIM, GRAMS = 18, 8, (3, 4, 5)
 STEPS, RATE, SEED = 12_000, 0.25, 7
 CACHE_WORDS = 150_000
@@ -126,10 +126,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> tuple[np.ndarray, float]:
+    """The model. Of rows that share a doc_id one trains; texts go to the driver while they stay within TRAIN_BYTES."""
     chosen = materialize(labelled(labels, held_out(), column), "quality-labels")
     # at most TRAIN_ROWS rows, so the side is small by its parameter
-    rows = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text"))
-    frame = rows.select("text", "label").toPandas()
+    rows = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.octet_length("text"), F.md5("text"))).alias("text"))
+    rows = materialize(rows, "quality-rows")
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    before = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")  # TRAIN_ROWS numbers at most
+    fits = sizes.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= TRAIN_BYTES).select("doc_id")
+    frame = rows.join(F.broadcast(fits), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label").toPandas()
     return train(frame["text"].tolist(), [int(x > 0) for x in frame["label"]])
 
 
@@ -180,7 +186,8 @@ def judged(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is not rejected. Rows with a null doc_id are judged by no one and stay."""
-    found = materialize(judged(docs, fit(docs, labels)), "quality-scores")
-    gone = found.where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return with_ids(docs, materialize(gone, "quality-gone"), "left_anti")
+    """The rows of ``docs`` that are not rejected, each judged by its own text, with or without doc_id."""
+    text = text_of(docs)
+    rows = docs.select(F.struct(docs["doc_id"], F.xxhash64(text).alias("th")).alias("row"), text.alias("text"))
+    found = score(rows, fit(docs, labels), "row").where(F.col("score") < THRESHOLD)
+    return without(docs, found.select("row.doc_id", "row.th"))

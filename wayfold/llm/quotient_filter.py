@@ -20,12 +20,16 @@ class CountingQuotientFilter:
     @classmethod
     def build(cls, fingerprints: np.ndarray, quotient_bits: int, counts: np.ndarray | None = None, total_bits: int = 64) -> CountingQuotientFilter:
         """From uint64 fingerprints below 2**total_bits in any order, with repeats."""
-        r = total_bits - quotient_bits
         order = np.argsort(fingerprints, kind="stable")
         keys = fingerprints[order]
         weights = np.ones(len(keys), np.int64) if counts is None else counts[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        keys, weights = keys[first], np.add.reduceat(weights, first) if len(first) else weights
+        return cls._of_sorted(keys[first], np.add.reduceat(weights, first) if len(first) else weights, quotient_bits, total_bits)
+
+    @classmethod
+    def _of_sorted(cls, keys: np.ndarray, weights: np.ndarray, quotient_bits: int, total_bits: int) -> CountingQuotientFilter:
+        """From ascending fingerprints without repeats."""
+        r = total_bits - quotient_bits
         quotients = (keys >> np.uint64(r)).astype(np.int64)
         occupied = np.zeros(1 << quotient_bits, bool)
         occupied[quotients] = True
@@ -50,6 +54,22 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter], quotient_bits: int, total_bits: int = 64) -> CountingQuotientFilter:
-        """Lossless sum: equal fingerprints add their counts."""
-        items = [f.items() for f in filters]
-        return cls.build(np.concatenate([k for k, _ in items]), quotient_bits, np.concatenate([c for _, c in items]), total_bits)
+        """Lossless sum: the sorted runs of two filters are walked side by side, equal fingerprints add their counts; then the next two."""
+        todo = [f.items() for f in filters] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        while len(todo) > 1:
+            todo = [_merge_sorted(*todo[k : k + 2]) if k + 1 < len(todo) else todo[k] for k in range(0, len(todo), 2)]
+        return cls._of_sorted(*todo[0], quotient_bits, total_bits)
+
+
+def _merge_sorted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists without repeats and their counts to one."""
+    (x, n), (y, m) = a, b
+    at = np.searchsorted(x, y)
+    both = x[np.minimum(at, len(x) - 1)] == y if len(x) else np.zeros(len(y), bool)
+    n = n.copy()
+    n[at[both]] += m[both]
+    y, m, at = y[~both], m[~both], at[~both] + np.arange(int((~both).sum()))
+    keys, counts, own = np.empty(len(x) + len(y), np.uint64), np.empty(len(x) + len(y), np.int64), np.ones(len(x) + len(y), bool)
+    own[at] = False
+    keys[at], counts[at], keys[own], counts[own] = y, m, x, n
+    return keys, counts
