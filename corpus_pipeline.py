@@ -6,7 +6,11 @@
 4. mix: rows repeat or go until each source's words meet its target;
 5. encode: whole texts become token ids (columns doc_id, n_tokens, digests and ids).
 
-No SQL can express stages 1, 3 and 5; tests compare the pipeline with brute force.
+No SQL can express stages 1, 3 and 5; tests compare each stage's kept rows with plain Python on the small table.
+
+Defined results: a null text counts as empty (an empty document is judged by the classifier's bias, and its copies are exact copies); a
+row without doc_id is judged by its own text and goes where its group has a row with one; rows that repeat doc_id and text are
+exact copies, of which one stays; an empty table gives no rows; extra columns are kept up to the mix and dropped by the last stage.
 """
 
 from __future__ import annotations
