@@ -1,4 +1,4 @@
-"""Parameter grids and their summaries. A grid is a small table joined by a broadcast; kernels then group by (config, object)."""
+"""Parameter grids and their summaries. A grid is a parameter: one pass over each object serves all its configs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import kernels, metrics
 from wayfold.operators.segmentation import arrays, ordered
-from wayfold.schema import POINT_COLUMNS
+from wayfold.schema import POINT_COLUMNS, XI
 
 EPS_GRID, SECONDS_GRID = (10.0, 15.0, 20.0, 30.0, 50.0), (10.0, 15.0, 30.0, 60.0)
 
@@ -66,23 +66,36 @@ def most_stops(grid_counts: DataFrame) -> DataFrame:
     return grid_counts.orderBy(F.desc("n_stops"), "eps_m", "t_s").limit(1)
 
 
-def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, min_samples: int | None = None, least_points: int = 5) -> DataFrame:
-    """Online against offline segmentation for each config and object: one row (eps_m, t_s, obj_id, counts, agreement)."""
-    from wayfold.operators import segmentation
-
-    n = points.groupBy("obj_id").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= least_points)
-    usable = points.join(n.select("obj_id"), "obj_id", "left_semi")
-    out = None
-    for e in eps:
-        for s in seconds:
-            k = min_samples or max(5, round(s * 0.5))
-            a = segmentation.segments(segmentation.stay_points(usable, e, s))
-            b = segmentation.segments(segmentation.density_segments(usable, e, s, k, "manual"))
-            counts = lambda df, p: df.groupBy("obj_id").agg(F.sum((F.col("kind") == "stop").cast("long")).alias(f"{p}_n_stops"), F.sum((F.col("kind") == "move").cast("long")).alias(f"{p}_n_moves"))
-            one = metrics.stop_f1(a, b).join(counts(a, "step"), "obj_id", "right").join(counts(b, "stss"), "obj_id").join(n, "obj_id")
-            one = one.select(F.lit(e).alias("eps_m"), F.lit(s).alias("t_s"), F.lit(k).alias("min_samples"), "obj_id", "n_points", "step_n_stops", "step_n_moves", "stss_n_stops", "stss_n_moves", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("f1", "precision", "recall", "matched_iou_mean")])
-            out = one if out is None else out.unionByName(one)
-    return out
+def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, min_samples: int | None = None, least_points: int = 5, backend: str = "manual") -> DataFrame:
+    """Online against offline segmentation for each config and object: one row (eps_m, t_s, obj_id, counts, agreement).
+
+    One pass over each object makes both segmentations of every config; labels are made once per distance and number of samples.
+    """
+    grid = [(float(e), float(s), min_samples or max(5, round(s * 0.5))) for e in eps for s in seconds]
+    schema = "eps_m double, t_s double, min_samples int, obj_id string, n_points long, side string, seg_id long, kind string, start_t double, end_t double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        lat, lon, t = arrays(table, "lat", "lon", "t")
+        obj, rows, labels = table.column("obj_id")[0].as_py(), [], {}
+        for e, s, k in grid if len(t) >= least_points else ():
+            if (e, k) not in labels:
+                labels[e, k] = kernels.cluster_labels(lat, lon, e, k, backend, XI)
+            for side, found in (("step", kernels.stay_segments(lat, lon, t, e, s)), ("stss", kernels.label_segments(labels[e, k], t, s))):
+                rows += [(e, s, k, obj, len(t), side, i, "stop" if stop else "move", float(t[a]), float(t[b])) for i, (a, b, stop) in enumerate(found)]
+        cols = list(zip(*rows)) or [[]] * 10
+        kinds = (pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+    found = points.groupBy("obj_id").applyInArrow(run, schema)
+    config = ["eps_m", "t_s", "obj_id"]
+    # both sides' stops of an object and config as two small lists in one row: no join, and the kernels run once
+    of = lambda side, kind: F.sum(F.when((F.col("side") == side) & (F.col("kind") == kind), 1).otherwise(0)).alias(f"{side}_n_{kind}s")
+    stop = lambda side: F.array_sort(F.collect_list(F.when((F.col("side") == side) & (F.col("kind") == "stop"), F.struct("start_t", "end_t")))).alias(f"{side}_stops")
+    one = found.groupBy(*config, "min_samples", "n_points").agg(*[of(a, b) for a in ("step", "stss") for b in ("stop", "move")], stop("step"), stop("stss"))
+    agree = metrics.listed_stop_f1(F.col("step_stops"), F.col("stss_stops"))
+    one = one.withColumn("agree", agree)
+    return one.select("eps_m", "t_s", "min_samples", "obj_id", "n_points", "step_n_stops", "step_n_moves", "stss_n_stops", "stss_n_moves", "agree.*")
 
 
 def key_totals(rows: DataFrame, columns) -> DataFrame:

@@ -119,6 +119,31 @@ def density_labels(lat, lon, eps: float, min_samples: int) -> np.ndarray:
     return labels
 
 
+def label_segments(labels, t, min_s: float) -> list[tuple[int, int, bool]]:
+    """Runs of equal labels as segments: clusters of ``min_s`` seconds are stops, all else moves; adjacent moves are one."""
+    out: list[tuple[int, int, bool]] = []
+    for a, b in runs(labels):
+        stop = bool(labels[a] != -1 and t[b] - t[a] >= min_s)
+        if out and not stop and not out[-1][2]:
+            out[-1] = (out[-1][0], b, False)
+        else:
+            out.append((a, b, stop))
+    return out
+
+
+def density_segments(lat, lon, t, eps: float, min_s: float, min_samples: int, backend: str, xi: float) -> list[tuple[int, int, bool]]:
+    return label_segments(cluster_labels(lat, lon, eps, min_samples, backend, xi), t, min_s)
+
+
+def cluster_labels(lat, lon, eps: float, min_samples: int, backend: str, xi: float) -> np.ndarray:
+    """Labels by density ('manual') or by the reachability plot ('optics')."""
+    if backend == "manual":
+        return density_labels(lat, lon, eps, min_samples)
+    if len(lat) < min_samples:
+        return np.full(len(lat), -1)
+    return xi_labels(*optics_order(lat, lon, eps, min_samples), min_samples, xi)
+
+
 def optics_order(lat, lon, max_eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Visit order, reachability and predecessor of each fix (metres)."""
     n = len(lat)
@@ -250,15 +275,21 @@ def douglas_peucker(lat, lon, eps: float) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+class _Priced(float):
+    """A cost with its fix. Equal costs leave the heap in the order in which the heap holds them, whatever the fix."""
+
+    __slots__ = ("fix",)
+
+
 def squish(lat, lon, t, capacity: int) -> np.ndarray:
-    """Kept indices of a bounded buffer: when full, the fix of least synchronized error (degrees) goes, first of equals."""
+    """Kept indices of a bounded buffer: when full, the fix of least synchronized error (degrees) goes."""
     n = len(lat)
     if n <= capacity:
         return np.arange(n)
     lat, lon, t = lat.tolist(), lon.tolist(), t.tolist()
     left, right = list(range(-1, n - 1)), [-1] * n
     cost: list[float | None] = [None] * n
-    heap: list[tuple[float, int]] = []
+    heap: list[_Priced] = []
 
     def price(k: int) -> None:
         a, b = left[k], right[k]
@@ -270,7 +301,9 @@ def squish(lat, lon, t, capacity: int) -> np.ndarray:
             r = (t[k] - t[a]) / (t[b] - t[a])
             dy, dx = lat[k] - (lat[a] + (lat[b] - lat[a]) * r), lon[k] - (lon[a] + (lon[b] - lon[a]) * r)
             cost[k] = math.sqrt(dy * dy + dx * dx)
-        heapq.heappush(heap, (cost[k], k))
+        entry = _Priced(cost[k])
+        entry.fix = k
+        heapq.heappush(heap, entry)
 
     last = -1
     for k in range(n):
@@ -282,8 +315,9 @@ def squish(lat, lon, t, capacity: int) -> np.ndarray:
         if k < capacity:
             continue
         while True:
-            c, out = heapq.heappop(heap)
-            if cost[out] == c:
+            least = heapq.heappop(heap)
+            out = least.fix
+            if cost[out] == least:
                 break
         cost[out] = None
         a, b = left[out], right[out]
@@ -313,6 +347,12 @@ def chained(lat, lon, t, capacity: int, eps: float) -> np.ndarray:
     return kept[douglas_peucker(lat[kept], lon[kept], eps)]
 
 
+def road_change_places(road: list) -> np.ndarray:
+    """First point, first point on each new road, last point."""
+    keep = [k for k in range(len(road)) if k == 0 or road[k] != road[k - 1]]
+    return np.array(keep if not road or keep[-1] == len(road) - 1 else [*keep, len(road) - 1], int)
+
+
 def speed_entries(lat, lon, t, road, gamma: float) -> list[tuple[int, object, float, float]]:
     """(index, road, offset, speed) where the road changes or the speed leaves the stored one by more than ``gamma``."""
     y, out, offset, stored = np.radians(lat), [], 0.0, -1.0

@@ -31,25 +31,40 @@ def keypoint_reconstruction(stops: DataFrame, moves: DataFrame) -> DataFrame:
     return stops.select("obj_id", F.col("start_t").alias("t"), "lat", "lon").unionByName(moves.select("obj_id", "t", "lat", "lon"))
 
 
-def synchronized_errors(points: DataFrame, compressed: DataFrame) -> DataFrame:
-    """obj_id, seq, t, sed: the backward as-of join of each point with its timed segment, by one window over both sides.
-
-    Objects without compressed points have no rows.
-    """
+def _timeline(points: DataFrame, compressed: DataFrame, keys) -> DataFrame:
+    """Both sides in time order, raw points (side 0) with their error ``sed`` (null without compressed points) and compressed ones (side 1)
+    with ``stored``: the backward as-of join of each point with its timed segment, by one window."""
     none = F.lit(None).cast("double")
-    raw = points.select("obj_id", "t", F.lit(0).alias("side"), "seq", "lat", "lon", F.lit(None).cast("struct<t:double,lat:double,lon:double>").alias("k"))
-    key = compressed.select("obj_id", "t", F.lit(1).alias("side"), F.lit(None).cast("long").alias("seq"), none.alias("lat"), none.alias("lon"), F.struct("t", "lat", "lon").alias("k"))
-    w = Window.partitionBy("obj_id").orderBy("t", "side", "seq")
+    raw = points.select(*keys, "t", F.lit(0).alias("side"), "seq", "lat", "lon", F.lit(0).cast("long").alias("stored"), F.lit(None).cast("struct<t:double,lat:double,lon:double>").alias("k"))
+    stored = F.col("stored").cast("long") if "stored" in compressed.columns else F.lit(1).cast("long")
+    key = compressed.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast("long").alias("seq"), none.alias("lat"), none.alias("lon"), stored.alias("stored"), F.struct("t", "lat", "lon").alias("k"))
+    w = Window.partitionBy(*keys).orderBy("t", "side", "seq")
     both = raw.unionByName(key)
     both = both.withColumn("a", F.last("k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("b", F.first("k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("side = 0")
+    both = both.withColumn("b", F.first("k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     lat, lon, t, a, b = F.col("lat"), F.col("lon"), F.col("t"), F.col("a"), F.col("b")
     sed = (
         F.when(b.isNull(), planar(lat, lon, a["lat"], a["lon"]))
         .when(a.isNull(), planar(lat, lon, b["lat"], b["lon"]))
         .otherwise(synchronized(lat, lon, t, a["lat"], a["lon"], a["t"], b["lat"], b["lon"], b["t"]))
     )
-    return both.select("obj_id", "seq", "t", sed.alias("sed")).where("sed IS NOT NULL")
+    return both.select(*keys, "seq", "t", "side", "stored", F.when(F.col("side") == 0, sed).alias("sed"))
+
+
+def synchronized_errors(points: DataFrame, compressed: DataFrame, keys=("obj_id",)) -> DataFrame:
+    """keys, seq, t, sed. Objects without compressed points have no rows."""
+    return _timeline(points, compressed, keys).where("side = 0 AND sed IS NOT NULL").drop("side", "stored")
+
+
+def evaluation(points: DataFrame, compressed: DataFrame, keys=("obj_id",)) -> DataFrame:
+    """The metric record of each object, errors and stored points (sum of ``stored``, else a point each) from one pass."""
+    p = lambda q: F.percentile("sed", F.lit(q))
+    rows = _timeline(points, compressed, keys).groupBy(*keys).agg(
+        F.count("seq").alias("n_raw_points"), F.sum("stored").alias("stored_points"), F.avg("sed").alias("avg_sed_m"), p(0.95).alias("p95_sed_m"), F.max("sed").alias("max_sed_m"),
+        (100 * F.avg((F.col("sed") <= 5).cast("double"))).alias("pct_5m"),
+    )
+    rows = rows.where("n_raw_points > 0")
+    return rows.select(*keys, "n_raw_points", point_ratio(F.col("n_raw_points"), F.col("stored_points")).alias("cr"), "stored_points", "avg_sed_m", "p95_sed_m", "max_sed_m", "pct_5m")
 
 
 def error_stats(errors: DataFrame, keys=("obj_id",)) -> DataFrame:
@@ -107,28 +122,53 @@ def interval_iou(s1, e1, s2, e2) -> Column:
     return F.when((inter <= 0) | (union <= 0), F.lit(0.0)).otherwise(inter / F.when(union > 0, union))
 
 
-def stop_f1(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+def stop_f1(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, keys=("obj_id",)) -> DataFrame:
     """Per object: tp, fp, fn, precision, recall, f1, matched_iou_mean.
 
     Stops of one side do not overlap, so above a threshold of a half a stop has at most one partner; ties at exactly a half go to
-    the earliest prediction and then the earliest truth, as taking them in turn does.
+    the earliest prediction and then the earliest truth, as taking them in turn does. Lower thresholds are refused.
     """
-    cols = lambda df, p: df.select("obj_id", *[F.col(c).alias(f"{p}_{c}") for c in ("seg_id", "start_t", "end_t")])
+    if threshold < 0.5:
+        raise ValueError("the threshold must be at least 0.5")
+    keys = list(keys)
+    cols = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("seg_id", "start_t", "end_t")])
     p, g = cols(predicted.where("kind = 'stop'"), "p"), cols(truth.where("kind = 'stop'"), "g")
-    pairs = p.join(g, "obj_id").where((F.col("p_start_t") < F.col("g_end_t")) & (F.col("g_start_t") < F.col("p_end_t")))
+    pairs = p.join(g, keys).where((F.col("p_start_t") < F.col("g_end_t")) & (F.col("g_start_t") < F.col("p_end_t")))
     iou = interval_iou(F.col("p_start_t"), F.col("p_end_t"), F.col("g_start_t"), F.col("g_end_t"))
     pairs = pairs.withColumn("iou", iou).where(F.col("iou") >= threshold)
-    first_p = F.row_number().over(Window.partitionBy("obj_id", "p_seg_id").orderBy(F.desc("iou"), "g_start_t"))
-    first_g = F.row_number().over(Window.partitionBy("obj_id", "g_seg_id").orderBy("p_start_t"))
+    first_p = F.row_number().over(Window.partitionBy(*keys, "p_seg_id").orderBy(F.desc("iou"), "g_start_t"))
+    first_g = F.row_number().over(Window.partitionBy(*keys, "g_seg_id").orderBy("p_start_t"))
     pairs = pairs.withColumn("r", first_p).where("r = 1").withColumn("r", first_g).where("r = 1")
-    found = pairs.groupBy("obj_id").agg(F.count("*").alias("tp"), F.avg("iou").alias("matched_iou_mean"))
-    n = lambda df, c: df.groupBy("obj_id").agg(F.count("*").alias(c))
-    rows = n(p, "np").join(n(g, "ng"), "obj_id", "full").join(found, "obj_id", "left").fillna(0, ["np", "ng", "tp"]).fillna(0.0, ["matched_iou_mean"])
+    found = pairs.groupBy(*keys).agg(F.count("*").alias("tp"), F.avg("iou").alias("matched_iou_mean"))
+    n = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
+    rows = n(p, "np").join(n(g, "ng"), keys, "full").join(found, keys, "left").fillna(0, ["np", "ng", "tp"]).fillna(0.0, ["matched_iou_mean"])
     ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
     tp = F.col("tp")
     rows = rows.withColumn("precision", ratio(tp, F.col("np"))).withColumn("recall", ratio(tp, F.col("ng")))
     both = F.col("precision") + F.col("recall")
-    return rows.select("obj_id", "tp", (F.col("np") - tp).alias("fp"), (F.col("ng") - tp).alias("fn"), "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), both).alias("f1"), "matched_iou_mean")
+    return rows.select(*keys, "tp", (F.col("np") - tp).alias("fp"), (F.col("ng") - tp).alias("fn"), "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), both).alias("f1"), "matched_iou_mean")
+
+
+def listed_stop_f1(predicted: Column, truth: Column, threshold: float = 0.5) -> Column:
+    """struct<f1, precision, recall, matched_iou_mean> of two arrays of an object's stops in time order, struct<start_t, end_t>.
+
+    Partners as in ``stop_f1``; above a half each stop has at most one, at exactly a half the earlier wins.
+    """
+    iou = lambda p, g: interval_iou(p["start_t"], p["end_t"], g["start_t"], g["end_t"])
+    state = F.struct(F.array().cast("array<double>").alias("found"), F.lit(0).alias("used"))
+    at = F.sequence(F.lit(1), F.size(truth))
+
+    def step(acc: Column, p: Column) -> Column:
+        open_ = F.filter(F.zip_with(truth, F.when(F.size(truth) > 0, at).otherwise(F.array().cast("array<int>")), lambda g, i: F.struct((-iou(p, g)).alias("m"), i.alias("i"))), lambda x: (x["m"] <= -threshold) & (x["i"] > acc["used"]))
+        best = F.array_min(open_)
+        return F.when(best.isNull(), acc).otherwise(F.struct(F.array_append(acc["found"], -best["m"]).alias("found"), best["i"].alias("used")))
+
+    found = F.aggregate(predicted, state, step, lambda acc: acc["found"])
+    ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(0.0))
+    tp = F.size(found)
+    p, r = ratio(tp, F.size(predicted)), ratio(tp, F.size(truth))
+    mean = ratio(F.aggregate(found, F.lit(0.0), lambda s, x: s + x), tp)
+    return F.struct(ratio(2 * p * r, p + r).alias("f1"), p.alias("precision"), r.alias("recall"), mean.alias("matched_iou_mean"))
 
 
 def road_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -142,9 +182,18 @@ def road_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def latency_stats(latencies: DataFrame, column: str, keys=()) -> DataFrame:
-    """Count, mean, max, min and nearest-rank p95 (index rounded half to even)."""
-    held = latencies.groupBy(*keys).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.max(column).alias("max"), F.min(column).alias("min"), F.array_sort(F.collect_list(column)).alias("a"))
-    return held.select(*keys, "count", "mean", "max", "min", F.element_at("a", (F.rint(0.95 * (F.size("a") - 1)) + 1).cast("int")).alias("p95"))
+    """Count, mean, max, min and nearest-rank p95 (index rounded half to even).
+
+    The rank comes from counts of equal values, partially aggregated, so no list of a key's values is held.
+    """
+    one = [] if keys else ["_all"]
+    keys, latencies = list(keys) or one, latencies.withColumns({c: F.lit(0) for c in one})
+    stats = latencies.groupBy(*keys).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.max(column).alias("max"), F.min(column).alias("min"))
+    counts = latencies.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(column))
+    rank = F.rint(0.95 * (F.sum("_n").over(Window.partitionBy(*keys)) - 1)) + 1
+    p95 = counts.withColumn("_upto", upto).withColumn("_rank", rank).where(F.col("_upto") >= F.col("_rank")).groupBy(*keys).agg(F.min(column).alias("p95"))
+    return stats.join(p95, keys, "left").drop(*one)
 
 
 def pipeline_latency(stages: Column, names=("segmentation", "stop_compression", "move_compression", "map_matching", "encoding")) -> Column:
@@ -158,7 +207,7 @@ def normalise_metric(value: Column) -> Column:
 
 
 def contract_aggregate(records: DataFrame) -> DataFrame:
-    """pipeline, metric, value -> mean, median and p95 without NaN (nulls if all are); ``ord`` is the pipeline's first appearance."""
+    """pipeline, metric, value -> mean, median and p95 without NaN (nulls if all are)."""
     good = F.when(~F.isnan("value"), F.col("value"))
     return records.groupBy("pipeline", "metric").agg(F.avg(good).alias("mean"), F.percentile(good, F.lit(0.5)).alias("median"), F.percentile(good, F.lit(0.95)).alias("p95"))
 

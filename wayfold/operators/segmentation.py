@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from wayfold.operators import kernels
 from wayfold.schema import MIN_SAMPLES, POINT_COLUMNS, POINTS, SEGMENTED, STOP_DISTANCE_M, STOP_DURATION_S, XI
 
+BACKENDS = ("manual", "optics")
+
+
 def by_object():
     return Window.partitionBy("obj_id").orderBy("seq")
 
@@ -39,6 +42,23 @@ def stay_points(points: DataFrame, eps: float = STOP_DISTANCE_M, min_s: float =
     return points.select(*POINT_COLUMNS).groupBy("obj_id").applyInArrow(run, SEGMENTED)
 
 
+def kept_segments(points: DataFrame, segment, choose) -> DataFrame:
+    """Points with seg_id, kind and ``keep`` from one pass over each object: ``segment(lat, lon, t)`` gives the segments,
+    ``choose(lat, lon, t, road_id)`` the places in a move that stay; ``keep`` is false in stops."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        lat, lon, t = arrays(table, "lat", "lon", "t")
+        road, found = table.column("road_id").to_pylist(), segment(lat, lon, t)
+        keep = np.zeros(len(t), bool)
+        for a, b, stop in found:
+            if not stop:
+                keep[a + np.asarray(choose(lat[a : b + 1], lon[a : b + 1], t[a : b + 1], road[a : b + 1]))] = True
+        return _segmented(table, found).append_column("keep", pa.array(keep))
+
+    return points.select(*POINT_COLUMNS).groupBy("obj_id").applyInArrow(run, SEGMENTED + ", keep boolean")
+
+
 def min_samples_for(seconds) -> Column:
     """Samples that make a core: half the dwell seconds, halves to even, at least 5."""
     return F.greatest(F.lit(5), F.rint(F.lit(seconds) * 0.5 if not isinstance(seconds, Column) else seconds * 0.5).cast("int"))
@@ -46,18 +66,13 @@ def min_samples_for(seconds) -> Column:
 
 def density_clusters(points: DataFrame, eps: float = STOP_DISTANCE_M, min_samples: int = MIN_SAMPLES, backend: str = "manual", xi: float = XI) -> DataFrame:
     """Points with ``label``: clusters by density ('manual') or by the reachability plot ('optics'); -1 is noise."""
-    if backend not in ("manual", "optics"):
+    if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}")
 
     def run(table: pa.Table) -> pa.Table:
         table = ordered(table)
         lat, lon = arrays(table, "lat", "lon")
-        if backend == "manual":
-            labels = kernels.density_labels(lat, lon, eps, min_samples)
-        elif len(lat) < min_samples:
-            labels = np.full(len(lat), -1)
-        else:
-            labels = kernels.xi_labels(*kernels.optics_order(lat, lon, eps, min_samples), min_samples, xi)
+        labels = kernels.cluster_labels(lat, lon, eps, min_samples, backend, xi)
         return table.append_column("label", pa.array(labels, pa.int64()))
 
     return points.select(*POINT_COLUMNS).groupBy("obj_id").applyInArrow(run, POINTS + ", label long")
@@ -80,9 +95,15 @@ def post_process(segmented: DataFrame, min_s: float = STOP_DURATION_S) -> DataFr
 
 
 def density_segments(points: DataFrame, eps: float = STOP_DISTANCE_M, min_s: float = STOP_DURATION_S, min_samples: int = MIN_SAMPLES, backend: str = "optics") -> DataFrame:
-    """Offline segmentation: clusters, their runs, short stops dissolved."""
-    labelled = density_clusters(points, eps, min_samples, backend)
-    return post_process(label_runs(labelled), min_s).drop("label")
+    """Offline segmentation: clusters, their runs, short stops dissolved; in one pass over each object."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        return _segmented(table, kernels.density_segments(*arrays(table, "lat", "lon", "t"), eps, min_s, min_samples, backend, XI))
+
+    return points.select(*POINT_COLUMNS).groupBy("obj_id").applyInArrow(run, SEGMENTED)
 
 
 def segments(segmented: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators import metrics, moves, segmentation, stops
-from wayfold.schema import BYTES_PER_POINT, Compression
+from wayfold.operators import kernels, metrics, moves, segmentation, stops
+from wayfold.operators.segmentation import arrays, ordered
+from wayfold.schema import BYTES_PER_POINT, XI, Compression
 
 
 def compress_segments(segmented: DataFrame, config: Compression) -> DataFrame:
@@ -26,6 +29,20 @@ def compress_segments(segmented: DataFrame, config: Compression) -> DataFrame:
     return held.unionByName(kept.join(coded, ["obj_id", "seg_id"]))
 
 
+def segment_rows(marked: DataFrame) -> DataFrame:
+    """One row per segment of points with ``keep``: obj_id, seg_id, kind, start_t, end_t, lat, lon (centroid), kept (timed points of a move)."""
+    point = F.when(F.col("keep"), F.struct("t", "lat", "lon"))  # collect_list leaves nulls out
+    return marked.groupBy("obj_id", "seg_id", "kind").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.array_sort(F.collect_list(point)).alias("kept"))
+
+
+def reconstruction(rows: DataFrame) -> DataFrame:
+    """Timed points of ``segment_rows`` with ``stored``: a stop at its start and at its end, stored once; moves as kept."""
+    at = lambda t, n: F.struct(F.col(t).alias("t"), "lat", "lon", F.lit(n).alias("stored"))
+    kept = F.transform("kept", lambda k: F.struct(k["t"].alias("t"), k["lat"].alias("lat"), k["lon"].alias("lon"), F.lit(1).alias("stored")))
+    points = F.when(F.col("kind") == "stop", F.array(at("start_t", 1), at("end_t", 0))).otherwise(kept)
+    return rows.select("obj_id", F.explode(points).alias("p")).select("obj_id", "p.*")
+
+
 def _collect(points: DataFrame, key) -> DataFrame:
     grouped = points.groupBy("obj_id", "seg_id", "kind").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.transform(F.array_sort(F.collect_list(F.struct("seq", key.alias("k")))), lambda x: x["k"]).alias("keypoints"))
     return grouped.withColumn("encoded_bytes", F.size("keypoints").cast("long") * BYTES_PER_POINT)
@@ -44,9 +61,34 @@ def online(points: DataFrame, config: Compression | None = None, nodes: DataFram
         from wayfold.operators.matching import match
 
         points = match(points, nodes, edges)
+    if config.strategy == "geometric" and config.compress_stops and config.stop_strategy == "centroid":
+        rows = segment_rows(segmentation.kept_segments(points, *_online_kernels(config)))
+        stop = F.array(F.struct(F.col("start_t").alias("t"), "lat", "lon"))
+        rows = rows.withColumn("keypoints", F.when(F.col("kind") == "stop", stop).otherwise(F.col("kept")))
+        return rows.select("obj_id", "seg_id", "kind", "start_t", "end_t", "keypoints", (F.size("keypoints").cast("long") * BYTES_PER_POINT).alias("encoded_bytes"))
     return compress_segments(segmentation.stay_points(points, config.stop_distance_m, config.stop_duration_s), config)
 
 
+def _online_kernels(config: Compression):
+    """Segmentation of an object and simplification of a move, for one pass over each object."""
+    return (
+        lambda lat, lon, t: kernels.stay_segments(lat, lon, t, config.stop_distance_m, config.stop_duration_s),
+        lambda lat, lon, t, road: kernels.chained(lat, lon, t, config.capacity, config.dp_epsilon_m),
+    )
+
+
+def _offline_kernels(config: Compression, min_samples: int, backend: str, simplify):
+    return lambda lat, lon, t: kernels.density_segments(lat, lon, t, config.stop_distance_m, config.stop_duration_s, min_samples, backend, XI), simplify
+
+
+def offline_evaluation(points: DataFrame, config: Compression | None = None, min_samples: int = 15, backend: str = "optics", network: bool = False) -> DataFrame:
+    """Metric records of the offline pipelines, geometric or by road changes, in one pass over each object."""
+    config = config or Compression()
+    simplify = (lambda lat, lon, t, road: kernels.road_change_places(road)) if network else (lambda lat, lon, t, road: kernels.douglas_peucker(lat, lon, config.dp_epsilon_m))
+    marked = segmentation.kept_segments(points, *_offline_kernels(config, min_samples, backend, simplify))
+    return metrics.evaluation(points, reconstruction(segment_rows(marked)))
+
+
 def offline_geometric(points: DataFrame, config: Compression | None = None, min_samples: int = 15, backend: str = "optics") -> tuple[DataFrame, DataFrame]:
     """Offline pipeline: density segments; stops and line-simplified moves."""
     config = config or Compression()
@@ -84,41 +126,50 @@ def trajectory_results(points: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("original_bytes", F.col("original_points") * BYTES_PER_POINT).withColumn("compression_ratio", metrics.byte_ratio(F.col("original_points"), F.col("encoded_bytes")))
 
 
-def evaluate(points: DataFrame, stored: DataFrame, reconstruction: DataFrame) -> DataFrame:
-    """The metric record of one pipeline per object. ``stored``: obj_id, n (stored points)."""
-    errors = metrics.synchronized_errors(points, reconstruction)
-    e = errors.groupBy("obj_id").agg(F.avg("sed").alias("avg_sed_m"), F.percentile("sed", F.lit(0.95)).alias("p95_sed_m"), F.max("sed").alias("max_sed_m"))
-    n = points.groupBy("obj_id").agg(F.count("*").alias("n_raw_points"))
-    rows = n.join(stored, "obj_id", "left").join(e, "obj_id", "left")
-    return rows.select("obj_id", "n_raw_points", metrics.point_ratio(F.col("n_raw_points"), F.coalesce("n", F.lit(0))).alias("cr"), F.coalesce("n", F.lit(0)).alias("stored_points"), "avg_sed_m", "p95_sed_m", "max_sed_m")
-
-
 def stored_counts(stop_rows: DataFrame, move_points: DataFrame) -> DataFrame:
     """obj_id, n: one per stop and one per kept move point."""
     return stop_rows.select("obj_id").unionByName(move_points.select("obj_id")).groupBy("obj_id").agg(F.count("*").alias("n"))
 
 
+ABLATION = ("full_line", "full_buffer", "full_hybrid", *(f"{side}_{name}" for side in ("offline", "online") for name in ("none", "line", "buffer", "hybrid", "hybrid_refined") if (side, name) != ("online", "none")))
+
+
 def ablation(points: DataFrame, config: Compression | None = None, min_samples: int = 5, backend: str = "manual") -> DataFrame:
-    """Twelve variants in one table (variant, obj_id, metrics): three on whole runs, five offline, four online."""
+    """Twelve variants in one table (variant, obj_id, metrics): three on whole runs, five offline, four online.
+
+    One pass over each object segments it once per side and gives the timed points of every variant.
+    """
     c = config or Compression(capacity=10)
     simplify = {
-        "line": lambda p, k: moves.line_simplify(p, k, c.dp_epsilon_m),
-        "buffer": lambda p, k: moves.buffer_simplify(p, k, c.capacity),
-        "hybrid": lambda p, k: moves.hybrid_simplify(p, k, c.capacity, c.dp_epsilon_m),
-        "hybrid_refined": lambda p, k: moves.hybrid_simplify(p, k, c.capacity, c.dp_epsilon_m, True),
+        "none": lambda lat, lon, t: np.arange(len(t)),
+        "line": lambda lat, lon, t: kernels.douglas_peucker(lat, lon, c.dp_epsilon_m),
+        "buffer": lambda lat, lon, t: kernels.squish(lat, lon, t, c.capacity),
+        "hybrid": lambda lat, lon, t: kernels.hybrid(lat, lon, t, c.capacity, c.dp_epsilon_m),
+        "hybrid_refined": lambda lat, lon, t: kernels.hybrid(lat, lon, t, c.capacity, c.dp_epsilon_m, True),
     }
-    rows = []
-    for name in ("line", "buffer", "hybrid"):
-        kept = simplify[name](points, moves.WHOLE)
-        rows.append(evaluate(points, kept.groupBy("obj_id").agg(F.count("*").alias("n")), kept).withColumn("variant", F.lit(f"full_{name}")))
-    offline = segmentation.density_segments(points, c.stop_distance_m, c.stop_duration_s, min_samples, backend)
-    online_ = segmentation.stay_points(points, c.stop_distance_m, c.stop_duration_s)
-    for family, seg, names in (("offline", offline, ("none", *simplify)), ("online", online_, tuple(simplify))):
-        reps = stops.compress(seg)
-        for name in names:
-            kept = segmentation.moves(seg) if name == "none" else simplify[name](segmentation.moves(seg), moves.PER_SEGMENT)
-            rows.append(evaluate(points, stored_counts(reps, kept), metrics.two_point_reconstruction(reps, kept)).withColumn("variant", F.lit(f"{family}_{name}")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        lat, lon, t = arrays(table, "lat", "lon", "t")
+        sides = {
+            "full": [(0, len(t) - 1, False)],
+            "offline": kernels.density_segments(lat, lon, t, c.stop_distance_m, c.stop_duration_s, min_samples, backend, XI),
+            "online": kernels.stay_segments(lat, lon, t, c.stop_distance_m, c.stop_duration_s),
+        }
+        rows: list[tuple] = []
+        for variant in ABLATION:
+            side, name = variant.split("_", 1)
+            for a, b, stop in sides[side]:
+                if stop:
+                    y, x = float(lat[a : b + 1].mean()), float(lon[a : b + 1].mean())
+                    rows += [(variant, t[a], y, x, 1), (variant, t[b], y, x, 0)]
+                else:
+                    kept = a + simplify[name](lat[a : b + 1], lon[a : b + 1], t[a : b + 1])
+                    rows += zip([variant] * len(kept), t[kept], lat[kept], lon[kept], [1] * len(kept))
+        cols = list(zip(*rows))
+        obj = pa.array([table.column("obj_id")[0].as_py()] * len(rows), pa.string())
+        return pa.table([pa.array(cols[0], pa.string()), obj, *(pa.array(x, pa.float64()) for x in cols[1:4]), pa.array(cols[4], pa.int32())], names=["variant", "obj_id", "t", "lat", "lon", "stored"])
+
+    timed = points.groupBy("obj_id").applyInArrow(run, "variant string, obj_id string, t double, lat double, lon double, stored int")
+    raw = points.withColumn("variant", F.explode(F.array(*map(F.lit, ABLATION))))
+    return metrics.evaluation(raw, timed, ("variant", "obj_id"))

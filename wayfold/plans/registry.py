@@ -112,6 +112,81 @@ def _sed_sql(kept: str, out: str) -> str:
         FROM pts p JOIN {out}_n n ON n.obj_id = p.obj_id AND n.seq = p.seq LEFT JOIN {kept} a ON a.obj_id = p.obj_id AND a.t = n.ta LEFT JOIN {kept} b ON b.obj_id = p.obj_id AND b.t = n.tb)"""
 
 
+def _squish_sql(source: str, name: str, capacity: str, keys: str = "obj_id") -> str:
+    """CTEs of the bounded buffer over ``source`` per ``keys``: {name} has the kept (keys, seq). ``capacity`` may use the sequence's size n."""
+    on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    wk = ", ".join(f"w.{k}" for k in keys.split(", "))
+    r = "((l[j].t - l[j - 1].t) / (l[j + 1].t - l[j - 1].t))"
+    dy, dx = (f"(l[j].{c} - (l[j - 1].{c} + (l[j + 1].{c} - l[j - 1].{c}) * {r}))" for c in ("lat", "lon"))
+    cost = f"CASE WHEN l[j + 1].t = l[j - 1].t THEN 0.0 ELSE sqrt({dy} * {dy} + {dx} * {dx}) END"
+    return f"""
+    {name}_q AS (SELECT {keys}, seq, lat, lon, t, row_number() OVER v AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {source} WINDOW v AS (PARTITION BY {keys} ORDER BY seq)),
+    {name}_w AS (
+        SELECT {keys}, 0::BIGINT AS i, []::STRUCT(seq BIGINT, lat DOUBLE, lon DOUBLE, t DOUBLE)[] AS b FROM (SELECT DISTINCT {keys} FROM {source})
+        UNION ALL
+        SELECT {keys}, i, CASE WHEN c IS NULL THEN l ELSE list_concat(l[1:list_position(c, list_min(c))], l[list_position(c, list_min(c)) + 2:]) END FROM (
+            SELECT {keys}, i, l, CASE WHEN len(l) > cap THEN list_transform(range(2, len(l)), lambda j: {cost}) END AS c FROM (
+                SELECT {wk}, q.i, list_append(w.b, {{'seq': q.seq, 'lat': q.lat, 'lon': q.lon, 't': q.t}}) AS l, {capacity} AS cap FROM {name}_w w JOIN {name}_q q ON {on('q', 'w')} AND q.i = w.i + 1))),
+    {name} AS (SELECT {keys}, unnest(b).seq AS seq FROM (SELECT w.* FROM {name}_w w JOIN (SELECT {keys}, max(i) AS i FROM {name}_q GROUP BY {keys}) m ON {on('m', 'w')} AND m.i = w.i))"""
+
+
+def _kept_sql(source: str, name: str, how: str, keys: str, capacity: int) -> str:
+    """CTEs of one simplification of ``source`` per ``keys``: {name} has the kept (keys, seq)."""
+    on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    pick = lambda out, cte: f"{out} AS (SELECT p.* FROM {source} p JOIN {cte} k ON {on('p', 'k')} AND p.seq = k.seq)"
+    if how == "none":
+        return f"{name} AS (SELECT {keys}, seq FROM {source})"
+    if how == "line":
+        return _dp_sql(source, name, keys)
+    if how == "buffer":
+        return _squish_sql(source, name, str(capacity), keys)
+    if how == "chain":
+        return f"{_squish_sql(source, f'{name}_b', str(capacity), keys)}, {pick(f'{name}_p', f'{name}_b')}, {_dp_sql(f'{name}_p', name, keys)}"
+    size = f"{name}_n AS (SELECT {keys}, count(*) AS n FROM {source} GROUP BY {keys}), {name}_s AS (SELECT p.* FROM {source} p JOIN {name}_n n ON {on('p', 'n')} WHERE n <= {capacity}), {name}_l AS (SELECT p.* FROM {source} p JOIN {name}_n n ON {on('p', 'n')} WHERE n > {capacity})"
+    long = _squish_sql(f"{name}_l", f"{name}_lb", str(capacity), keys)
+    if how == "hybrid_refined":
+        long += f", {pick(f'{name}_lp', f'{name}_lb')}, {_dp_sql(f'{name}_lp', f'{name}_lr', keys)}"
+    return f"{size}, {_dp_sql(f'{name}_s', f'{name}_sd', keys)}, {long}, {name} AS (SELECT * FROM {name}_sd UNION ALL SELECT * FROM {name}_l{'r' if how == 'hybrid_refined' else 'b'})"
+
+
+def _labels_sql(eps: float, samples: int, tag: str = "") -> str:
+    """CTEs of the density clusters: lab{tag} (obj_id, seq, label) without noise. A cluster is found by its least core."""
+    return f"""
+    nb{tag} AS (SELECT a.obj_id, a.seq AS i, b.seq AS j FROM (SELECT a.obj_id, a.seq, b.seq AS other, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h
+        FROM pts a JOIN pts b ON a.obj_id = b.obj_id) a JOIN pts b ON b.obj_id = a.obj_id AND b.seq = a.other WHERE 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) <= {eps}),
+    core{tag} AS (SELECT obj_id, i FROM nb{tag} GROUP BY ALL HAVING count(*) >= {samples}), cc{tag} AS (SELECT n.* FROM nb{tag} n JOIN core{tag} a ON a.obj_id = n.obj_id AND a.i = n.i JOIN core{tag} b ON b.obj_id = n.obj_id AND b.i = n.j),
+    reach{tag} AS (SELECT obj_id, i, j FROM cc{tag} UNION SELECT r.obj_id, r.i, c.j FROM reach{tag} r JOIN cc{tag} c ON c.obj_id = r.obj_id AND c.i = r.j),
+    root{tag} AS (SELECT obj_id, i, min(j) AS r FROM reach{tag} GROUP BY ALL), num{tag} AS (SELECT obj_id, r, dense_rank() OVER (PARTITION BY obj_id ORDER BY r) - 1 AS label FROM root{tag} GROUP BY obj_id, r),
+    lab{tag} AS (SELECT n.obj_id, n.i AS seq, min(m.label) AS label FROM nb{tag} n JOIN root{tag} o ON o.obj_id = n.obj_id AND o.i = n.j JOIN num{tag} m ON m.obj_id = o.obj_id AND m.r = o.r GROUP BY ALL)"""
+
+
+def _offline_sql(eps: float, seconds: float, samples: int, tag: str = "d", labels: str | None = None) -> str:
+    """CTEs of the offline segmentation: sp{tag}. ``labels``: the tag of clusters that stand before."""
+    made = "" if labels is not None else _labels_sql(eps, samples, tag) + ","
+    return f"""{made}
+    lb{tag} AS (SELECT p.*, coalesce(l.label, -1) AS label FROM pts p LEFT JOIN lab{tag if labels is None else labels} l ON l.obj_id = p.obj_id AND l.seq = p.seq),
+    r1{tag} AS (SELECT *, (label IS DISTINCT FROM lag(label) OVER w)::INT AS c FROM lb{tag} WINDOW w AS (PARTITION BY obj_id ORDER BY seq)), r2{tag} AS (SELECT *, sum(c) OVER (PARTITION BY obj_id ORDER BY seq) AS g FROM r1{tag}),
+    r3{tag} AS (SELECT *, CASE WHEN label <> -1 AND max(t) OVER v - min(t) OVER v >= {seconds} THEN 'stop' ELSE 'move' END AS kind FROM r2{tag} WINDOW v AS (PARTITION BY obj_id, g)),
+    r4{tag} AS (SELECT *, CASE WHEN g = lag(g) OVER w OR (kind = 'move' AND lag(kind) OVER w = 'move') THEN 0 ELSE 1 END AS nw FROM r3{tag} WINDOW w AS (PARTITION BY obj_id ORDER BY seq)),
+    sp{tag} AS (SELECT obj_id, seq, lat, lon, t, road_id, kind, (sum(nw) OVER (PARTITION BY obj_id ORDER BY seq) - 1)::BIGINT AS seg_id FROM r4{tag})"""
+
+
+def _recon_sql(sp: str, kept: str, name: str) -> str:
+    """CTE of the timed points of a segmented compression, with stored."""
+    return f"""{name}_c AS (SELECT obj_id, seg_id, avg(lat) AS lat, avg(lon) AS lon, min(t) AS s, max(t) AS e FROM {sp} WHERE kind = 'stop' GROUP BY ALL),
+    {name} AS (SELECT obj_id, lat, lon, s AS t, 1 AS stored FROM {name}_c UNION ALL SELECT obj_id, lat, lon, e, 0 FROM {name}_c
+        UNION ALL SELECT p.obj_id, p.lat, p.lon, p.t, 1 FROM {sp} p JOIN {kept} k ON k.obj_id = p.obj_id AND k.seg_id = p.seg_id AND k.seq = p.seq)"""
+
+
+def _eval_sql(recon: str, name: str) -> str:
+    """CTEs of the metric record per object against ``recon`` (obj_id, t, lat, lon, stored): {name}, in metres."""
+    return f"""{_sed_sql(recon, f'{name}_e')},
+    {name} AS (SELECT n.obj_id, n.c AS n_raw_points, n.c / greatest(1, coalesce(s.n, 0)) AS cr, coalesce(s.n, 0) AS stored_points, e.avg_sed_m, e.p95_sed_m, e.max_sed_m, e.pct_5m
+        FROM (SELECT obj_id, count(*) AS c FROM pts GROUP BY 1) n LEFT JOIN (SELECT obj_id, sum(stored)::BIGINT AS n FROM {recon} GROUP BY 1) s USING (obj_id)
+        LEFT JOIN (SELECT obj_id, avg(sed) AS avg_sed_m, quantile_cont(sed, 0.95) AS p95_sed_m, max(sed) AS max_sed_m, 100 * avg((sed <= 5)::INT) AS pct_5m FROM {name}_e GROUP BY 1) e USING (obj_id))"""
+
+
+_RECORD = f"obj_id, n_raw_points, {_mm('cr')} AS cr, stored_points, {_mm('avg_sed_m')} AS avg_sed_m, {_mm('p95_sed_m')} AS p95_sed_m, {_mm('max_sed_m')} AS max_sed_m, {_mm('pct_5m')} AS pct_5m"
 _STAY = f"{_PTS}, {_stay_sql(EPS, SECONDS)}"
 _DP = f"{_PTS}, {_dp_sql('pts', 'dp')}, kept AS (SELECT p.* FROM pts p JOIN dp USING (obj_id, seq))"
 
@@ -195,15 +270,15 @@ def d2_line_simplify_moves(spark: SparkSession, d: str) -> DataFrame:
     return moves.line_simplify(segmentation.moves(seg), moves.PER_SEGMENT, EPS).select("obj_id", "seg_id", "seq")
 
 
-def _simplified(name: str, f) -> None:
-    _query(name)(lambda spark, d: f(from_events(spark, d)).select("obj_id", "seq"))
+def _simplified(name: str, f, sql: str) -> None:
+    _query(name, f"{_PTS}, {sql} SELECT obj_id, seq FROM x")(lambda spark, d: f(from_events(spark, d)).select("obj_id", "seq"))
 
 
-_simplified("d3_buffer", lambda p: moves.buffer_simplify(p))
-_simplified("d4_hybrid", lambda p: moves.hybrid_simplify(p, capacity=60))
-_simplified("d4_hybrid_refined", lambda p: moves.hybrid_simplify(p, capacity=60, refine=True))
-_simplified("d5_chain", lambda p: moves.chain_simplify(p))
-_simplified("d6_dynamic_buffer", lambda p: moves.buffer_simplify_dynamic(p))
+_simplified("d3_buffer", lambda p: moves.buffer_simplify(p), _squish_sql("pts", "x", "50"))
+_simplified("d4_hybrid", lambda p: moves.hybrid_simplify(p, capacity=60), _kept_sql("pts", "x", "hybrid", "obj_id", 60))
+_simplified("d4_hybrid_refined", lambda p: moves.hybrid_simplify(p, capacity=60, refine=True), _kept_sql("pts", "x", "hybrid_refined", "obj_id", 60))
+_simplified("d5_chain", lambda p: moves.chain_simplify(p), _kept_sql("pts", "x", "chain", "obj_id", 50))
+_simplified("d6_dynamic_buffer", lambda p: moves.buffer_simplify_dynamic(p), _squish_sql("pts", "x", "greatest(10, floor(0.3 * q.n)::BIGINT)"))
 
 
 @_query("d7_road_changes", f"""{_PTS}, l AS (SELECT *, lag(road_id) OVER w AS r, row_number() OVER w AS i, lead(seq) OVER w AS nx FROM pts WINDOW w AS (PARTITION BY obj_id ORDER BY seq))
@@ -237,24 +312,22 @@ def d10_referential_coding(spark: SparkSession, d: str) -> DataFrame:
     return moves.referential_coding(segmentation.moves(seg)).select("obj_id", "seg_id", "encoded_bytes", F.size("e").alias("n_e"), F.size("v").alias("n_v"), "references")
 
 
-@_query("d17_retained_points")
+@_query(
+    "d17_retained_points",
+    f"""{_STAY}, mp AS (SELECT *, row_number() OVER w AS i, lead(seq) OVER w IS NULL AS ends FROM sp WHERE kind = 'move' WINDOW w AS (PARTITION BY obj_id, seg_id ORDER BY seq)), run AS (
+        SELECT obj_id, seg_id, i, seq, road_id, ends, 0.0::DOUBLE AS stored, 'road_change' AS reason FROM mp WHERE i = 1
+        UNION ALL
+        SELECT obj_id, seg_id, i, seq, road_id, ends, CASE WHEN turn THEN 0 WHEN abs(v - stored) > 50 THEN v ELSE stored END, CASE WHEN turn THEN 'road_change' WHEN abs(v - stored) > 50 THEN 'speed_change' WHEN ends THEN 'forced_last' END
+        FROM (SELECT p.obj_id, p.seg_id, p.i, p.seq, p.road_id, p.ends, r.stored, p.road_id IS DISTINCT FROM r.road_id AS turn, {_V} / (p.t - q.t) AS v
+              FROM run r JOIN mp p ON p.obj_id = r.obj_id AND p.seg_id = r.seg_id AND p.i = r.i + 1 JOIN mp q ON q.obj_id = r.obj_id AND q.seg_id = r.seg_id AND q.i = r.i))
+    SELECT obj_id, seg_id, seq, reason FROM run WHERE reason IS NOT NULL""",
+)
 def d17_retained_points(spark: SparkSession, d: str) -> DataFrame:
     seg = segmentation.stay_points(from_events(spark, d), EPS, SECONDS)
     return moves.retained_points(segmentation.moves(seg)).select("obj_id", "seg_id", "seq", "reason")
 
 
-_NEAR = """nb AS (SELECT a.obj_id, a.seq AS i, b.seq AS j FROM (SELECT a.obj_id, a.seq, b.seq AS other, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h
-        FROM pts a JOIN pts b ON a.obj_id = b.obj_id) a JOIN pts b ON b.obj_id = a.obj_id AND b.seq = a.other WHERE 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) <= 15.0)"""
-
-
-@_query(
-    "m2_density_clusters",
-    f"""{_PTS}, {_NEAR}, core AS (SELECT obj_id, i FROM nb GROUP BY ALL HAVING count(*) >= {SAMPLES}), cc AS (SELECT n.* FROM nb n JOIN core a ON a.obj_id = n.obj_id AND a.i = n.i JOIN core b ON b.obj_id = n.obj_id AND b.i = n.j),
-    reach AS (SELECT obj_id, i, j FROM cc UNION SELECT r.obj_id, r.i, c.j FROM reach r JOIN cc c ON c.obj_id = r.obj_id AND c.i = r.j),
-    root AS (SELECT obj_id, i, min(j) AS r FROM reach GROUP BY ALL), num AS (SELECT obj_id, r, dense_rank() OVER (PARTITION BY obj_id ORDER BY r) - 1 AS label FROM root GROUP BY obj_id, r),
-    lab AS (SELECT n.obj_id, n.i AS seq, min(m.label) AS label FROM nb n JOIN root o ON o.obj_id = n.obj_id AND o.i = n.j JOIN num m ON m.obj_id = o.obj_id AND m.r = o.r GROUP BY ALL)
-    SELECT p.obj_id, p.seq, coalesce(l.label, -1)::BIGINT AS label FROM pts p LEFT JOIN lab l ON l.obj_id = p.obj_id AND l.seq = p.seq""",
-)
+@_query("m2_density_clusters", f"{_PTS}, {_labels_sql(EPS, SAMPLES)} SELECT p.obj_id, p.seq, coalesce(l.label, -1)::BIGINT AS label FROM pts p LEFT JOIN lab l ON l.obj_id = p.obj_id AND l.seq = p.seq")
 def m2_density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.density_clusters(from_events(spark, d), EPS, SAMPLES).select("obj_id", "seq", "label")
 
@@ -363,7 +436,8 @@ def e22_strategy_summary(spark: SparkSession, d: str) -> DataFrame:
     return _micros(metrics.strategy_summary(e.select("strategy", (F.col("n") * 24).alias("original_bytes"), enc.cast("long").alias("encoded_bytes"), metrics.byte_ratio(F.col("n"), enc).alias("cr"))))
 
 
-@_query("e23_same_streams")
+@_query("e23_same_streams", f"""{_PTS}, {_kept_sql('pts', 'x', 'buffer', 'obj_id', 60)}, {_kept_sql('pts', 'y', 'hybrid', 'obj_id', 60)}
+    SELECT coalesce(x.obj_id, y.obj_id) AS obj_id, bool_and(x.seq IS NOT NULL AND y.seq IS NOT NULL) AS identical FROM x FULL JOIN y ON x.obj_id = y.obj_id AND x.seq = y.seq GROUP BY 1""")
 def e23_same_streams(spark: SparkSession, d: str) -> DataFrame:
     p = from_events(spark, d)
     return metrics.same_streams(moves.buffer_simplify(p, capacity=60), moves.hybrid_simplify(p, capacity=60))
@@ -394,32 +468,41 @@ def v3_running_counters(spark: SparkSession, d: str) -> DataFrame:
     return metrics.running_counters(segmentation.stay_points(from_events(spark, d), EPS, SECONDS))
 
 
-@_query("p1_line_only", f"""{_DP}, {_sed_sql('kept', 'err')}, k AS (SELECT obj_id, count(*) AS n FROM kept GROUP BY 1), n AS (SELECT obj_id, count(*) AS c FROM pts GROUP BY 1)
-    SELECT n.obj_id, n.c AS n_raw_points, {_mm('any_value(n.c) / any_value(k.n)')} AS cr, k.n AS stored_points, {_mm('avg(sed)')} AS avg_sed_m, {_mm('quantile_cont(sed, 0.95)')} AS p95_sed_m, {_mm('max(sed)')} AS max_sed_m FROM n JOIN k USING (obj_id) JOIN err USING (obj_id) GROUP BY n.obj_id, n.c, k.n""")
+@_query("p1_line_only", f"{_DP}, line AS (SELECT *, 1 AS stored FROM kept), {_eval_sql('line', 'x')} SELECT {_RECORD} FROM x")
 def p1_line_only(spark: SparkSession, d: str) -> DataFrame:
     p = from_events(spark, d)
-    kept = moves.line_simplify(p, eps=EPS)
-    return _millis(pipelines.evaluate(p, kept.groupBy("obj_id").agg(F.count("*").alias("n")), kept))
+    return _millis(metrics.evaluation(p, moves.line_simplify(p, eps=EPS)))
+
+
+_OFFLINE = f"{_PTS}, {_offline_sql(EPS, SECONDS, SAMPLES)}, mpd AS (SELECT * FROM spd WHERE kind = 'move')"
 
 
-@_query("p2_offline_geometric")
+@_query("p2_offline_geometric", f"{_OFFLINE}, {_dp_sql('mpd', 'kd', 'obj_id, seg_id')}, {_recon_sql('spd', 'kd', 'rd')}, {_eval_sql('rd', 'x')} SELECT {_RECORD} FROM x")
 def p2_offline_geometric(spark: SparkSession, d: str) -> DataFrame:
-    p = from_events(spark, d)
-    reps, kept = pipelines.offline_geometric(p, min_samples=SAMPLES, backend="manual")
-    return _micros(pipelines.evaluate(p, pipelines.stored_counts(reps, kept), metrics.two_point_reconstruction(reps, kept)))
+    return _millis(pipelines.offline_evaluation(from_events(spark, d), min_samples=SAMPLES, backend="manual"))
+
 
+@_query("p2_offline_geometric_reachability")
+def p2_offline_geometric_reachability(spark: SparkSession, d: str) -> DataFrame:
+    return _millis(pipelines.offline_evaluation(from_events(spark, d), min_samples=SAMPLES, backend="optics"))
 
-@_query(FLAGSHIP)
+
+@_query(
+    FLAGSHIP,
+    f"""{_STAY}, mp AS (SELECT * FROM sp WHERE kind = 'move'), {_kept_sql('mp', 'kc', 'chain', 'obj_id, seg_id', CAPACITY)},
+    n AS (SELECT obj_id, count(*) AS original_points FROM pts GROUP BY 1), g AS (SELECT obj_id, seg_id, kind, CASE WHEN kind = 'stop' THEN 1 ELSE (SELECT count(*) FROM kc WHERE kc.obj_id = s.obj_id AND kc.seg_id = s.seg_id) END AS k FROM (SELECT DISTINCT obj_id, seg_id, kind FROM sp) s)
+    SELECT n.obj_id, original_points, (sum(k) * 24)::BIGINT AS encoded_bytes, sum(k)::BIGINT AS stored_points, sum((kind = 'stop')::INT)::BIGINT AS stops, sum((kind = 'move')::INT)::BIGINT AS moves, original_points * 24 AS original_bytes,
+           {_m('original_points * 24 / (sum(k) * 24)')} AS compression_ratio FROM n JOIN g USING (obj_id) GROUP BY n.obj_id, original_points""",
+)
 def p3_geometric_summary(spark: SparkSession, d: str) -> DataFrame:
     p = from_events(spark, d)
     return _micros(pipelines.trajectory_results(p, pipelines.online(p, Compression(capacity=CAPACITY))))
 
 
-@_query("p4_offline_network")
+@_query("p4_offline_network", f"""{_OFFLINE}, kd AS (SELECT obj_id, seg_id, seq FROM (SELECT *, row_number() OVER w AS i, lag(road_id) OVER w AS r, lead(seq) OVER w AS nx FROM mpd WINDOW w AS (PARTITION BY obj_id, seg_id ORDER BY seq)) WHERE i = 1 OR nx IS NULL OR road_id IS DISTINCT FROM r),
+    {_recon_sql('spd', 'kd', 'rd')}, {_eval_sql('rd', 'x')} SELECT {_RECORD} FROM x""")
 def p4_offline_network(spark: SparkSession, d: str) -> DataFrame:
-    p = from_events(spark, d)
-    reps, kept = pipelines.offline_network(p, min_samples=SAMPLES, backend="manual")
-    return _micros(pipelines.evaluate(p, pipelines.stored_counts(reps, kept), metrics.two_point_reconstruction(reps, kept)))
+    return _millis(pipelines.offline_evaluation(from_events(spark, d), min_samples=SAMPLES, backend="manual", network=True))
 
 
 @_query("p5_network_summary")
@@ -433,20 +516,65 @@ def p6_stop_only(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.stored_counts(*pipelines.stop_only(segmentation.stay_points(from_events(spark, d), EPS, SECONDS)))
 
 
-@_query("p7_ablation")
+def _ablation_sql() -> str:
+    parts, rows = [f"{_PTS}, {_stay_sql(EPS, SECONDS, 'o')}, {_offline_sql(EPS, SECONDS, SAMPLES)}", "mpd AS (SELECT * FROM spd WHERE kind = 'move')", "mpo AS (SELECT * FROM spo WHERE kind = 'move')"], []
+    for variant in pipelines.ABLATION:
+        side, how = variant.split("_", 1)
+        if side == "full":
+            parts += [_kept_sql("pts", f"k_{variant}", how, "obj_id", 10), f"r_{variant} AS (SELECT p.obj_id, p.t, p.lat, p.lon, 1 AS stored FROM pts p JOIN k_{variant} USING (obj_id, seq))"]
+        else:
+            tag = "d" if side == "offline" else "o"
+            parts += [_kept_sql(f"mp{tag}", f"k_{variant}", how, "obj_id, seg_id", 10), _recon_sql(f"sp{tag}", f"k_{variant}", f"r_{variant}")]
+        parts.append(_eval_sql(f"r_{variant}", f"e_{variant}"))
+        rows.append(f"SELECT '{variant}' AS variant, * FROM e_{variant}")
+    q = lambda c, p: _mm(f"quantile_cont({c}, {p})")
+    return f"""{', '.join(parts)} SELECT variant, {_mm('avg(avg_sed_m)')} AS mean_sed, {q('avg_sed_m', 0.5)} AS median_sed, {q('avg_sed_m', 0.95)} AS p95_sed, {q('avg_sed_m', 0.99)} AS p99_sed,
+        {_mm('avg(cr)')} AS mean_cr, {q('cr', 0.5)} AS median_cr, {_mm('avg(pct_5m)')} AS mean_pct_5m FROM ({' UNION ALL '.join(rows)}) GROUP BY variant"""
+
+
+@_query("p7_ablation", _ablation_sql())
 def p7_ablation(spark: SparkSession, d: str) -> DataFrame:
-    rows = pipelines.ablation(from_events(spark, d)).withColumnRenamed("avg_sed_m", "average_sed").withColumn("pct_5m", F.lit(0.0))
-    return _micros(metrics.variant_summary(rows))
+    rows = pipelines.ablation(from_events(spark, d), min_samples=SAMPLES).withColumnRenamed("avg_sed_m", "average_sed")
+    return _millis(metrics.variant_summary(rows))
 
 
-@_query("x1_epsilon_sweep")
-def x1_epsilon_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _micros(experiments.epsilon_sweep(from_events(spark, d), (5, 10, 15, 25, 50)), "eps")
+SWEEP = (5, 10, 15, 25, 50)
+
 
+def _sweep_sql() -> str:
+    ctes = [x for e in SWEEP for x in (_dp_sql("pts", f"dp{e}", eps=e), f"kp{e} AS (SELECT p.* FROM pts p JOIN dp{e} USING (obj_id, seq))", _sed_sql(f"kp{e}", f"er{e}"))]
+    rows = " UNION ALL ".join(f"SELECT {e}::DOUBLE AS eps, avg(sed) AS mean_sed, quantile_cont(sed, 0.95) AS p95_sed, max(sed) AS max_sed, count(*) AS n_points, (SELECT count(*) FROM kp{e}) AS kept FROM er{e}" for e in SWEEP)
+    return f"{_PTS}, {', '.join(ctes)}, sweep AS ({rows})"
 
-@_query("x3_segmentation_sweep")
+
+@_query("x1_epsilon_sweep", f"{_sweep_sql()} SELECT eps, {_mm('mean_sed')} AS mean_sed, {_mm('p95_sed')} AS p95_sed, {_mm('max_sed')} AS max_sed, n_points, kept, {_mm('n_points / kept')} AS cr FROM sweep")
+def x1_epsilon_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _millis(experiments.epsilon_sweep(from_events(spark, d), SWEEP), "eps")
+
+
+def _segment_sweep_sql() -> str:
+    ctes, rows, labels = [_PTS, "np AS (SELECT obj_id, count(*) AS n_points FROM pts GROUP BY 1 HAVING count(*) >= 5)"], [], set()
+    for e in experiments.EPS_GRID:
+        for t in experiments.SECONDS_GRID:
+            k, tag = max(5, round(t * 0.5)), f"_{e:g}_{t:g}"
+            known = f"_{e:g}_{k}"
+            if known not in labels:
+                labels.add(known)
+                ctes.append(_labels_sql(e, k, known))
+            ctes += [_stay_sql(e, t, tag), _offline_sql(e, t, k, f"d{tag}", known)]
+            spans = lambda sp: f"SELECT obj_id, seg_id, kind, min(t) AS s, max(t) AS e FROM {sp} GROUP BY ALL"
+            ctes += [f"a{tag} AS ({spans(f'sp{tag}')})", f"b{tag} AS ({spans(f'spd{tag}')})"]
+            iou = "(least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s))"
+            ctes.append(f"i{tag} AS (SELECT a.obj_id, count(*) AS tp, avg({iou}) AS m FROM a{tag} a JOIN b{tag} b ON a.obj_id = b.obj_id AND a.kind = 'stop' AND b.kind = 'stop' AND a.s < b.e AND b.s < a.e WHERE {iou} >= 0.5 GROUP BY 1)")
+            count = lambda x, p: f"(SELECT obj_id, sum((kind = 'stop')::INT)::BIGINT AS {p}_n_stops, sum((kind = 'move')::INT)::BIGINT AS {p}_n_moves FROM {x}{tag} GROUP BY 1)"
+            rows.append(f"SELECT {e}::DOUBLE AS eps_m, {t}::DOUBLE AS t_s, {k}::BIGINT AS min_samples, np.*, x.* EXCLUDE (obj_id), y.* EXCLUDE (obj_id), coalesce(tp, 0) AS tp, coalesce(m, 0) AS m FROM np JOIN {count('a', 'step')} x USING (obj_id) JOIN {count('b', 'stss')} y USING (obj_id) LEFT JOIN i{tag} USING (obj_id)")
+    p, r = "(CASE WHEN step_n_stops > 0 THEN tp / step_n_stops ELSE 0 END)", "(CASE WHEN stss_n_stops > 0 THEN tp / stss_n_stops ELSE 0 END)"
+    return f"""{', '.join(ctes)} SELECT eps_m, t_s, min_samples, obj_id, n_points, step_n_stops, step_n_moves, stss_n_stops, stss_n_moves, {_m(f'CASE WHEN tp > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END')} AS f1, {_m(p)} AS precision, {_m(r)} AS recall, {_m('m')} AS matched_iou_mean FROM ({' UNION ALL '.join(rows)})"""
+
+
+@_query("x3_segmentation_sweep", _segment_sweep_sql())
 def x3_segmentation_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _micros(experiments.segmentation_sweep(from_events(spark, d), (10.0, 15.0), (15.0, 30.0), SAMPLES), "eps_m", "t_s")
+    return _micros(experiments.segmentation_sweep(from_events(spark, d)), "eps_m", "t_s")
 
 
 @_query("x5_sweep_aggregate", f"""SELECT (user_id % 4)::DOUBLE AS eps_m, (event_id % 3)::DOUBLE AS t_s, count(*) AS n, {_m('avg(value)')} AS value_mean, {_m('quantile_cont(value, 0.5)')} AS value_median, {_m('coalesce(stddev_samp(value), 0)')} AS value_std, {_m('min(value)')} AS value_min, {_m('max(value)')} AS value_max, true AS passes FROM events GROUP BY ALL""")
@@ -502,10 +630,9 @@ def e25_variant_summary(spark: SparkSession, d: str) -> DataFrame:
     return _micros(metrics.variant_summary(e.select(F.col("event_type").alias("variant"), F.col("value").alias("average_sed"), (F.col("user_id") % 7).cast("double").alias("cr"), (F.col("event_id") % 3).cast("double").alias("pct_5m"))))
 
 
-@_query("x2_select_epsilon", "SELECT 15::BIGINT AS eps, 3000::BIGINT AS cr, 2000::BIGINT AS p95_sed, 1000::BIGINT AS mean_sed")
+@_query("x2_select_epsilon", f"{_sweep_sql()} SELECT eps::BIGINT AS eps, {_mm('n_points / kept')} AS cr, {_mm('p95_sed')} AS p95_sed, {_mm('mean_sed')} AS mean_sed FROM sweep ORDER BY p95_sed <= 8 DESC, n_points / kept DESC, sweep.p95_sed, sweep.mean_sed LIMIT 1")
 def x2_select_epsilon(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.createDataFrame([(5.0, 2.0, 1.0, 1.0), (15.0, 3.0, 2.0, 1.0), (20.0, 3.0, 2.5, 1.0), (50.0, 9.0, 8.0, 3.0)], "eps double, cr double, p95_sed double, mean_sed double")
-    best = experiments.select_epsilon(grid, 3.0)
+    best = experiments.select_epsilon(experiments.epsilon_sweep(from_events(spark, d), SWEEP), 8.0)
     return best.select(F.col("eps").cast("long").alias("eps"), *[micro(c, 1e3).alias(c) for c in ("cr", "p95_sed", "mean_sed")])
 
 
@@ -529,7 +656,8 @@ def m7_min_samples(spark: SparkSession, d: str) -> DataFrame:
     return u.select("user_id", segmentation.min_samples_for(F.col("user_id") % 60).cast("long").alias("min_samples"))
 
 
-@_query("p11_side_by_side")
+@_query("p11_side_by_side", f"""{_STAY}, {_offline_sql(EPS, SECONDS, SAMPLES)}, mp AS (SELECT * FROM sp WHERE kind = 'move'), {_squish_sql('mp', 'kb', str(CAPACITY), 'obj_id, seg_id')}
+    SELECT 'offline' AS side, obj_id, seq, seg_id, kind FROM spd UNION ALL SELECT 'online', obj_id, seq, seg_id, kind FROM sp UNION ALL SELECT 'online_buffered', p.obj_id, p.seq, p.seg_id, p.kind FROM mp p JOIN kb USING (obj_id, seg_id, seq)""")
 def p11_side_by_side(spark: SparkSession, d: str) -> DataFrame:
     p = from_events(spark, d)
     online = segmentation.stay_points(p, EPS, SECONDS)
