@@ -1,16 +1,19 @@
 """Operators on small frames: sources, matching, streaming, metrics at their edges, and all SQL equivalents."""
 
+import json
 import math
 
 import pytest
 from compare import main as compare
+from pyspark.sql import functions as F
 
 from wayfold.operators import metrics, moves, segmentation, stops
-from wayfold.operators.matching import RoadMatcher, match
-from wayfold.plans import pipelines, registry
+from wayfold.operators.matching import RoadMatcher, diagnostics, match
+from wayfold.plans import pipelines, records, registry  # noqa: F401
 from wayfold.schema import Compression, Matching
+from wayfold.sources import graph, sinks
 from wayfold.sources import points as sources
-from wayfold.sources import sinks
+from wayfold.streaming.match_stream import match_stream
 from wayfold.streaming.stay_stream import stay_stream
 
 D = "/root/testdata/sf0.001"
@@ -82,7 +85,18 @@ def test_sources(spark, tmp_path):
     assert sources.check_file_id("12") == "12"
     with pytest.raises(ValueError):
         sources.check_file_id("1/2")
-    assert sources.read_directory(spark, str(tmp_path)).select("obj_id").distinct().count() in (0, 1)
+    (tmp_path / "10.csv").write_text("time,latitude,longitude\n2024-01-01 00:00:00,1,2\n2024-01-01 00:00:01,1,2\n")
+    (tmp_path / "8.csv").write_text("time,latitude,longitude\n2024-01-01 00:00:00,1,2\n")
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for name in ("8.csv", "10.csv"):
+        (folder / name).write_text((tmp_path / name).read_text())
+    assert [(r.obj_id, r.seq) for r in sources.read_directory(spark, str(folder)).orderBy("seq").collect()] == [("10", 0), ("10", 1)]
+    assert sources.read_directory(spark, str(folder), max_files=1, least_points=1).select("obj_id").distinct().first().obj_id == "8"
+    assert sources.read_csv(spark, str(tmp_path / "10.csv"), default_obj_id="x").count() == 2
+    assert [(r.obj_id, r.lat) for r in sources.lenient(raw).orderBy("seq").collect()] == [("7", 1.0), ("7", 5.0)]
+    clocked = sources.lenient(raw.drop("time")).orderBy("seq").collect()
+    assert [r.t for r in clocked] == [1577836800.0, 1577836801.0, 1577836802.0]
 
 
 def test_matching_on_a_toy_graph(spark):
@@ -118,8 +132,85 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_bundle_turns_nan_to_null(spark):
     rows = spark.createDataFrame([("o", 3, "p", "cr", 2.0), ("o", 3, "p", "avg_sed_m", float("nan"))], "obj_id string, n_raw_points long, pipeline string, metric string, value double")
-    text = sinks.evaluation_bundle(rows, metrics.contract_aggregate(rows), {"eps": 15}).first().value
-    assert "NaN" not in text and sinks.BUNDLE_SCHEMA in text
+    parts = {r.part: r.value for r in sinks.evaluation_bundle(rows, metrics.contract_aggregate(rows), {"eps": 15}).collect()}
+    assert json.loads(parts["header"]) == {"schema": sinks.BUNDLE_SCHEMA, "run_config": {"eps": "15"}}
+    assert json.loads(parts["per_file"]) == {"obj_id": "o", "n_raw_points": 3, "pipelines": {"p": {"cr": 2.0, "avg_sed_m": None}}}
+    assert "NaN" not in "".join(parts.values())
+
+
+def test_sinks_read_back(spark, tmp_path):
+    p = roads(spark, "AAB").withColumn("t", F.col("t") + 1_700_000_000)
+    seg = p.withColumns({"seg_id": F.lit(0).cast("long"), "kind": F.lit("stop")})
+    read = lambda name: sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / name)).collect()))
+    sinks.write_points(p, str(tmp_path / "points"), roads=True)
+    assert read("points")[2] == ("0.002", "0.0", "2023-11-14 22:13:22", "B") and len(read("points")) == 3
+    sinks.write_compressed(stops.compress(seg), p.where("seq = 2"), str(tmp_path / "compressed"))
+    assert [r[:3] for r in read("compressed")] == [("a", "MOVE", "0.002"), ("a", "STOP", "0.001")]
+    sinks.write_road_changes(moves.road_changes(p), str(tmp_path / "roads"))
+    assert [(r[3], r[4]) for r in read("roads")] == [("A", "CHUNK_START"), ("B", "CHUNK_START")]
+    sinks.write_keypoints(p.select("obj_id", "t", "lat"), str(tmp_path / "keys"), "line")
+    assert (tmp_path / "keys/strategy=line/obj_id=a").is_dir()
+    records = spark.createDataFrame([("a", 1.5, float("inf"))], "obj_id string, cr double, bad double")
+    sinks.write_metrics_json(records, str(tmp_path / "json"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "json")).collect()] == [{"obj_id": "a", "cr": 1.5}]
+    sinks.write_metrics_csv(records, str(tmp_path / "csv"))
+    assert read("csv") == [("a", "1.5", "Infinity")]
+
+
+GRAPHML = """<?xml version="1.0"?><graphml><key id="d1" for="node" attr.name="y"/><key id="d2" for="node" attr.name="x"/><key id="d3" for="edge" attr.name="osmid"/><key id="d4" for="edge" attr.name="geometry"/>
+<graph edgedefault="directed"><node id="1"><data key="d1">0.0</data><data key="d2">0.0</data></node><node id="2"><data key="d1">0.0</data><data key="d2">0.002</data></node>
+<edge source="1" target="2" id="0"><data key="d3">[7, 8]</data><data key="d4">LINESTRING (0 0, 0.001 0.001, 0.002 0)</data></edge><edge source="2" target="1" id="0"><data key="d3">9</data></edge></graph></graphml>"""
+
+
+def test_graphml_geometry_is_snapped_to(spark, tmp_path):
+    (tmp_path / "g.graphml").write_text(GRAPHML)
+    nodes, edges = graph.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert sorted(map(tuple, nodes.collect())) == [("1", 0.0, 0.0), ("2", 0.0, 0.002)]
+    got = {r.u: r for r in edges.collect()}
+    assert got["1"].osmid == ["7", "8"] and [(p.lat, p.lon) for p in got["1"].geometry] == [(0.0, 0.0), (0.001, 0.001), (0.0, 0.002)] and got["2"].geometry is None
+    p = frame(spark, [("a", 0, 0.00052, 0.0005, 0.0, None), ("a", 1, 0.00098, 0.001, 1.0, None)])
+    m = match(p, nodes, edges, Matching(window=2)).orderBy("seq").collect()
+    assert [r.road_id for r in m] == ["7", "7"] and abs(m[0].lat - 0.00051) < 1e-6 and abs(m[0].lon - 0.00051) < 1e-6
+    found = sinks.write_graph(nodes, edges, str(tmp_path / "graph"))
+    assert (found["nodes"], found["edges"]) == (2, 2) and found["bytes"] > 0
+    again = sinks.read_graph(spark, str(tmp_path / "graph"))
+    assert sorted(map(tuple, again[0].collect())) == sorted(map(tuple, nodes.collect())) and again[1].count() == 2
+    inside = graph.clip(nodes, edges, p, pad=0.0007)
+    assert inside[0].count() == 1 and inside[1].count() == 0
+    far = frame(spark, [("a", 0, 1.0, 1.0, 0.0, "old")])
+    kept = match(far, nodes, edges)
+    assert kept.first().road_id == "old" and diagnostics(far, kept).first().unmatched == 1
+
+
+def test_matching_per_move_and_pipeline(spark):
+    nodes = spark.createDataFrame([(str(i), 0.0, 0.001 * i) for i in range(4)], "node_id string, lat double, lon double")
+    edges = spark.createDataFrame([(str(i), str(i + 1), "0", [f"r{i}"], None) for i in range(3)], "u string, v string, key string, osmid array<string>, geometry array<struct<lat:double,lon:double>>")
+    p = frame(spark, [("a", i, 1e-5, 0.0002 + 0.0004 * i, 10.0 * i, None) for i in range(7)])
+    rows = pipelines.online(p, Compression(strategy="network_semantic", map_matching=True), nodes, edges).collect()
+    assert [r.kind for r in rows] == ["move"] and rows[0].encoded_bytes > 0
+    reps, kept = pipelines.offline_network(p, min_samples=5, backend="manual", nodes=nodes, edges=edges)
+    assert reps.count() == 0 and [r.road_id for r in kept.orderBy("seq").collect()] == ["r0", "r1", "r2", "r2"]
+
+
+def run_stream(spark, frames, tmp_path, schema, build, name):
+    for k, f in enumerate(frames):
+        f.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = build(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        return spark.table(name).collect()
+    finally:
+        q.stop()
+
+
+def test_matched_stream_equals_batch(spark, tmp_path):
+    nodes = spark.createDataFrame([(str(i), 0.0, 0.001 * i) for i in range(4)], "node_id string, lat double, lon double")
+    edges = spark.createDataFrame([(str(i), str(i + 1), "0", [f"r{i}"], None) for i in range(3)], "u string, v string, key string, osmid array<string>, geometry array<struct<lat:double,lon:double>>")
+    p = frame(spark, [(o, i, 1e-5, 0.0002 + 0.0003 * i, float(i), None) for o in "ab" for i in range(9)])
+    end = frame(spark, [(o, None, None, None, None, None) for o in "ab"])
+    got = run_stream(spark, [p.where("seq < 2"), p.where("seq BETWEEN 2 AND 6"), p.where("seq > 6"), end], tmp_path, p.schema, lambda s: match_stream(s, nodes, edges, Matching(window=3)), "matched")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, match(p, nodes, edges, Matching(window=3)).collect())) and len(got) == 18
 
 
 def test_entry_and_sql(spark):

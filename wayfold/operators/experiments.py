@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators import kernels, metrics
 from wayfold.operators.segmentation import arrays, ordered
 from wayfold.schema import POINT_COLUMNS, XI
 
+TUNING_SAMPLES, TUNING_EPS, TUNING_SECONDS = (2, 3, 5), (20.0, 50.0, 100.0, 200.0), (10.0, 30.0, 60.0, 120.0)
 EPS_GRID, SECONDS_GRID = (10.0, 15.0, 20.0, 30.0, 50.0), (10.0, 15.0, 30.0, 60.0)
 
 
@@ -62,8 +63,34 @@ def sort_best(aggregated: DataFrame) -> DataFrame:
 
 
 def most_stops(grid_counts: DataFrame) -> DataFrame:
-    """The first config with most stops: eps_m, t_s, n_stops."""
-    return grid_counts.orderBy(F.desc("n_stops"), "eps_m", "t_s").limit(1)
+    """The first config with most stops."""
+    return grid_counts.orderBy(F.desc("n_stops"), "min_samples", "eps_m", "t_s").limit(1)
+
+
+def tuning_grid(points: DataFrame, samples=TUNING_SAMPLES, eps=TUNING_EPS, seconds=TUNING_SECONDS, backend: str = "manual") -> DataFrame:
+    """Offline segmentation over a grid: min_samples, eps_m, t_s, n_stops, n_moves, mean_stop_s over all objects, and whether it is the
+    first with most stops."""
+    schema = "min_samples int, eps_m double, t_s double, n_stops long, n_moves long, stop_s double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table)
+        lat, lon, t = arrays(table, "lat", "lon", "t")
+        rows, apart = [], kernels.distances(lat, lon)
+        for k in samples:
+            for e in eps:
+                labels = kernels.cluster_labels(lat, lon, e, k, backend, XI, apart)
+                for s in seconds:
+                    found = kernels.label_segments(labels, t, s)
+                    stop = [float(t[b] - t[a]) for a, b, is_stop in found if is_stop]
+                    rows.append((k, e, s, len(stop), len(found) - len(stop), sum(stop)))
+        kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+    per = points.groupBy("obj_id").applyInArrow(run, schema)
+    n, seconds_ = F.sum("n_stops"), F.sum("stop_s")
+    grid = per.groupBy("min_samples", "eps_m", "t_s").agg(n.alias("n_stops"), F.sum("n_moves").alias("n_moves"), F.when(n > 0, seconds_ / F.when(n > 0, n)).otherwise(0.0).alias("mean_stop_s"))
+    key = F.struct(F.col("n_stops"), -F.col("min_samples"), -F.col("eps_m"), -F.col("t_s"))
+    return grid.withColumn("most_stops", key == F.max(key).over(Window.partitionBy(F.lit(0))))  # one row per config of the grid
 
 
 def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, min_samples: int | None = None, least_points: int = 5, backend: str = "manual") -> DataFrame:
@@ -77,10 +104,10 @@ def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, mi
     def run(table: pa.Table) -> pa.Table:
         table = ordered(table)
         lat, lon, t = arrays(table, "lat", "lon", "t")
-        obj, rows, labels = table.column("obj_id")[0].as_py(), [], {}
+        obj, rows, labels, apart = table.column("obj_id")[0].as_py(), [], {}, kernels.distances(lat, lon)
         for e, s, k in grid if len(t) >= least_points else ():
             if (e, k) not in labels:
-                labels[e, k] = kernels.cluster_labels(lat, lon, e, k, backend, XI)
+                labels[e, k] = kernels.cluster_labels(lat, lon, e, k, backend, XI, apart)
             for side, found in (("step", kernels.stay_segments(lat, lon, t, e, s)), ("stss", kernels.label_segments(labels[e, k], t, s))):
                 rows += [(e, s, k, obj, len(t), side, i, "stop" if stop else "move", float(t[a]), float(t[b])) for i, (a, b, stop) in enumerate(found)]
         cols = list(zip(*rows)) or [[]] * 10

@@ -92,14 +92,30 @@ def haversine_from(lat, lon, k: int) -> np.ndarray:
     return 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
-def density_labels(lat, lon, eps: float, min_samples: int) -> np.ndarray:
-    """Density clusters with neighbourhoods that include the fix itself; scans by index; -1 is noise. O(n) memory."""
+#: Fixes up to which an object's distances are held as a matrix (8 MB).
+MATRIX_FIXES = 1024
+
+
+def distances(lat, lon):
+    """Function k -> metres of all fixes from fix k; short objects keep them all."""
+    if len(lat) > MATRIX_FIXES:
+        return lambda k: haversine_from(lat, lon, k)
+    p, q = np.radians(lat), np.radians(lon)
+    c = np.cos(p)
+    a = np.sin((p[:, None] - p) / 2) ** 2 + c[:, None] * c * np.sin((q[:, None] - q) / 2) ** 2
+    held = 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+    return held.__getitem__
+
+
+def density_labels(lat, lon, eps: float, min_samples: int, apart=None) -> np.ndarray:
+    """Density clusters with neighbourhoods that include the fix itself; scans by index; -1 is noise. ``apart``: as ``distances`` gives."""
+    apart = apart or distances(lat, lon)
     labels = np.full(len(lat), -2)
     found = -1
     for k in range(len(lat)):
         if labels[k] != -2:
             continue
-        near = np.flatnonzero(haversine_from(lat, lon, k) <= eps)
+        near = np.flatnonzero(apart(k) <= eps)
         if len(near) < min_samples:
             labels[k] = -1
             continue
@@ -113,7 +129,7 @@ def density_labels(lat, lon, eps: float, min_samples: int) -> np.ndarray:
             if labels[j] != -2:
                 continue
             labels[j] = found
-            around = np.flatnonzero(haversine_from(lat, lon, j) <= eps)
+            around = np.flatnonzero(apart(j) <= eps)
             if len(around) >= min_samples:
                 todo += around[labels[around] < 0].tolist()
     return labels
@@ -135,10 +151,10 @@ def density_segments(lat, lon, t, eps: float, min_s: float, min_samples: int, ba
     return label_segments(cluster_labels(lat, lon, eps, min_samples, backend, xi), t, min_s)
 
 
-def cluster_labels(lat, lon, eps: float, min_samples: int, backend: str, xi: float) -> np.ndarray:
+def cluster_labels(lat, lon, eps: float, min_samples: int, backend: str, xi: float, apart=None) -> np.ndarray:
     """Labels by density ('manual') or by the reachability plot ('optics')."""
     if backend == "manual":
-        return density_labels(lat, lon, eps, min_samples)
+        return density_labels(lat, lon, eps, min_samples, apart)
     if len(lat) < min_samples:
         return np.full(len(lat), -1)
     return xi_labels(*optics_order(lat, lon, eps, min_samples), min_samples, xi)

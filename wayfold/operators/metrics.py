@@ -91,6 +91,22 @@ def error_outliers(errors: DataFrame, segmented: DataFrame, last_key: DataFrame,
     return top.join(segmented.select("obj_id", "seq", "seg_id", "kind"), ["obj_id", "seq"]).select("obj_id", "rank", "seq", "sed", "seg_id", "kind")
 
 
+def segment_spans(points: DataFrame, kept: DataFrame) -> DataFrame:
+    """Seconds of the kept segment around each point, up to the last kept point: mean, p95 and maximum per object."""
+    w = Window.partitionBy("obj_id").orderBy("t")
+    span = F.coalesce(F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t"))
+    keys = kept.select("obj_id", "t", F.lit(1).alias("side"), span.alias("span"))
+    both = points.select("obj_id", "t", F.lit(0).alias("side"), F.lit(None).cast("double").alias("span")).unionByName(keys)
+    ahead = Window.partitionBy("obj_id").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
+    rows = both.withColumn("span", F.first("span", ignorenulls=True).over(ahead)).where("side = 0 AND span IS NOT NULL")
+    return rows.groupBy("obj_id").agg(F.avg("span").alias("mean_span"), F.percentile("span", F.lit(0.95)).alias("p95_span"), F.max("span").alias("max_span"))
+
+
+def better_count(other: DataFrame, own: DataFrame, name: str) -> DataFrame:
+    """objects and ``name``: in how many of them ``own.own`` is below ``other.other``."""
+    return other.join(own, "obj_id").agg(F.count("*").alias("objects"), F.sum(F.when(F.col("own") < F.col("other"), 1).otherwise(0)).alias(name))
+
+
 def retention(kept: DataFrame) -> DataFrame:
     """Gaps in time and space between neighbours of the kept points: mean, p95, maximum."""
     w = Window.partitionBy("obj_id").orderBy("t", "seq")

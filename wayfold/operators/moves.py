@@ -122,3 +122,18 @@ def referential_coding(move_points: DataFrame, coding: ReferenceCoding | None =
 def factor_bytes(factors: Column) -> Column:
     """16 bytes per match, 4 per literal; 0 for a null."""
     return F.coalesce(F.aggregate(factors, F.lit(0).cast("long"), lambda s, f: s + F.when(f["tag"] == "match", BYTES_PER_MATCH).otherwise(BYTES_PER_LITERAL)), F.lit(0).cast("long"))
+
+
+def stream_ratio(points: DataFrame, coded: DataFrame) -> DataFrame:
+    """obj_id, ratio: points per record of the coded speeds (1 record at least)."""
+    n = points.groupBy("obj_id").agg(F.count("*").alias("n"))
+    v = coded.groupBy("obj_id").agg(F.sum(F.size("v")).alias("v"))
+    return n.join(v, "obj_id", "left").select("obj_id", (F.col("n") / F.greatest(F.lit(1), F.coalesce("v", F.lit(0)))).alias("ratio"))
+
+
+def diagnostics(points: DataFrame, retained: DataFrame) -> DataFrame:
+    """Per object: points in moves, points kept by reason and the share kept (0 without points)."""
+    of = lambda reason, name: F.sum(F.when(F.col("reason") == reason, 1).otherwise(0)).alias(name)
+    n = points.groupBy("obj_id").agg(F.count("*").alias("input_points"))
+    k = retained.groupBy("obj_id").agg(F.count("*").alias("kept_points"), of("road_change", "road_changes"), of("speed_change", "speed_changes"), of("forced_last", "forced_last"))
+    return n.join(k, "obj_id", "left").fillna(0).withColumn("retention_ratio", F.col("kept_points") / F.col("input_points"))

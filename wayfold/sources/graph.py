@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import bounding_box
 
 
+def _line(wkt: Column) -> Column:
+    """array<struct<lat, lon>> of a LINESTRING in well-known text; null without one."""
+    pairs = F.split(F.trim(F.regexp_extract(wkt, r"LINESTRING\s*\(([^)]*)\)", 1)), r"\s*,\s*")
+    point = lambda p: F.struct(F.get(F.split(p, r"\s+"), 1).cast("double").alias("lat"), F.get(F.split(p, r"\s+"), 0).cast("double").alias("lon"))
+    return F.when(F.upper(wkt).startswith("LINESTRING"), F.transform(pairs, point))
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a GraphML file with data keys named y, x and osmid (or keys declared under such names)."""
     keys = spark.read.format("xml").option("rowTag", "key").load(path)
@@ -22,7 +29,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     nodes = nodes.select(F.col("_id").alias("node_id"), cell("y").cast("double").alias("lat"), cell("x").cast("double").alias("lon"))
     osmid = F.split(F.regexp_replace(cell("osmid"), r"[\[\]\s]", ""), ",")
-    edges = edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.coalesce("_id", F.lit("0")).alias("key"), osmid.alias("osmid"), F.lit(None).cast("array<struct<lat:double,lon:double>>").alias("geometry"))
+    edges = edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.coalesce("_id", F.lit("0")).alias("key"), osmid.alias("osmid"), _line(cell("geometry")).alias("geometry"))
     return nodes, edges
 
 

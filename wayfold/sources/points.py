@@ -89,14 +89,15 @@ def fleet_log(lines: DataFrame) -> DataFrame:
 
 
 def lenient(df: DataFrame) -> DataFrame:
-    """Points sorted by time, unparsable rows dropped; without a time column, a clock of 1 Hz from 2020-01-01."""
-    found = resolve_columns(df.columns)
+    """Points sorted by time within their file (obj_id: its stem), unparsable rows dropped; without a time column, a clock of 1 Hz from
+    2020-01-01."""
+    found, stem = resolve_columns(df.columns), F.coalesce(F.nullif(file_stem(), F.lit("")), F.lit("file"))
     lat, lon = (F.expr(f"try_cast(`{found[k]}` AS double)") for k in ("lat", "lon"))
-    rows = df.select(lat.alias("lat"), lon.alias("lon"), *([F.try_to_timestamp(F.col(found["ts"]).cast("string")).alias("ts")] if found["ts"] else []), F.monotonically_increasing_id().alias("_o")).dropna()
-    w = Window.orderBy("_o")
+    rows = df.select(stem.alias("obj_id"), lat.alias("lat"), lon.alias("lon"), *([F.try_to_timestamp(F.col(found["ts"]).cast("string")).alias("ts")] if found["ts"] else []), F.monotonically_increasing_id().alias("_o")).dropna()
+    w = Window.partitionBy("obj_id").orderBy("_o")
     if not found["ts"]:
         rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1577836800) + F.row_number().over(w) - 1))
-    return rows.select(F.lit("file").alias("obj_id"), (F.row_number().over(Window.orderBy("ts", "_o")) - 1).cast("long").alias("seq"), "lat", "lon", (F.unix_micros("ts") / 1e6).alias("t"), F.lit(None).cast("string").alias("road_id"))
+    return rows.select("obj_id", (F.row_number().over(Window.partitionBy("obj_id").orderBy("ts", "_o")) - 1).cast("long").alias("seq"), "lat", "lon", (F.unix_micros("ts") / 1e6).alias("t"), F.lit(None).cast("string").alias("road_id"))
 
 
 def check_file_id(name: str) -> str:

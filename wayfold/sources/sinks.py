@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +51,24 @@ def write_metrics_csv(rows: DataFrame, path: str) -> None:
 
 
 def evaluation_bundle(records: DataFrame, aggregate: DataFrame, run_config: dict) -> DataFrame:
-    """One JSON text: header, run configuration, records per object (obj_id, n_raw_points, pipeline, metric, value), aggregate."""
+    """part, value: one JSON text per row. A header with the schema's name and the run's configuration, one row per object
+    (obj_id, n_raw_points, pipelines with their metrics), and one per row of the aggregate."""
     per = clean(records).groupBy("obj_id", "n_raw_points", "pipeline").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
     per = per.groupBy("obj_id", "n_raw_points").agg(F.map_from_entries(F.collect_list(F.struct("pipeline", "m"))).alias("pipelines"))
-    files = per.agg(F.sort_array(F.collect_list(F.to_json(F.struct("obj_id", "n_raw_points", "pipelines")))).alias("per_file"))
-    agg = clean(aggregate).agg(F.sort_array(F.collect_list(F.to_json(F.struct("*")))).alias("aggregate"))
-    config = F.create_map(*[F.lit(str(x)) for kv in run_config.items() for x in kv]) if run_config else F.create_map().cast("map<string,string>")
-    return files.join(agg, F.lit(True)).select(F.to_json(F.struct(F.lit(BUNDLE_SCHEMA).alias("schema"), config.alias("run_config"), "per_file", "aggregate")).alias("value"))
+    head = records.sparkSession.createDataFrame([("header", json.dumps({"schema": BUNDLE_SCHEMA, "run_config": {str(k): str(v) for k, v in run_config.items()}}))], "part string, value string")
+    rows = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("value"))
+    return head.unionByName(rows(per, "per_file")).unionByName(rows(clean(aggregate), "aggregate"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
-    """Node and edge tables as Parquet; returns their counts."""
+    """Node and edge tables as Parquet, and a metadata record beside them: nodes, edges and bytes."""
     nodes.write.parquet(f"{path}/nodes")
     edges.write.parquet(f"{path}/edges")
-    return {"nodes": nodes.count(), "edges": edges.count()}
+    spark = nodes.sparkSession
+    size = sum(spark.read.format("binaryFile").load(f"{path}/{x}").agg(F.sum("length")).first()[0] or 0 for x in ("nodes", "edges"))
+    found = {"nodes": spark.read.parquet(f"{path}/nodes").count(), "edges": spark.read.parquet(f"{path}/edges").count(), "bytes": int(size)}
+    spark.createDataFrame([(json.dumps(found),)], "value string").write.text(f"{path}/metadata")
+    return found
 
 
 def read_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
