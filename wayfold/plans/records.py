@@ -134,9 +134,9 @@ def x7_tuning_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roads(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A made grid of roads over the points' box: nodes every 0.0005 degrees, edges both ways to the next one north and east."""
+    """A made grid of roads over the points' box: nodes every 0.001 degrees, edges both ways to the next one north and east."""
     box = points.agg(*geo.bounding_box(F.col("lat"), F.col("lon"), 0.001)).first()
-    step = 0.0005
+    step = 0.001
     ny, nx = (int((box[a] - box[b]) / step) + 1 for a, b in (("north", "south"), ("east", "west")))
     at = spark.range(ny * nx).select(F.floor(F.col("id") / nx).alias("y"), (F.col("id") % nx).alias("x"))
     name = lambda y, x: F.concat_ws("_", y, x)
