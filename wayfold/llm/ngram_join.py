@@ -460,6 +460,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     named = named.mapInArrow(_keyed, "key binary, unit binary, chunk long, th long, n long, x long, unit8 long")
     named = materialize(named, "join-named")
     groups = met.join(named.select("x", "n"), "x").groupBy("unit", "chunk").agg(_parts_of(F.count("*"), F.sum("n"), CHUNK_QUERIES).alias("salts"))
+    groups = materialize(groups, "join-salts")
+    groups = sized_broadcast(groups, groups.count(), 24)  # else a unit that many meet would be one key of a join
     asked = met.join(groups, ["unit", "chunk"]).select("x", F.xxhash64("unit", "chunk", F.pmod(F.xxhash64("x"), "salts")).alias("group"))
     asked = asked.join(named.select("x", "th"), "x").select("th", "group", F.lit(False).alias("member"))
     inside = named.join(groups.withColumnRenamed("unit", "unit8"), ["unit8", "chunk"])
