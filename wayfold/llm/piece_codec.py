@@ -208,6 +208,10 @@ class PieceCodec:
             text.append(got[1])
         return ",".join(ids), "".join(text)
 
+    def forget(self) -> None:
+        """Empty the tables of remembered encodings: a worker outlives its task, and the next one may be of another stage."""
+        self._words.clear(), self._parts.clear(), self._fits.clear()
+
     def digest(self, text: str) -> tuple[str, str]:
         """Comma-joined ids and decoded text."""
         if not text:
@@ -258,5 +262,6 @@ def encode_documents(docs: DataFrame, path: str, keep: str = "doc_id", with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        own.forget()
 
     return docs.select(docs[keep], text_of(docs).alias("text")).mapInArrow(trimmed(run), schema)
