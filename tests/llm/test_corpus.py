@@ -125,25 +125,48 @@ def test_url_filter(spark):
 
 
 def test_url_model_equals_brute_force(spark):
-    train = [("good.com/a", 1), ("good.com/b1", 1), ("bad.net/es", 0)]
-    counts = spark.createDataFrame(train, "u string, yes int").select("yes", F.explode(url_filter.grams(F.col("u"))).alias("gram")).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum(1 - F.col("yes")).alias("no"))
-    got = np.array(url_filter.log_ratios(counts).first().ratios)
-    sym = {c: i for i, c in enumerate(url_filter.SYMBOLS)}
+    """Every url's score against a plain model; repeats, real characters, null ids, long urls and extra columns with clashing names."""
+    import xxhash
+
+    urls = [f"http://good{k % 9}.com/A_{k}/é=%20{k}.html" for k in range(60)] + [f"http://bad{k % 7}.net/es/{k}-z" for k in range(60)]
+    urls += ["http://x.org/" + "ab1" * 700, "http://x.org/" + "/a." * 500, "http://..//", "http://good1.org/A_3", "http://bad1.org/es/3-z", "http://\U0001F600.org/"] * 2
+    rows = spark.createDataFrame([(k if k % 5 else None, u, 1, 2, 3) for k, u in enumerate(urls)], "page_id long, url string, u int, row int, score int")
     seen = collections.Counter()
-    for u, y in train:
-        s = "^^^" + re.sub("[0-9]", "0", u) + "^"
-        for i in range(len(s) - 3):
-            for k in range(1, 5):
-                seen[y, s[i + 4 - k : i + 4]] += 1
-                seen[y, s[i + 4 - k : i + 3], "ctx", k] += 1
-    def p(y, g):
-        v = 1 / len(sym)
-        for k in range(1, 5):
-            v = (seen[y, g[4 - k :]] + url_filter.BETA * v) / (seen[y, g[4 - k : 3], "ctx", k] + url_filter.BETA)
+
+    def grams(u):
+        for piece in re.findall(r"[^/.]*[/.]|[^/.]+", u):
+            t = url_filter.START + piece
+            for j in range(1, len(t)):
+                yield t[max(0, j - url_filter.CONTEXT) : j + 1]
+
+    texts = [re.match(r"([^/?#]*)([^?#]*)", u[7:])[0] for u in urls]
+    for u in texts:
+        signed = xxhash.xxh64_intdigest(u.encode(), seed=42)
+        signed -= (1 << 64) * (signed >> 63)
+        host = u.split("/")[0]
+        if signed % url_filter.FOLDS == 0 or not (host.endswith(".com") or host.endswith(".net")):
+            continue
+        for g in grams(u):
+            for k in range(len(g)):
+                seen[host[-3:], g[-k - 1 :]] += 1
+                seen[host[-3:], "before", k, g[len(g) - k - 1 : -1]] += 1
+
+    def p(side, g):
+        v = 1 / url_filter.SYMBOLS
+        for k in range(len(g)):
+            v = (seen[side, g[-k - 1 :]] + url_filter.BETA * v) / (seen[side, "before", k, g[len(g) - k - 1 : -1]] + url_filter.BETA)
         return v
-    for g in ["^^^g", "good", "d.co", "zzzz", ".net", "om/a", "b0^^"]:
-        code = sum(sym[c] << (5 * (3 - i)) for i, c in enumerate(g))
-        assert got[code] == pytest.approx(np.log(p(1, g)) - np.log(p(0, g)))
+
+    want = collections.defaultdict(list)
+    for u in texts:
+        found = [np.log(p("com", g)) - np.log(p("net", g)) for g in grams(u)]
+        want[u].append(np.mean(found) if found else 0.0)
+    got = url_filter.judge(rows).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        if not any(ord(c) > 0xFFFF for c in r.host):
+            assert r.score == pytest.approx(want[r.host + r.path][0], abs=1e-7)
+    assert len({(r.host, r.score) for r in got if ord(r.host[:1] or "a") > 0xFFFF}) == 1
 
 
 def plain_base(text):

@@ -1,14 +1,18 @@
 """URL filters: host and path rules, then a character language-model ratio. DataFrame operations only.
 
 Rules decide the urls they fit, and those urls are the training rows of two variable-order Markov models over host and path:
-accepted and rejected. A model backs off from three characters of context to none; each order is smoothed with
-the next shorter one, P(c | h) = (n(hc) + BETA * P(c | shorter h)) / (n(h) + BETA), and the shortest with the uniform
-distribution. The score of a url is the mean over its characters of log P_accepted - log P_rejected. The
+accepted and rejected. Characters are kept as they are. A url is cut after each ``/`` and ``.`` into pieces, a context is up to ``CONTEXT`` characters
+back to the start of the piece, and each order is smoothed with the next shorter one,
+P(c | h) = (n(hc) + BETA * P(c | shorter h)) / (n(h) + BETA), and the shortest with the uniform distribution over ``SYMBOLS``
+characters. The score of a url is the mean over its characters of log P_accepted - log P_rejected. The
 threshold is calibrated on a fifth of the ruled urls that the counts leave out: the score at which the
 rates of right decisions of both classes are largest together.
 
-The alphabet has 32 symbols, so the whole model is one array of 32**4 log ratios (4 MB at any input size): counts are
-summed before they are shuffled, and every url is scored in its own row, without a join or a shuffle.
+The model is a table that grows with the urls: one row for each gram, of every order, that stands in any url. Counts are summed
+per distinct piece, then per gram, before they are shuffled. A gram joins its shorter one, and a shorter one meets at most one
+gram per character of the alphabet, so no key is hot. Each distinct piece is scored once. A url joins its pieces' scores: those
+that make up more than a thousandth of all pieces (at most 1,000 of them) are broadcast, the rest are joined by shuffle or,
+below ``BROADCAST_BYTES``, broadcast.
 
 Defined results: a null url and one without ``://`` have empty host and path, which no rule fits and whose score is 0; without
 ruled urls of both classes the models decide nothing and the verdict is allow; repeated rows are judged alike and each
@@ -20,15 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize
+from wayfold.llm.common import materialize, sized_broadcast
 
 #: (verdict, rule): a host, then a path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SYMBOLS = "^" + LOWER + "0./-~"
-BETA, ORDER, BITS = 4.0, 4, 5
+BETA, CONTEXT, SYMBOLS = 4.0, 5, 256
 FOLDS = 5
-_ALL = 1 << (ORDER * BITS)
+HOT = 1000  # a piece is hot above this fraction of all pieces, so there are fewer hot pieces than this
+START = "\x02"
+_FIXED = 1e9  # scores are summed as integers of this fraction, so that sums do not depend on their order
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -50,37 +55,66 @@ def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def grams(text: Column) -> Column:
-    """Codes of the 4-grams that end at each character of the text and at its end: array<int>."""
-    plain = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), "[0-9]", "0"), r"[^a-z0./\-]", "~")
-    codes = F.transform(F.filter(F.split(F.concat(F.lit("^^^"), plain, F.lit("^")), ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    return F.transform(F.sequence(F.lit(1), F.size(codes) - 3), lambda i: sum((F.shiftleft(F.element_at(codes, i + k), BITS * (3 - k)) for k in range(1, 4)), F.shiftleft(F.element_at(codes, i), BITS * 3)))
+def pieces(text: Column) -> Column:
+    """The text cut after each slash and dot: array<string>."""
+    return F.regexp_extract_all(text, F.lit(r"[^/.]*[/.]|[^/.]+"), 0)
+
+
+def grams(piece: Column) -> Column:
+    """Each character of a piece after its context, the start mark included: array<string>."""
+    chars = F.concat(F.array(F.lit(START)), F.filter(F.split(piece, ""), lambda c: c != ""))
+
+    def ending(j: Column) -> Column:
+        first = F.greatest(j - CONTEXT, F.lit(1))
+        return F.array_join(F.slice(chars, first, j - first + 1), "")
+
+    return F.transform(F.sequence(F.lit(2), F.size(chars)), ending)
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """gram, yes, no -> one row with the array of all log ratios."""
-    full = counts.sparkSession.range(_ALL).select(F.col("id").cast("int").alias("gram"))
-    whole, p = counts, {"yes": F.lit(1.0 / len(SYMBOLS)), "no": F.lit(1.0 / len(SYMBOLS))}
-    for k in range(ORDER):
-        mask = (1 << ((k + 1) * BITS)) - 1
-        key = F.col("gram").bitwiseAND(mask)
-        seen = whole.groupBy(key.alias("g")).agg(F.sum("yes").alias(f"yes{k}"), F.sum("no").alias(f"no{k}"))
-        context = whole.groupBy(F.shiftright(key, BITS).alias("h")).agg(F.sum("yes").alias(f"hyes{k}"), F.sum("no").alias(f"hno{k}"))
-        full = full.join(seen, key == F.col("g"), "left").drop("g").join(context, F.shiftright(key, BITS) == F.col("h"), "left").drop("h")
-        p = {c: (F.coalesce(F.col(f"{c}{k}"), F.lit(0)) + BETA * p[c]) / (F.coalesce(F.col(f"h{c}{k}"), F.lit(0)) + BETA) for c in p}
-    ratios = full.select("gram", (F.log(p["yes"]) - F.log(p["no"])).alias("r"))
-    rows = ratios.groupBy(F.shiftright("gram", 2 * BITS).alias("top")).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "r"))), lambda x: x["r"].cast("float")).alias("part"))
-    return rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("top", "part"))), lambda x: x["part"])).alias("ratios"))
-
-
-def with_score(rows: DataFrame, text: str, model: DataFrame) -> DataFrame:
-    """``rows`` and the length-normalised log-likelihood difference of column ``text`` as score; 0 for an empty text.
-
-    The model is one value (a scalar subquery), looked up by position for each character.
+    """gram, yes, no -> gram and r, its log ratio as an integer of 1e-9."""
+    length = F.length("gram")
+    lower = None
+    found = []
+    for k in range(CONTEXT + 1):
+        seen = counts.where(length > k).groupBy(F.substring("gram", -(k + 1), k + 1).alias("gram")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        context = F.substring("gram", 1, k)
+        sums = seen.groupBy(context.alias("h")).agg(F.sum("yes").alias("hyes"), F.sum("no").alias("hno"))
+        rows = seen.withColumn("h", context).join(sums, "h").drop("h")
+        if lower is None:
+            rows = rows.withColumns({"pyes": F.lit(1.0 / SYMBOLS), "pno": F.lit(1.0 / SYMBOLS)})
+        else:
+            rows = rows.join(lower.withColumnRenamed("gram", "rest"), F.substring("gram", 2, k) == F.col("rest")).drop("rest")
+        p = {c: (F.col(c) + BETA * F.col(f"p{c}")) / (F.col(f"h{c}") + BETA) for c in ("yes", "no")}
+        lower = materialize(rows.select("gram", p["yes"].alias("pyes"), p["no"].alias("pno")), f"url-order{k}")
+        whole = lower if k == CONTEXT else lower.where(F.col("gram").startswith(START))
+        found.append(whole.select("gram", F.round((F.log("pyes") - F.log("pno")) * _FIXED).cast("long").alias("r")))
+    model = found[0]
+    for more in found[1:]:
+        model = model.unionByName(more)
+    return model
+
+
+def with_score(rows: DataFrame, counted: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` (with unique ``row`` and text ``u``) and the length-normalised log-likelihood difference as score; 0 for an empty text.
+
+    ``counted`` holds every distinct piece of ``rows`` and how often it stands there (``n``).
     """
-    held = rows.select("*", model.scalar().alias("_ratios"), grams(F.col(text)).alias("_codes"))
-    total = F.aggregate("_codes", F.lit(0.0), lambda acc, g: acc + F.element_at(F.col("_ratios"), g + 1))
-    return held.select(*rows.columns, F.when(F.length(text) > 0, total / F.size("_codes")).otherwise(0.0).alias("score"))
+    model = materialize(model, "url-model")
+    text_grams = counted.select("piece", F.explode(grams(F.col("piece"))).alias("gram"))
+    by_piece = text_grams.join(sized_broadcast(model, model.count(), 64), "gram").groupBy("piece").agg(F.sum("r").alias("r"), F.count("*").alias("chars"))
+    sized = counted.groupBy().agg(F.sum("n").alias("all"))
+    scores = materialize(by_piece.join(counted.select("piece", "n"), "piece").withColumn("hot", F.col("n") * HOT > materialize(sized, "url-sum").scalar()).drop("n"), "url-scores")
+    hot = scores.where("hot").select("piece", F.col("r").alias("hot_r"), F.col("chars").alias("hot_chars"))
+    cold = scores.where("NOT hot").select(F.col("piece").alias("key"), "r", "chars")
+    size = cold.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0))).first()
+    parts = rows.select("row", F.explode(pieces(F.col("u"))).alias("piece")).join(F.broadcast(hot), "piece", "left")
+    # pieces that the hot ones settle get keys of their own, so that they spread
+    key = F.when(F.col("hot_r").isNull(), F.col("piece")).otherwise(F.concat(F.lit(START), F.col("row").cast("string")))
+    parts = parts.withColumn("key", key).join(sized_broadcast(cold, 1, size[1]), "key", "left")
+    sums = parts.groupBy("row").agg(F.sum(F.coalesce("hot_r", "r")).alias("r"), F.sum(F.coalesce("hot_chars", "chars")).alias("chars"))
+    mean = F.col("r") / F.col("chars") / _FIXED
+    return rows.join(sums, "row", "left").select(*rows.columns, F.coalesce(mean, F.lit(0.0)).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -89,13 +123,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     split = pages.select(pages["page_id"], host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     ruled = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("u"))
+    ruled = materialize(ruled.withColumn("row", F.monotonically_increasing_id()), "url-rows")
     left_out = F.pmod(F.xxhash64("u"), F.lit(FOLDS)) == 0
-    known = ruled.where("rule IS NOT NULL")
     yes = F.when(F.col("ruled") == "allow", 1).otherwise(0)
-    counts = known.where(~left_out).select(yes.alias("yes"), F.explode(grams(F.col("u"))).alias("gram"))
-    counts = materialize(counts.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum(1 - F.col("yes")).alias("no")), "url-counts")
-    model = materialize(log_ratios(counts), "url-model")
-    scored = with_score(ruled, "u", model)
+    counts = F.when(F.col("rule").isNotNull() & ~left_out, 1).otherwise(0)
+    every = ruled.select((counts * yes).alias("yes"), (counts * (1 - yes)).alias("no"), F.explode(pieces(F.col("u"))).alias("piece"))
+    counted = materialize(every.groupBy("piece").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.count("*").alias("n")), "url-pieces")
+    seen = counted.select("yes", "no", F.explode(grams(F.col("piece"))).alias("gram")).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    model = log_ratios(materialize(seen, "url-counts"))
+    scored = materialize(with_score(ruled, counted, model), "url-scored")
     # calibration: classes by score in 401 bins
     calibration = scored.where(left_out & F.col("rule").isNotNull()).select(yes.alias("yes"), F.round(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("score"))) * 50).cast("int").alias("bin"))
     bins = calibration.groupBy("bin").agg(F.sum("yes").alias("y"), F.sum(1 - F.col("yes")).alias("n"))
