@@ -1,11 +1,11 @@
 """Information-theoretic removal of personal data. DataFrame operations only.
 
-Emails, addresses, cards and phone numbers are found by pattern and are the protected entities. Then co-occurrence over the
-corpus says what else reveals them: for a term t in a document with an entity e, the pointwise mutual information
+Emails, addresses, cards, phone numbers and credentials (keys, tokens and passwords behind their label, or of a published form) are
+found by pattern and are the protected entities. Then co-occurrence over the corpus says what else reveals them: for a term t in a document with an entity e, the pointwise mutual information
 log(p(t, e) / (p(t) p(e))) against the information content of the entity, -log p(e), is the share of the entity that the term
 discloses. Terms that disclose at least ``GENERALISE`` of any entity become their class (a number, a name, a word);
 from ``REMOVE`` on they go, in every row that holds them. Both sides of the co-occurrence are counted over whole documents,
-their entities left out. All pairs are scored, however rare: p(e | t) is (n(t, e) + SMOOTH p(e)) / (n(t) + SMOOTH), so a few
+their entities left out. The digest of base spans covers the first four kinds only. All pairs are scored, however rare: p(e | t) is (n(t, e) + SMOOTH p(e)) / (n(t) + SMOOTH), so a few
 documents count for less than many, and a name in the only document of an entity still discloses it.
 
 Places come from cutting a text at a pattern: the lengths of gaps and matches add up to code point offsets. Patterns are written so that
@@ -28,14 +28,25 @@ from wayfold.llm.common import materialize, sized_broadcast, text_of
 
 #: In the order in which equal starts are listed. The patterns equal the plain ones in meaning: possessive groups where
 #: nothing follows that could need the characters back, and a run is entered at its start or after a match.
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+SECRET_KIND, TERM_KIND = 4, 5
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: Words before a credential, and the published forms of some that need no word before them.
+LABELLED = r"(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?token|access[_-]?token|token|secret|passwd|password|pwd|bearer)"
+FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+"
+#: Of a labelled credential at least eight characters, a letter and a digit among them.
+SECRET = (
+    r"(?<![A-Za-z0-9_+/.-])(?:(?<=" + LABELLED + r"[\x22\x27]?[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\x22\x27]?)"
+    r"(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{8,}+|(?:" + FORMS + r")(?![A-Za-z0-9]))"
+)
+#: What every text with a credential has.
+HINT = LABELLED + r"[\x22\x27]?[\x20\x09]{0,3}[:=]|AKIA[0-9A-Z]|gh[pousr]_|xox[abprs]-|sk-[A-Za-z0-9]|eyJ"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"[\p{L}\p{N}]{2,}+"
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 #: Documents that count as seen before any, and the shares from which terms are generalised and removed.
 SMOOTH, GENERALISE, REMOVE = 0.5, 0.9, 0.97
@@ -90,15 +101,22 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(email, ip, card, phone))
 
 
+def entity_spans(text: Column) -> Column:
+    """Spans of all protected entities by start, then kind: the base kinds and credentials."""
+    secrets = F.when(F.rlike(text, F.lit(HINT)), _places(text, F.lit(SECRET), SECRET_KIND)).otherwise(F.array().cast(_SPAN))
+    return F.sort_array(F.concat(base_spans(text), secrets))
+
+
 def _entity(span: Column) -> Column:
     """One name for an entity however it is written."""
-    return F.concat(F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1), F.lit(":"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
+    plain = F.when(span["kind"] == SECRET_KIND, span["value"]).when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"]))
+    return F.concat(F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1), F.lit(":"), plain)
 
 
 def _masked() -> Column:
     """The text with spaces for its entities: what is left to disclose them, at the same places."""
     done = F.aggregate(
-        "base",
+        "entities",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
             F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"]))).alias("out"),
@@ -106,7 +124,7 @@ def _masked() -> Column:
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    return F.when(F.size("base") > 0, done).otherwise(F.col("text"))
+    return F.when(F.size("entities") > 0, done).otherwise(F.col("text"))
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -116,7 +134,7 @@ def _words(rows: DataFrame) -> DataFrame:
 
 def _classes(found: DataFrame) -> DataFrame:
     """row, classes: the entities of each row, those that occur in the same rows as one, with their number of rows n."""
-    entities = found.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = found.select("row", F.explode(F.array_distinct(F.transform("entities", _entity))).alias("entity"))
     shared = entities.groupBy("entity").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mix")).where("n > 1")
     shared = materialize(shared.select("entity", F.struct("n", "first", "last", "mix").alias("class")), "pii-shared")
     alone = F.struct(F.lit(1).cast("long").alias("n"), F.col("row").alias("first"), F.col("row").alias("last"), F.xxhash64("row").alias("mix"))
@@ -139,9 +157,9 @@ def most_documents(total: int, entity: Column) -> Column:
 
 
 def disclosures(rows: DataFrame) -> DataFrame:
-    """term, share: the most that a term discloses of an entity, from ``GENERALISE`` on. ``rows``: row, base, text."""
+    """term, share: the most that a term discloses of an entity, from ``GENERALISE`` on. ``rows``: row, entities, text."""
     total = max(rows.select("row").count(), 1)
-    found = materialize(rows.where(F.size("base") > 0).select("row", "base", "text"), "pii-found")
+    found = materialize(rows.where(F.size("entities") > 0).select("row", "entities", "text"), "pii-found")
     classes = materialize(_classes(found), "pii-classes")
     top = classes.agg(F.max(F.array_max(F.transform("classes", lambda c: c["n"])))).first()[0] or 1
     counted = _words(rows).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= most_documents(total, F.lit(top)))
@@ -154,18 +172,18 @@ def disclosures(rows: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, base and terms (spans by start), shares, text where there are any spans."""
+    """One row per row of ``docs``: doc_id, entities and terms (spans by start), shares, text where there are any spans."""
     text = text_of(docs)
-    based = docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), base_spans(text).alias("base"), text.alias("text"))
+    based = docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), entity_spans(text).alias("entities"), text.alias("text"))
     shares = materialize(disclosures(based), "pii-shares")
     hits = _words(based).join(sized_broadcast(shares, shares.count() * 2), "term").groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
     hits = materialize(hits, "pii-hits")
     n_hits = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
     marked = based.join(sized_broadcast(hits, n_hits * 2), "row", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("hits", lambda h: h["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    places = F.when(F.col("hits").isNotNull(), _places(_masked(), pattern, 4)).otherwise(F.array().cast(_SPAN))
-    some = F.when((F.size("base") > 0) | F.col("hits").isNotNull(), F.col("text"))
-    return marked.select("doc_id", "base", places.alias("terms"), F.map_from_entries("hits").alias("shares"), some.alias("text"))
+    places = F.when(F.col("hits").isNotNull(), _places(_masked(), pattern, TERM_KIND)).otherwise(F.array().cast(_SPAN))
+    some = F.when((F.size("entities") > 0) | F.col("hits").isNotNull(), F.col("text"))
+    return marked.select("doc_id", "entities", places.alias("terms"), F.map_from_entries("hits").alias("shares"), some.alias("text"))
 
 
 def listing(spans: Column) -> Column:
@@ -177,16 +195,16 @@ def listing(spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, clean: texts with entities as labels, disclosing terms generalised or removed. Rows without either give null."""
     found = find(docs)
-    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]])
+    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:TERM_KIND]])
 
     def put(s: Column) -> Column:
         general = F.when(F.rlike(s["value"], F.lit("^[0-9]+$")), "[NUMBER]").when(F.rlike(s["value"], F.lit(r"^\p{Lu}")), "[NAME]").otherwise("[WORD]")
         term = F.when(F.element_at("shares", s["value"]) >= REMOVE, "").otherwise(general)
-        return F.when(s["kind"] == 4, term).otherwise(F.element_at(labels, F.least(s["kind"] + 1, F.lit(4))))
+        return F.when(s["kind"] == TERM_KIND, term).otherwise(F.element_at(labels, F.least(s["kind"] + 1, F.lit(TERM_KIND))))
 
     # of spans that meet, the first stays
     done = F.aggregate(
-        F.sort_array(F.concat("base", "terms")),
+        F.sort_array(F.concat("entities", "terms")),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
@@ -198,8 +216,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; then n_base and n_terms, spans of the four kinds and of terms."""
-    kinds = F.transform("base", lambda s: s["kind"])
-    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    more = [F.size(c).cast("long").alias(n) for c, n in (("base", "n_base"), ("terms", "n_terms"))]
-    return find(docs).select("doc_id", *counts, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.sort_array(F.concat("base", "terms"))).alias("spans"), *more)
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; then n_base (the four kinds), n_secret, n_private (both) and n_terms."""
+    of = find(docs).withColumn("base", F.filter("entities", lambda s: s["kind"] < SECRET_KIND))
+    kinds = F.transform("entities", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(5)]
+    n_base, n_private, n_terms = [F.size(c).cast("long").alias(n) for c, n in (("base", "n_base"), ("entities", "n_private"), ("terms", "n_terms"))]
+    spans = listing(F.sort_array(F.concat("entities", "terms"))).alias("spans")
+    return of.select("doc_id", *counts[:4], F.sha2(listing(F.col("base")), 256).alias("base_sha256"), spans, n_base, counts[4], n_private, n_terms)
