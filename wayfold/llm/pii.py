@@ -39,11 +39,11 @@ LABELLED = r"(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[
 FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+"
 #: Of a labelled credential at least eight characters, a letter and a digit among them.
 SECRET = (
-    r"(?<![A-Za-z0-9_+/.-])(?:(?<=" + LABELLED + r"[\x22\x27]?[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\x22\x27]?)"
+    r"(?<![A-Za-z0-9_+/.-])(?:(?<=[:=][\x20\x09]{0,3}[\x22\x27]?)(?<=" + LABELLED + r"[\x22\x27]?[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\x22\x27]?)"
     r"(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{8,}+|(?:" + FORMS + r")(?![A-Za-z0-9]))"
 )
-#: What every text with a credential has.
-HINT = LABELLED + r"[\x22\x27]?[\x20\x09]{0,3}[:=]|AKIA[0-9A-Z]|gh[pousr]_|xox[abprs]-|sk-[A-Za-z0-9]|eyJ"
+#: What every labelled credential has before it; the sign comes first, as a scan for one sign is quick.
+LABEL = r"[:=](?<=" + LABELLED + r"[\x22\x27]?[\x20\x09]{0,3}[:=])"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"[\p{L}\p{N}]{2,}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
@@ -103,7 +103,10 @@ def base_spans(text: Column) -> Column:
 
 def entity_spans(text: Column) -> Column:
     """Spans of all protected entities by start, then kind: the base kinds and credentials."""
-    secrets = F.when(F.rlike(text, F.lit(HINT)), _places(text, F.lit(SECRET), SECRET_KIND)).otherwise(F.array().cast(_SPAN))
+    form = F.contains(text, F.lit("_")) & F.rlike(text, F.lit("gh[pousr]_"))
+    for start in ("AKIA", "xox", "sk-", "eyJ"):
+        form = form | F.contains(text, F.lit(start))
+    secrets = F.when(F.rlike(text, F.lit(LABEL)) | form, _places(text, F.lit(SECRET), SECRET_KIND)).otherwise(F.array().cast(_SPAN))
     return F.sort_array(F.concat(base_spans(text), secrets))
 
 
