@@ -29,6 +29,8 @@ from wayfold.llm.common import text_of, trimmed
 MARK = "▁"
 #: Remembered words in one Python worker; the table is emptied when full.
 CACHE_WORDS = 200_000
+#: Rows whose texts, ids and digests a worker holds at a time; an Arrow batch may have ten times as many.
+SLICE_ROWS = 1_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -246,7 +248,7 @@ def encode_documents(docs: DataFrame, path: str, keep: str = "doc_id", with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             n_tokens, id_hash, text_hash, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids, decoded = own.digest(text)
