@@ -20,9 +20,11 @@ _paths: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset a session on one machine gets a local one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints/wayfold"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
