@@ -234,9 +234,9 @@ def compared(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFram
     def side(ball: str, own: str, n: str, other: str, m: str) -> DataFrame:
         rows = dealt.join(members.withColumnRenamed("ball", ball), ball)
         rows = rows.withColumn(own, F.pmod(F.xxhash64("rid"), F.col(n)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("a", "b", "ia", "ib", "rid", "embedding").groupBy("a", "b", "ia", "ib")
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select(*[F.col(c).alias(c) for c in ("a", "b", "ia", "ib", "rid", "embedding")]).groupBy("a", "b", "ia", "ib")
 
-    left, right = side("a", "ia", "ca", "ib", "cb"), side("b", "ib", "cb", "ia", "ca")
+    left, right = side("a", "ia", "ca", "ib", "cb"), side("b", "ib", "cb", "ia", "ca")  # both read the same tables, so columns are named anew
     return left.cogroup(right).applyInArrow(lambda x, y: _tile(x, y, threshold), "a long, b long, rid long, links long")
 
 
