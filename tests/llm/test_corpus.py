@@ -169,6 +169,16 @@ def test_url_model_equals_brute_force(spark):
     assert len({(r.host, r.score) for r in got if ord(r.host[:1] or "a") > 0xFFFF}) == 1
 
 
+def test_url_grams_of_long_pieces(spark):
+    for n in (1, 5, 6, url_filter.BLOCK - 1, url_filter.BLOCK, url_filter.BLOCK + 1, 3 * url_filter.BLOCK + 2, 200_000):
+        piece = "".join(chr(97 + (k * 7 + k // 3) % 26) if k % 11 else "é" for k in range(n))
+        text = url_filter.START + piece
+        got = spark.createDataFrame([(piece,)], "p string").select(url_filter.grams(F.col("p"))).first()[0]
+        assert got == [text[max(0, j - url_filter.CONTEXT) : j + 1] for j in range(1, n + 1)]
+    urls = ["http://x.org/" + "ab1" * 66_000, *[f"http://a{k}.com/x" for k in range(9)], *[f"http://b{k}.net/es/" for k in range(9)], None]
+    assert url_filter.judge(spark.createDataFrame([(k if k % 4 else None, u) for k, u in enumerate(urls)], "page_id long, url string")).count() == len(urls)
+
+
 def plain_base(text):
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     def luhn(d):

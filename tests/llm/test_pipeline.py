@@ -31,6 +31,27 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, D).select("doc_id").collect()) == sorted(r.doc_id for r in seen[5].collect())
 
 
+CLASHES = ["_id", "_th", "_sha", "_t", "_source", "_whole", "_bound", "_copy", "__ID", "__source", "row", "u", "th", "key", "n", "size", "copies", "score", "fp", "norm"]
+
+
+def test_clashing_names_and_empty_tables(spark):
+    """Every name that a stage uses inside, as an extra column; rows that repeat; nulls; a table without rows."""
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{D}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "none none none none none"), (None, None), (7001, ""), (7002, None), (7003, "a b"), (7003, "a  b"), (7003, "c d"), (7004, "c d")], "doc_id long, text string")
+    base = base.unionByName(odd, allowMissingColumns=True).unionByName(base.limit(3))
+    for docs in (base, base.where("false")):
+        plain, wide = docs, docs.withColumns({c: F.lit(c) for c in CLASHES})
+        for name, stage in corpus_pipeline.STAGES:
+            plain, wide = (materialize(stage(spark, x, D), f"clash-{name}") for x in (plain, wide))
+            if name != "encode":
+                assert wide.columns == [*docs.columns, *CLASHES]
+            # where two rows of one class are alike but for the text's spacing either may stay
+            assert sorted(map(str, (r.doc_id for r in plain.collect()))) == sorted(map(str, (r.doc_id for r in wide.collect()))), name
+            assert all(r[c] == c for r in wide.limit(5).collect() for c in CLASHES if c in wide.columns)
+
+
 def test_sql_equivalents(spark):
     from compare import main as compare
 

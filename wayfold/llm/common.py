@@ -67,16 +67,26 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes to clash with no column of ``docs``, letter case aside."""
+    taken, lead = {c.lower() for c in docs.columns}, "_"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """``docs`` left_semi or left_anti ``ids`` (a materialised table of one id column ``key``); nulls equal each other."""
-    named = ids.select(F.col(key).alias("_id"))
-    return docs.join(sized_broadcast(named, ids.count()), docs[key].eqNullSafe(F.col("_id")), how)
+    (own,) = fresh(docs, "id")
+    named = ids.select(F.col(key).alias(own))
+    return docs.join(sized_broadcast(named, ids.count()), docs[key].eqNullSafe(F.col(own)), how)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows that ``gone`` names by doc_id and th (xxhash64 of the text); null ids equal each other."""
-    named = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "gone")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(docs)) == F.col("_th"))
+    own, th = fresh(docs, "id", "th")
+    named = materialize(gone.select(F.col("doc_id").alias(own), F.col("th").alias(th)).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(text_of(docs)) == F.col(th))
     return docs.join(sized_broadcast(named, named.count()), same, "left_anti")
 
 

@@ -4,7 +4,7 @@
    ``SUBSPACES`` parts of the residuals, and the probe margin; every row goes to its nearest list.
 2. Rows of a list that lie within a quarter of the threshold's angle of a leader form a ball: they link with each other by the triangle
    inequality, so a group of copies becomes one ball and its pairs are never formed. A list is worked on in chunks of ``CHUNK`` rows;
-   balls of crowded lists merge again while that helps.
+   balls of lists with more than ``RESIDENTS`` merge again while that helps.
 3. Leaders visit, as codes, each list whose centroid is nearly as near as their own. There the residents' table lookups
    estimate the cosine; the code's stored error bounds it from above, so no pair of a probed list is lost.
 4. Exact angles of leaders decide pairs of balls: all rows link, none, or the rows are compared in tiles, which give counts.
@@ -32,7 +32,7 @@ from wayfold.llm.components import components
 THRESHOLD = 0.9
 SAMPLE_ROWS, MAX_LISTS, ROUNDS, SEED = 32_768, 4_096, 12, 11
 SUBSPACES, WORDS, COVERAGE = 16, 256, 0.998
-CHUNK, RESIDENTS, VISITORS = 1_024, 2_048, 8_192
+CHUNK, RESIDENTS, VISITORS = 256, 2_048, 8_192
 #: Radians allowed for rounding where angles decide without comparing vectors.
 SLACK = 1e-6
 
@@ -144,7 +144,7 @@ def balls(rows: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
     merged = materialize(_merged(rows, rows.groupBy("list").agg(F.count("*").alias("rows")), limit / 2, 0), "pq-balls")
     members, tops, level = merged.select(F.col("ball").alias("rid"), F.col("parent").alias("ball")), _leaders(merged), 0
     while True:
-        counts = tops.groupBy("list").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)
+        counts = tops.groupBy("list").agg(F.count("*").alias("rows")).where(F.col("rows") > RESIDENTS)
         before = counts.agg(F.sum("rows")).first()[0] or 0
         if not before:
             return members, tops

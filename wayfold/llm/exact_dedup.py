@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WS, materialize, sized_broadcast, text_of, with_ids
+from wayfold.llm.common import WS, fresh, materialize, sized_broadcast, text_of, with_ids
 from wayfold.llm.quotient_filter import CountingQuotientFilter
 
 #: Fingerprints packed into one filter before it is emitted: bounds a task's memory, loses nothing.
@@ -133,7 +133,8 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
         return kept
     # an id that both stays and goes is an id on several rows: those few rows are settled by their text
     rows = with_ids(docs, twice, "left_semi")
-    sha = F.sha2(normalised(text_of(rows)), 256)
-    stay = also.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_t"))
-    chosen = rows.withColumn("_sha", sha).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return with_ids(kept, twice, "left_anti").unionByName(chosen.drop("_sha").select(docs.columns))
+    own, hashed, sha = fresh(docs, "id", "t", "sha")
+    stay = also.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(hashed))
+    rows = rows.withColumn(sha, F.sha2(normalised(text_of(rows)), 256))
+    chosen = rows.join(stay, rows["doc_id"].eqNullSafe(F.col(own)) & (F.col(sha) == F.col(hashed)), "left_semi").dropDuplicates(["doc_id", sha])
+    return with_ids(kept, twice, "left_anti").unionByName(chosen.drop(sha))

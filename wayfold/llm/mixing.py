@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, sized_broadcast, text_of
+from wayfold.llm.common import fresh, materialize, sized_broadcast, text_of
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -106,10 +106,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame) -> DataFrame:
     """The mix: each row of ``docs`` as often as it is taken. Copies share their doc_id and text; texts do not shuffle."""
-    plan = source_plan(docs)[1].select(F.col("_source"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"))
-    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("_source")))
-    copies = F.least(F.lit(MAX_REPEATS), F.col("_whole") + F.when(_hashed(docs) < F.col("_bound"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    source, whole, bound, copy = fresh(docs, "source", "whole", "bound", "copy")
+    plan = source_plan(docs)[1].select(F.col("_source").alias(source), F.col("whole").alias(whole), F.col("bound").alias(bound))
+    joined = docs.join(plan, docs["source"].eqNullSafe(F.col(source)))
+    copies = F.least(F.lit(MAX_REPEATS), F.col(whole) + F.when(_hashed(docs) < F.col(bound), 1).otherwise(0)).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).drop(source, whole, bound, copy)
 
 
 ORACLE_SQL = r"""

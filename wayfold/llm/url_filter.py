@@ -31,6 +31,7 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETA, CONTEXT, SYMBOLS = 4.0, 5, 256
 FOLDS = 5
+BLOCK = 256  # characters of a run
 HOT = 1000  # a piece is hot above this fraction of all pieces, so there are fewer hot pieces than this
 START = "\x02"
 _FIXED = 1e9  # scores are summed as integers of this fraction, so that sums do not depend on their order
@@ -62,13 +63,20 @@ def pieces(text: Column) -> Column:
 
 def grams(piece: Column) -> Column:
     """Each character of a piece after its context, the start mark included: array<string>."""
-    chars = F.concat(F.array(F.lit(START)), F.filter(F.split(piece, ""), lambda c: c != ""))
+    text = F.concat(F.lit(START), piece)
 
-    def ending(j: Column) -> Column:
+    def block(b: Column) -> Column:
+        at = b * BLOCK + 2  # the first character of the block in the marked piece, counted from 1
+        first = F.greatest(at - CONTEXT, F.lit(1))
+        return F.struct((at - first + 1).alias("at"), F.substr(text, first, at + BLOCK - first).alias("run"))
+
+    def ending(run: Column, j: Column) -> Column:
         first = F.greatest(j - CONTEXT, F.lit(1))
-        return F.array_join(F.slice(chars, first, j - first + 1), "")
+        return F.substr(run, first, j - first + 1)
 
-    return F.transform(F.sequence(F.lit(2), F.size(chars)), ending)
+    # a long piece is cut into runs first: within a run a character is near the start, so the work grows with the piece's length
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(piece) - 1) / BLOCK).cast("int")), block)
+    return F.flatten(F.transform(blocks, lambda x: F.transform(F.sequence(x["at"], F.length(x["run"])), lambda j: ending(x["run"], j))))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
@@ -98,13 +106,14 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 def with_score(rows: DataFrame, counted: DataFrame, model: DataFrame) -> DataFrame:
     """``rows`` (with unique ``row`` and text ``u``) and the length-normalised log-likelihood difference as score; 0 for an empty text.
 
-    ``counted`` holds every distinct piece of ``rows`` and how often it stands there (``n``).
+    ``counted`` holds every distinct piece of ``rows``, its number ``id`` and how often it stands there (``n``). Grams carry the number, as
+    a long piece would be copied for each of them.
     """
     model = materialize(model, "url-model")
-    text_grams = counted.select("piece", F.explode(grams(F.col("piece"))).alias("gram"))
-    by_piece = text_grams.join(sized_broadcast(model, model.count(), 64), "gram").groupBy("piece").agg(F.sum("r").alias("r"), F.count("*").alias("chars"))
+    text_grams = counted.select("id", F.explode(grams(F.col("piece"))).alias("gram"))
+    by_piece = text_grams.join(sized_broadcast(model, model.count(), 64), "gram").groupBy("id").agg(F.sum("r").alias("r"), F.count("*").alias("chars"))
     sized = counted.groupBy().agg(F.sum("n").alias("all"))
-    scores = materialize(by_piece.join(counted.select("piece", "n"), "piece").withColumn("hot", F.col("n") * HOT > materialize(sized, "url-sum").scalar()).drop("n"), "url-scores")
+    scores = materialize(by_piece.join(counted.select("id", "piece", "n"), "id").withColumn("hot", F.col("n") * HOT > materialize(sized, "url-sum").scalar()).drop("n", "id"), "url-scores")
     hot = scores.where("hot").select("piece", F.col("r").alias("hot_r"), F.col("chars").alias("hot_chars"))
     cold = scores.where("NOT hot").select(F.col("piece").alias("key"), "r", "chars")
     size = cold.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0))).first()
@@ -128,7 +137,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     yes = F.when(F.col("ruled") == "allow", 1).otherwise(0)
     counts = F.when(F.col("rule").isNotNull() & ~left_out, 1).otherwise(0)
     every = ruled.select((counts * yes).alias("yes"), (counts * (1 - yes)).alias("no"), F.explode(pieces(F.col("u"))).alias("piece"))
-    counted = materialize(every.groupBy("piece").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.count("*").alias("n")), "url-pieces")
+    counted = materialize(every.groupBy("piece").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "url-pieces")
     seen = counted.select("yes", "no", F.explode(grams(F.col("piece"))).alias("gram")).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     model = log_ratios(materialize(seen, "url-counts"))
     scored = materialize(with_score(ruled, counted, model), "url-scored")
