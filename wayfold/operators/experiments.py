@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +41,17 @@ def epsilon_sweep(points: DataFrame, grid) -> DataFrame:
 
 
 def select_epsilon(sweep: DataFrame, baseline_p95: float | None = None) -> DataFrame:
-    """The largest ratio among those whose p95 does not pass the baseline's, ties by p95, then mean; without any, among all."""
+    """The largest ratio among those whose p95 does not pass the baseline's, ties by p95, then mean, then epsilon; without any, among all."""
     ok = F.lit(True) if baseline_p95 is None else F.col("p95_sed") <= baseline_p95
-    return sweep.orderBy(F.desc(ok), F.desc("cr"), "p95_sed", "mean_sed").limit(1)
+    return sweep.orderBy(F.desc(ok), F.desc("cr"), "p95_sed", "mean_sed", "eps").limit(1)
+
+
+def select_epsilon_against(sweep: DataFrame, baseline_eps: float) -> DataFrame:
+    """The same with the p95 that ``baseline_eps``, one of the sweep's, has itself."""
+    own = sweep.where(F.col("eps") == float(baseline_eps)).first()
+    if own is None:
+        raise ValueError(f"{baseline_eps} is not in the sweep")
+    return select_epsilon(sweep, own["p95_sed"])
 
 
 def sweep_summary(runs: DataFrame) -> DataFrame:
@@ -50,16 +60,37 @@ def sweep_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("eps_m", "t_s").agg(F.count("*").alias("n"), med("f1"), med("step_n_stops"), med("stss_n_stops"), (1000 * F.avg(F.col("step_wall_s") / F.greatest("n_points", F.lit(1)))).alias("step_ms_per_point"))
 
 
-def sweep_aggregate(runs: DataFrame, columns, flag_f1: float = 0.75) -> DataFrame:
-    """Mean, median, sample deviation (0 for one run), least and largest of each column per config, and whether the median F1 passes."""
+#: What one run of the segmentation sweep measures.
+SWEEP_METRICS = ("n_points", *(f"{side}_{m}" for side in ("step", "stss") for m in ("n_stops", "n_moves", "mean_stop_s", "mean_move_pts", "wall_s")), "f1", "precision", "recall", "matched_iou_mean")
+CONFIG = ("eps_m", "t_s", "min_samples")
+
+
+def sweep_aggregate(runs: DataFrame, columns=SWEEP_METRICS) -> DataFrame:
+    """Per config: runs; mean, median, sample deviation (0 for one run), least and largest of each column; milliseconds per point where times
+    are given; and ``passes``: medians of two stops and two moves at least online, and a median F1 above 0.6."""
     out = []
     for c in columns:
         out += [F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    return runs.groupBy("eps_m", "t_s").agg(F.count("*").alias("n"), *out).withColumn("passes", F.col("f1_median") >= flag_f1 if "f1" in columns else F.lit(True))
+    found = runs.groupBy(*CONFIG).agg(F.count("*").alias("n_trajectories"), *out)
+    if "step_wall_s" in columns and "n_points" in columns:
+        for k in ("mean", "median"):
+            found = found.withColumn(f"step_ms_per_point_{k}", F.when(F.col(f"n_points_{k}") > 0, 1000 * F.col(f"step_wall_s_{k}") / F.col(f"n_points_{k}")).otherwise(0.0))
+    if {"step_n_stops", "step_n_moves", "f1"} <= set(columns):
+        found = found.withColumn("passes", (F.col("step_n_stops_median") >= 2) & (F.col("step_n_moves_median") >= 2) & (F.col("f1_median") > 0.6))
+    return found
 
 
 def sort_best(aggregated: DataFrame) -> DataFrame:
-    return aggregated.orderBy(F.desc("passes"), F.desc("f1_median"), "eps_m", "t_s")
+    return aggregated.orderBy(F.desc("passes"), F.desc("f1_median"), "eps_m", "t_s", "min_samples")
+
+
+SLIM = tuple(f"{side}_n_{kind}_{k}" for side in ("step", "stss") for kind, ks in (("stops", ("mean", "median", "std")), ("moves", ("mean",))) for k in ks)
+SLIM += tuple(f"{c}_{k}" for c in ("f1", "precision", "recall") for k in ("mean", "median", "std", "min", "max"))
+
+
+def slim(aggregated: DataFrame, *keep: str) -> DataFrame:
+    """The columns that compare both sides, of ``sweep_aggregate``."""
+    return aggregated.select(*keep, "eps_m", "t_s", *SLIM, "passes")
 
 
 def most_stops(grid_counts: DataFrame) -> DataFrame:
@@ -94,12 +125,12 @@ def tuning_grid(points: DataFrame, samples=TUNING_SAMPLES, eps=TUNING_EPS, secon
 
 
 def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, min_samples: int | None = None, least_points: int = 5, backend: str = "manual") -> DataFrame:
-    """Online against offline segmentation for each config and object: one row (eps_m, t_s, obj_id, counts, agreement).
+    """Online against offline segmentation for each config and object: one row (config, obj_id, SWEEP_METRICS).
 
     One pass over each object makes both segmentations of every config; labels are made once per distance and number of samples.
     """
     grid = [(float(e), float(s), min_samples or max(5, round(s * 0.5))) for e in eps for s in seconds]
-    schema = "eps_m double, t_s double, min_samples int, obj_id string, n_points long, side string, seg_id long, kind string, start_t double, end_t double"
+    schema = "eps_m double, t_s double, min_samples int, obj_id string, n_points long, side string, seg_id long, kind string, start_t double, end_t double, points long, wall_s double"
 
     def run(table: pa.Table) -> pa.Table:
         table = ordered(table)
@@ -107,11 +138,16 @@ def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, mi
         obj, rows, labels, apart = table.column("obj_id")[0].as_py(), [], {}, kernels.distances(lat, lon)
         for e, s, k in grid if len(t) >= least_points else ():
             if (e, k) not in labels:
-                labels[e, k] = kernels.cluster_labels(lat, lon, e, k, backend, XI, apart)
-            for side, found in (("step", kernels.stay_segments(lat, lon, t, e, s)), ("stss", kernels.label_segments(labels[e, k], t, s))):
-                rows += [(e, s, k, obj, len(t), side, i, "stop" if stop else "move", float(t[a]), float(t[b])) for i, (a, b, stop) in enumerate(found)]
-        cols = list(zip(*rows)) or [[]] * 10
-        kinds = (pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64())
+                began = time.perf_counter()
+                labels[e, k] = kernels.cluster_labels(lat, lon, e, k, backend, XI, apart), time.perf_counter() - began
+            made = labels[e, k]
+            for side, spent, segment in (("step", 0.0, lambda e=e, s=s: kernels.stay_segments(lat, lon, t, e, s)), ("stss", made[1], lambda made=made, s=s: kernels.label_segments(made[0], t, s))):
+                began = time.perf_counter()
+                found = segment()
+                wall = spent + time.perf_counter() - began  # labels count for each config that uses them, as if it ran alone
+                rows += [(e, s, k, obj, len(t), side, i, "stop" if stop else "move", float(t[a]), float(t[b]), b - a + 1, wall) for i, (a, b, stop) in enumerate(found)]
+        cols = list(zip(*rows)) or [[]] * 12
+        kinds = (pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     found = points.groupBy("obj_id").applyInArrow(run, schema)
@@ -119,10 +155,12 @@ def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, mi
     # both sides' stops of an object and config as two small lists in one row: no join, and the kernels run once
     of = lambda side, kind: F.sum(F.when((F.col("side") == side) & (F.col("kind") == kind), 1).otherwise(0)).alias(f"{side}_n_{kind}s")
     stop = lambda side: F.array_sort(F.collect_list(F.when((F.col("side") == side) & (F.col("kind") == "stop"), F.struct("start_t", "end_t")))).alias(f"{side}_stops")
-    one = found.groupBy(*config, "min_samples", "n_points").agg(*[of(a, b) for a in ("step", "stss") for b in ("stop", "move")], stop("step"), stop("stss"))
+    mean = lambda side, kind, value, name: F.coalesce(F.avg(F.when((F.col("side") == side) & (F.col("kind") == kind), value)), F.lit(0.0)).alias(f"{side}_{name}")
+    sides = [x for a in ("step", "stss") for x in (of(a, "stop"), of(a, "move"), mean(a, "stop", F.col("end_t") - F.col("start_t"), "mean_stop_s"), mean(a, "move", F.col("points"), "mean_move_pts"), F.max(F.when(F.col("side") == a, F.col("wall_s"))).alias(f"{a}_wall_s"), stop(a))]
+    one = found.groupBy(*config, "min_samples", "n_points").agg(*sides)
     agree = metrics.listed_stop_f1(F.col("step_stops"), F.col("stss_stops"))
     one = one.withColumn("agree", agree)
-    return one.select("eps_m", "t_s", "min_samples", "obj_id", "n_points", "step_n_stops", "step_n_moves", "stss_n_stops", "stss_n_moves", "agree.*")
+    return one.select(*CONFIG, "obj_id", *SWEEP_METRICS[:-4], "agree.*")
 
 
 def key_totals(rows: DataFrame, columns) -> DataFrame:

@@ -119,6 +119,33 @@ def referential_coding(move_points: DataFrame, coding: ReferenceCoding | None =
     return coded.withColumn("encoded_bytes", factor_bytes(F.col("e")) + factor_bytes(F.col("v")))
 
 
+def _decoded(factors: Column, earlier: Column) -> Column:
+    """The items that ``factors`` stand for; ``earlier``: the decoded sequences that they may refer to, the first as number 1."""
+
+    def items(f: Column) -> Column:
+        copied = F.slice(F.element_at(earlier, f["ref_id"].cast("int")), f["start"] + 1, f["length"])
+        mismatch = F.when(f["mismatch"].isNull(), F.array().cast("array<string>")).otherwise(F.array(f["mismatch"]))
+        return F.when(f["tag"] == "match", F.concat(copied, mismatch)).otherwise(F.array(f["literal"]))
+
+    return F.flatten(F.transform(factors, items))
+
+
+def decoded_moves(coded: DataFrame) -> DataFrame:
+    """obj_id, seg_id, roads array<string>, speeds array<long> (quantised): what ``referential_coding`` wrote, decoded.
+
+    A native fold over the moves of an object in order: each is decoded against those before it, which is all that factors name.
+    """
+    rows = coded.groupBy("obj_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "e", "v"))).alias("moves"))
+    none = F.array().cast("array<array<string>>")
+
+    def step(state: Column, move: Column) -> Column:
+        return F.struct(F.concat(state["e"], F.array(_decoded(move["e"], state["e"]))).alias("e"), F.concat(state["v"], F.array(_decoded(move["v"], state["v"]))).alias("v"))
+
+    folded = rows.withColumn("all", F.aggregate("moves", F.struct(none.alias("e"), none.alias("v")), step))
+    each = folded.select("obj_id", F.explode(F.arrays_zip(F.col("moves.seg_id").alias("seg_id"), F.col("all.e").alias("roads"), F.col("all.v").alias("speeds"))).alias("m"))
+    return each.select("obj_id", "m.seg_id", "m.roads", F.transform("m.speeds", lambda v: v.cast("long")).alias("speeds"))
+
+
 def factor_bytes(factors: Column) -> Column:
     """16 bytes per match, 4 per literal; 0 for a null."""
     return F.coalesce(F.aggregate(factors, F.lit(0).cast("long"), lambda s, f: s + F.when(f["tag"] == "match", BYTES_PER_MATCH).otherwise(BYTES_PER_LITERAL)), F.lit(0).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import experiments, matching, metrics, moves, segmentation, stops
+from wayfold.operators.experiments import SLIM
 from wayfold.plans import registry as r
 from wayfold.plans.registry import CAPACITY, EPS, SAMPLES, SECONDS, _millis, _micros, _query
 from wayfold.schema import Matching, ReferenceCoding
@@ -108,12 +109,14 @@ def p12_run_pair(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("side", "obj_id").agg(count("stop"), count("move"), F.sum("n").alias("n_points"))
 
 
-@_query("x6_best_configurations", f"""SELECT eps_m, t_s, n, {r._m('f')} AS f1_median, f >= 0.5 AS passes FROM (SELECT (user_id % 4)::DOUBLE AS eps_m, (event_id % 3)::DOUBLE AS t_s, count(*) AS n, quantile_cont(value / 100 - floor(value / 100), 0.5) AS f FROM events GROUP BY ALL) ORDER BY passes DESC, f DESC, eps_m, t_s LIMIT 4""")
+@_query("x6_best_configurations", f"""{r._aggregate_sql()} SELECT row_number() OVER (ORDER BY passes DESC, f1_median DESC, eps_m, t_s, min_samples) AS place, eps_m, t_s, {', '.join(f'{r._m(c)} AS {c}' for c in SLIM)}, passes FROM best""")
 def x6_best_configurations(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value") / 100
-    runs = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 4).cast("double").alias("eps_m"), (F.col("event_id") % 3).cast("double").alias("t_s"), (v - F.floor(v)).alias("f1"))
-    best = experiments.sort_best(experiments.sweep_aggregate(runs, ["f1"], 0.5)).limit(4)
-    return _micros(best.select("eps_m", "t_s", "n", "f1_median", "passes"), "eps_m", "t_s")
+    """Every config of the sweep in order, the best first, with the columns of comparison."""
+    best = experiments.sort_best(experiments.sweep_aggregate(experiments.segmentation_sweep(from_events(spark, d))))
+    # a place for each config of the grid, a handful of rows
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("passes"), F.desc("f1_median"), "eps_m", "t_s", "min_samples")
+    found = experiments.slim(best.withColumn("place", F.row_number().over(order)), "place")
+    return _micros(found.select("place", "eps_m", "t_s", *[F.col(c).cast("double").alias(c) for c in SLIM], "passes"), "eps_m", "t_s")
 
 
 def _tuning_sql() -> str:

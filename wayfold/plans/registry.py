@@ -552,7 +552,8 @@ def x1_epsilon_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _millis(experiments.epsilon_sweep(from_events(spark, d), SWEEP), "eps")
 
 
-def _segment_sweep_sql() -> str:
+def _sweep_runs_sql() -> str:
+    """CTEs that end in ``runs``: one row per config and object, in plain units."""
     ctes, rows, labels = [_PTS, "np AS (SELECT obj_id, count(*) AS n_points FROM pts GROUP BY 1 HAVING count(*) >= 5)"], [], set()
     for e in experiments.EPS_GRID:
         for t in experiments.SECONDS_GRID:
@@ -562,25 +563,50 @@ def _segment_sweep_sql() -> str:
                 labels.add(known)
                 ctes.append(_labels_sql(e, k, known))
             ctes += [_stay_sql(e, t, tag), _offline_sql(e, t, k, f"d{tag}", known)]
-            spans = lambda sp: f"SELECT obj_id, seg_id, kind, min(t) AS s, max(t) AS e FROM {sp} GROUP BY ALL"
+            spans = lambda sp: f"SELECT obj_id, seg_id, kind, min(t) AS s, max(t) AS e, count(*) AS n FROM {sp} GROUP BY ALL"
             ctes += [f"a{tag} AS ({spans(f'sp{tag}')})", f"b{tag} AS ({spans(f'spd{tag}')})"]
             iou = "(least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s))"
             ctes.append(f"i{tag} AS (SELECT a.obj_id, count(*) AS tp, avg({iou}) AS m FROM a{tag} a JOIN b{tag} b ON a.obj_id = b.obj_id AND a.kind = 'stop' AND b.kind = 'stop' AND a.s < b.e AND b.s < a.e WHERE {iou} >= 0.5 GROUP BY 1)")
-            count = lambda x, p: f"(SELECT obj_id, sum((kind = 'stop')::INT)::BIGINT AS {p}_n_stops, sum((kind = 'move')::INT)::BIGINT AS {p}_n_moves FROM {x}{tag} GROUP BY 1)"
+            count = lambda x, p: f"(SELECT obj_id, sum((kind = 'stop')::INT)::BIGINT AS {p}_n_stops, sum((kind = 'move')::INT)::BIGINT AS {p}_n_moves, coalesce(avg(e - s) FILTER (kind = 'stop'), 0) AS {p}_mean_stop_s, coalesce(avg(n) FILTER (kind = 'move'), 0) AS {p}_mean_move_pts FROM {x}{tag} GROUP BY 1)"
             rows.append(f"SELECT {e}::DOUBLE AS eps_m, {t}::DOUBLE AS t_s, {k}::BIGINT AS min_samples, np.*, x.* EXCLUDE (obj_id), y.* EXCLUDE (obj_id), coalesce(tp, 0) AS tp, coalesce(m, 0) AS m FROM np JOIN {count('a', 'step')} x USING (obj_id) JOIN {count('b', 'stss')} y USING (obj_id) LEFT JOIN i{tag} USING (obj_id)")
     p, r = "(CASE WHEN step_n_stops > 0 THEN tp / step_n_stops ELSE 0 END)", "(CASE WHEN stss_n_stops > 0 THEN tp / stss_n_stops ELSE 0 END)"
-    return f"""{', '.join(ctes)} SELECT eps_m, t_s, min_samples, obj_id, n_points, step_n_stops, step_n_moves, stss_n_stops, stss_n_moves, {_m(f'CASE WHEN tp > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END')} AS f1, {_m(p)} AS precision, {_m(r)} AS recall, {_m('m')} AS matched_iou_mean FROM ({' UNION ALL '.join(rows)})"""
+    return f"""{', '.join(ctes)}, runs AS (SELECT * EXCLUDE (tp, m), CASE WHEN tp > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END AS f1, {p} AS precision, {r} AS recall, m AS matched_iou_mean FROM ({' UNION ALL '.join(rows)}))"""
+
+
+_RUNS = _sweep_runs_sql()
+
+
+def _segment_sweep_sql() -> str:
+    return f"{_RUNS} SELECT eps_m, t_s, min_samples, obj_id, n_points, step_n_stops, step_n_moves, stss_n_stops, stss_n_moves, {_m('f1')} AS f1, {_m('precision')} AS precision, {_m('recall')} AS recall, {_m('matched_iou_mean')} AS matched_iou_mean FROM runs"
 
 
 @_query("x3_segmentation_sweep", _segment_sweep_sql())
 def x3_segmentation_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _micros(experiments.segmentation_sweep(from_events(spark, d)), "eps_m", "t_s")
+    more = [f"{a}_{b}" for a in ("step", "stss") for b in ("mean_stop_s", "mean_move_pts", "wall_s")]
+    return _micros(experiments.segmentation_sweep(from_events(spark, d)).drop(*more), "eps_m", "t_s")
+
+
+_TIMELESS = tuple(c for c in experiments.SWEEP_METRICS if not c.endswith("wall_s"))
 
 
-@_query("x5_sweep_aggregate", f"""SELECT (user_id % 4)::DOUBLE AS eps_m, (event_id % 3)::DOUBLE AS t_s, count(*) AS n, {_m('avg(value)')} AS value_mean, {_m('quantile_cont(value, 0.5)')} AS value_median, {_m('coalesce(stddev_samp(value), 0)')} AS value_std, {_m('min(value)')} AS value_min, {_m('max(value)')} AS value_max, true AS passes FROM events GROUP BY ALL""")
+def _aggregate_sql() -> str:
+    stats = ("mean", "avg({c})"), ("median", "quantile_cont({c}, 0.5)"), ("std", "coalesce(stddev_samp({c}), 0)"), ("min", "min({c})"), ("max", "max({c})")
+    return f"""{_RUNS}, agg AS (SELECT eps_m, t_s, min_samples, count(*) AS n_trajectories, {', '.join(f"{f.format(c=c)}::DOUBLE AS {c}_{k}" for c in _TIMELESS for k, f in stats)} FROM runs GROUP BY eps_m, t_s, min_samples),
+    best AS (SELECT *, step_n_stops_median >= 2 AND step_n_moves_median >= 2 AND f1_median > 0.6 AS passes FROM agg)"""
+
+
+_FIVE = [f"{c}_{k}" for c in _TIMELESS for k in ("mean", "median", "std", "min", "max")]
+
+
+@_query("x5_sweep_aggregate", f"{_aggregate_sql()} SELECT eps_m, t_s, min_samples, n_trajectories, {', '.join(f'{_m(c)} AS {c}' for c in _FIVE)}, passes, true AS timed FROM best")
 def x5_sweep_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    runs = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 4).cast("double").alias("eps_m"), (F.col("event_id") % 3).cast("double").alias("t_s"), "value")
-    return _micros(experiments.sweep_aggregate(runs, ["value"]), "eps_m", "t_s")
+    """All 15 metrics are aggregated; those of the two wall times differ from run to run and are told by ``timed`` only."""
+    found = experiments.sweep_aggregate(experiments.segmentation_sweep(from_events(spark, d)))
+    walls = [c for c in found.columns if "wall_s" in c or "ms_per_point" in c]
+    timed = (F.col("step_wall_s_min") > 0) & (F.col("stss_wall_s_min") > 0) & (F.col("step_ms_per_point_mean") > 0)
+    found = found.withColumn("timed", timed).drop(*walls)
+    doubles = found.select(*experiments.CONFIG, "n_trajectories", *[F.col(c).cast("double").alias(c) for c in _FIVE], "passes", "timed")
+    return _micros(doubles, "eps_m", "t_s")
 
 
 _TRIPLE = "WITH_PTS, tr AS (SELECT obj_id, seq, lat, lon, t, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(t) OVER w AS lt, lead(lat) OVER w AS na, lead(lon) OVER w AS no, lead(t) OVER w AS nt FROM pts WINDOW w AS (PARTITION BY obj_id ORDER BY seq))".replace("WITH_PTS", _PTS)
@@ -630,18 +656,20 @@ def e25_variant_summary(spark: SparkSession, d: str) -> DataFrame:
     return _micros(metrics.variant_summary(e.select(F.col("event_type").alias("variant"), F.col("value").alias("average_sed"), (F.col("user_id") % 7).cast("double").alias("cr"), (F.col("event_id") % 3).cast("double").alias("pct_5m"))))
 
 
-@_query("x2_select_epsilon", f"{_sweep_sql()} SELECT eps::BIGINT AS eps, {_mm('n_points / kept')} AS cr, {_mm('p95_sed')} AS p95_sed, {_mm('mean_sed')} AS mean_sed FROM sweep ORDER BY p95_sed <= 8 DESC, n_points / kept DESC, sweep.p95_sed, sweep.mean_sed LIMIT 1")
+BASELINE_EPS = 10
+
+
+@_query("x2_select_epsilon", f"{_sweep_sql()}, base AS (SELECT p95_sed AS most FROM sweep WHERE eps = {BASELINE_EPS}) SELECT eps::BIGINT AS eps, {_mm('n_points / kept')} AS cr, {_mm('sweep.p95_sed')} AS p95_sed, {_mm('sweep.mean_sed')} AS mean_sed FROM sweep, base ORDER BY sweep.p95_sed <= most DESC, n_points / kept DESC, sweep.p95_sed, sweep.mean_sed, sweep.eps LIMIT 1")
 def x2_select_epsilon(spark: SparkSession, d: str) -> DataFrame:
-    best = experiments.select_epsilon(experiments.epsilon_sweep(from_events(spark, d), SWEEP), 8.0)
+    best = experiments.select_epsilon_against(experiments.epsilon_sweep(from_events(spark, d), SWEEP), BASELINE_EPS)
     return best.select(F.col("eps").cast("long").alias("eps"), *[micro(c, 1e3).alias(c) for c in ("cr", "p95_sed", "mean_sed")])
 
 
-@_query("x4_sweep_summary", f"""SELECT (user_id % 4)::DOUBLE AS eps_m, (user_id % 3)::DOUBLE AS t_s, count(*) AS n, {_m('quantile_cont(value, 0.5)')} AS median_f1, {_m('quantile_cont((event_id % 9)::DOUBLE, 0.5)')} AS median_step_n_stops, {_m('quantile_cont((event_id % 8)::DOUBLE, 0.5)')} AS median_stss_n_stops,
-    {_m('1000 * avg(value / greatest(event_id % 50, 1))')} AS step_ms_per_point FROM events GROUP BY ALL""")
+@_query("x4_sweep_summary", f"""{_RUNS} SELECT eps_m, t_s, count(*) AS n, {_m('quantile_cont(f1, 0.5)')} AS median_f1, {_m('quantile_cont(step_n_stops, 0.5)')} AS median_step_n_stops, {_m('quantile_cont(stss_n_stops, 0.5)')} AS median_stss_n_stops, true AS timed FROM runs GROUP BY eps_m, t_s""")
 def x4_sweep_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
-    rows = e.select((F.col("user_id") % 4).cast("double").alias("eps_m"), (F.col("user_id") % 3).cast("double").alias("t_s"), F.col("value").alias("f1"), (F.col("event_id") % 9).alias("step_n_stops"), (F.col("event_id") % 8).alias("stss_n_stops"), F.col("value").alias("step_wall_s"), (F.col("event_id") % 50).cast("int").alias("n_points"))
-    return _micros(experiments.sweep_summary(rows), "eps_m", "t_s")
+    """Milliseconds per point differ from run to run and are told by ``timed`` only."""
+    found = experiments.sweep_summary(experiments.segmentation_sweep(from_events(spark, d)))
+    return _micros(found.withColumn("timed", F.col("step_ms_per_point") > 0).drop("step_ms_per_point"), "eps_m", "t_s")
 
 
 @_query("x8_key_totals", f"SELECT {_mm('sum(value) / 1000')} AS value_sum, {_mm('avg(value)')} AS value_mean, {_mm('quantile_cont(value, 0.5)')} AS value_median FROM events")
