@@ -420,6 +420,16 @@ class ReferenceCoder:
                 at += best[2] + (best[3] is not None)
         return out
 
+    def restore(self, ref: int, seqs: dict[str, list], used: float) -> None:
+        """Hold a move as reference ``ref``; references are added in the order of their moves."""
+        k, keys = self.config.k, []
+        for kind, items in seqs.items():
+            for a in range(len(items) - k + 1):
+                key = (kind, tuple(items[a : a + k]))
+                self.index.setdefault(key, []).append((ref, a))
+                keys.append(key)
+        self.refs[ref] = seqs | {"used": used, "keys": keys}
+
     def code(self, entries: list, now: float) -> dict[str, list]:
         half = 0.5 * self.config.epsilon
         seqs = {"E": [e[1] for e in entries], "V": [round(e[3] / half) if half > 0 else int(e[3]) for e in entries]}
@@ -428,13 +438,7 @@ class ReferenceCoder:
             if isinstance(f, tuple):
                 self.refs[f[0]]["used"] = now
         self.count += 1
-        k, keys = self.config.k, []
-        for kind, items in seqs.items():
-            for a in range(len(items) - k + 1):
-                key = (kind, tuple(items[a : a + k]))
-                self.index.setdefault(key, []).append((self.count, a))
-                keys.append(key)
-        self.refs[self.count] = seqs | {"used": now, "keys": keys}
+        self.restore(self.count, seqs, now)
         score = {r: self.config.decay ** max(0.0, now - ref["used"]) for r, ref in self.refs.items()}
         least = self.config.deletion_share * sum(score.values()) / len(score)
         for r in [r for r, s in score.items() if s < least]:
