@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import moves, segmentation
+from wayfold.operators import matching, moves, segmentation
 from wayfold.plans import pipelines
 from wayfold.plans import registry as r
+from wayfold.plans.records import _roads
 from wayfold.plans.registry import EPS, SECONDS, _micros, _query
-from wayfold.schema import Compression, ReferenceCoding
+from wayfold.schema import Compression, Matching, ReferenceCoding
 from wayfold.sources.points import from_events
 
 #: A limit of speed change that the made tracks pass, so that speeds and matches of both kinds occur.
@@ -61,3 +62,22 @@ def p5_network_stored(spark: SparkSession, d: str) -> DataFrame:
     p = from_events(spark, d)
     found = pipelines.trajectory_results(p, pipelines.online(p, Compression(strategy="network_semantic")))
     return _micros(found.drop("encoded_bytes", "compression_ratio"))
+
+
+@_query("h3_tiled_matching", f"{r._PTS} SELECT obj_id, count(*) AS points, 0::BIGINT AS differing FROM pts GROUP BY obj_id")
+def h3_tiled_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Per object: points that the tiled matcher gives, and those that differ from what the matcher with the whole graph gives."""
+    p = from_events(spark, d)
+    roads, config = _roads(spark, p), Matching(window=4)
+    tiled = matching.match_tiled(p, *roads, config)
+    other = matching.match(p, *roads, config).select("obj_id", "seq", *[F.col(c).alias(f"_{c}") for c in ("lat", "lon", "road_id")])
+    same = F.col("lat").eqNullSafe(F.col("_lat")) & F.col("lon").eqNullSafe(F.col("_lon")) & F.col("road_id").eqNullSafe(F.col("_road_id"))
+    return tiled.join(other, ["obj_id", "seq"], "left").groupBy("obj_id").agg(F.count("*").alias("points"), F.sum(F.when(same, 0).otherwise(1)).alias("differing"))
+
+
+@_query("p5_network_matched")
+def p5_network_matched(spark: SparkSession, d: str) -> DataFrame:
+    """The network pipeline with map matching on, over a graph in tiles."""
+    p = from_events(spark, d)
+    roads, config = _roads(spark, p), Compression(strategy="network_semantic")
+    return _micros(pipelines.trajectory_results(p, pipelines.online(matching.match_tiled(p, *roads, Matching(window=4)), config)))
