@@ -25,22 +25,48 @@ class StayDetector:
     ``push`` and ``flush`` return closed segments (first, last, is_stop) by arrival number. Overlapping stays merge;
     a stay ends when a fix lies beyond ``eps`` of its last fix. A walk back from a fix stops as soon as its outcome is known, so
     its length is bounded by the fixes of ``min_s`` seconds.
+
+    With ``grid`` (metres of a cell's side; ``GRID_SHARE`` of eps by custom) most distances are not computed: two fixes whose cells can't be
+    more than ``eps`` apart are near, those whose cells can't be within it are far. ``counts`` tells how many were settled which way.
     """
 
-    def __init__(self, eps: float, min_s: float):
-        self.eps, self.min_s = eps, min_s
+    def __init__(self, eps: float, min_s: float, grid: float | None = None):
+        self.eps, self.min_s, self.grid = eps, min_s, grid
         self.base, self.fixes, self.stay = 0, [], None
+        self.origin, self.cells = None, {}
+        self.counts = {"exact": 0, "confirmed": 0, "pruned": 0}
+
+    def _cell(self, fix: tuple) -> tuple[int, int]:
+        """Cell relative to the first fix of the track; remembered while the fix is held."""
+        if fix not in self.cells:
+            y, x = math.radians(fix[0] - self.origin[0]), math.radians(fix[1] - self.origin[1]) * math.cos(math.radians(self.origin[0]))
+            self.cells[fix] = math.floor(EARTH_RADIUS_M * y / self.grid), math.floor(EARTH_RADIUS_M * x / self.grid)
+        return self.cells[fix]
 
     def _far(self, a: tuple, b: tuple) -> bool:
+        if self.grid:
+            (y1, x1), (y2, x2), reach = self._cell(a), self._cell(b), (self.eps / self.grid) ** 2
+            dy, dx = abs(y1 - y2), abs(x1 - x2)
+            if (dy + 1) ** 2 + (dx + 1) ** 2 <= reach:
+                self.counts["confirmed"] += 1
+                return False
+            if max(0, dy - 1) ** 2 + max(0, dx - 1) ** 2 > reach:
+                self.counts["pruned"] += 1
+                return True
+        self.counts["exact"] += 1
         x = math.radians(b[1] - a[1]) * math.cos(math.radians((a[0] + b[0]) / 2))
         return EARTH_RADIUS_M * math.sqrt(x * x + math.radians(b[0] - a[0]) ** 2) > self.eps
 
     def _drop(self, base: int) -> None:
+        if self.grid:
+            for fix in self.fixes[: base - self.base]:
+                self.cells.pop(fix, None)
         del self.fixes[: base - self.base]
         self.base = base
 
     def push(self, lat: float, lon: float, t: float) -> list[tuple[int, int, bool]]:
         fix, fixes = (lat, lon, t), self.fixes
+        self.origin = self.origin or fix
         fixes.append(fix)
         c = first = self.base + len(fixes) - 1
         end = self.stay[1] if self.stay else -1
@@ -78,8 +104,12 @@ class StayDetector:
         return out
 
 
-def stay_segments(lat, lon, t, eps: float, min_s: float) -> list[tuple[int, int, bool]]:
-    detector = StayDetector(eps, min_s)
+#: Side of a grid cell as a share of the stop distance.
+GRID_SHARE = math.sqrt(2) / 4
+
+
+def stay_segments(lat, lon, t, eps: float, min_s: float, grid: float | None = None) -> list[tuple[int, int, bool]]:
+    detector = StayDetector(eps, min_s, grid)
     out = []
     for fix in zip(lat.tolist(), lon.tolist(), t.tolist()):
         out += detector.push(*fix)
@@ -107,21 +137,64 @@ def distances(lat, lon):
     return held.__getitem__
 
 
+class CellIndex:
+    """Fixes by cell, so that those within ``eps`` metres of one are looked for in three by three cells; the ends of the world meet."""
+
+    def __init__(self, lat, lon, eps: float):
+        self.lat, self.lon, self.eps = np.asarray(lat, float), np.asarray(lon, float), eps
+        side = np.degrees(eps / EARTH_RADIUS_M) * 1.001 + 1e-12
+        top = min(90.0, float(np.abs(self.lat).max(initial=0.0)) + side)
+        # half the chord's angle bounds the longitudes that a circle around the least favourable fix spans
+        narrow = max(math.cos(math.radians(top)), 1e-9)
+        wide = 2 * math.degrees(math.asin(min(1.0, math.sin(min(math.pi / 2, eps / 2 / EARTH_RADIUS_M)) / narrow))) * 1.001 + 1e-12
+        self.width = max(1, min(1 << 30, int(360 // wide)))
+        self.y = np.floor((self.lat + 90) / side).astype(np.int64)
+        self.x = (np.floor(((self.lon + 180) % 360) * self.width / 360).astype(np.int64)) % self.width
+        key = self.y * self.width + self.x
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def near(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fixes within ``eps`` of fix ``k``, itself included, by index, and their distances."""
+        y, x, w = int(self.y[k]), int(self.x[k]), self.width
+        spans = [(x - 1, x + 1)] if 0 < x < w - 1 else [(0, w - 1)] if w <= 3 else [(w - 1, w - 1), (0, 1)] if x == 0 else [(w - 2, w - 1), (0, 0)]
+        ends = [(a * w + lo, a * w + hi) for a in (y - 1, y, y + 1) for lo, hi in spans]
+        parts = [self.order[np.searchsorted(self.keys, lo) : np.searchsorted(self.keys, hi, side="right")] for lo, hi in ends]
+        found = np.sort(np.concatenate(parts))
+        d = haversine_from(self.lat[found], self.lon[found], int(np.searchsorted(found, k)))
+        keep = d <= self.eps
+        return found[keep], d[keep]
+
+
+def neighbourhoods(lat, lon, eps: float, apart=None):
+    """Function k -> fixes within ``eps`` of fix k and their distances: from a matrix for short objects, else from cells."""
+    if len(lat) > MATRIX_FIXES:
+        return CellIndex(lat, lon, eps).near
+    apart = apart or distances(lat, lon)
+
+    def near(k: int) -> tuple[np.ndarray, np.ndarray]:
+        d = apart(k)
+        found = np.flatnonzero(d <= eps)
+        return found, d[found]
+
+    return near
+
+
 def density_labels(lat, lon, eps: float, min_samples: int, apart=None) -> np.ndarray:
     """Density clusters with neighbourhoods that include the fix itself; scans by index; -1 is noise. ``apart``: as ``distances`` gives."""
-    apart = apart or distances(lat, lon)
+    near = neighbourhoods(lat, lon, eps, apart)
     labels = np.full(len(lat), -2)
     found = -1
     for k in range(len(lat)):
         if labels[k] != -2:
             continue
-        near = np.flatnonzero(apart(k) <= eps)
-        if len(near) < min_samples:
+        around = near(k)[0]
+        if len(around) < min_samples:
             labels[k] = -1
             continue
         found += 1
         labels[k] = found
-        todo = near.tolist()
+        todo = around.tolist()
         while todo:
             j = todo.pop()
             if labels[j] == -1:
@@ -129,7 +202,7 @@ def density_labels(lat, lon, eps: float, min_samples: int, apart=None) -> np.nda
             if labels[j] != -2:
                 continue
             labels[j] = found
-            around = np.flatnonzero(apart(j) <= eps)
+            around = near(j)[0]
             if len(around) >= min_samples:
                 todo += around[labels[around] < 0].tolist()
     return labels
@@ -161,106 +234,96 @@ def cluster_labels(lat, lon, eps: float, min_samples: int, backend: str, xi: flo
 
 
 def optics_order(lat, lon, max_eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Visit order, reachability and predecessor of each fix (metres)."""
+    """Visit order, reachability and predecessor of each fix (metres). The next fix is the one of least reachability, then of least index."""
     n = len(lat)
+    near = neighbourhoods(lat, lon, max_eps, lambda k: haversine_from(lat, lon, k))
     core = np.full(n, np.inf)
     for k in range(n):
-        d = haversine_from(lat, lon, k)
-        if min_samples <= n:
+        d = near(k)[1]
+        if len(d) >= min_samples:
             core[k] = np.partition(d, min_samples - 1)[min_samples - 1]
-    core[core > max_eps] = np.inf
     reach, before, done, order = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool), []
+    waiting, unreached = [], 0  # a heap of (reachability, fix), old entries among them; and the first fix that nothing may have reached
     for _ in range(n):
-        left = np.flatnonzero(~done)
-        k = int(left[np.argmin(reach[left])])
+        while waiting and (done[waiting[0][1]] or reach[waiting[0][1]] != waiting[0][0]):
+            heapq.heappop(waiting)
+        while unreached < n and done[unreached]:
+            unreached += 1
+        k = heapq.heappop(waiting)[1] if waiting else unreached
         done[k] = True
         order.append(k)
         if np.isfinite(core[k]):
-            d = haversine_from(lat, lon, k)
+            around, d = near(k)
             new = np.maximum(d, core[k])
-            better = ~done & (d <= max_eps) & (new < reach)
-            reach[better], before[better] = new[better], k
+            better = ~done[around] & (new < reach[around])
+            reach[around[better]], before[around[better]] = new[better], k
+            for r, j in zip(new[better].tolist(), around[better].tolist()):
+                heapq.heappush(waiting, (r, j))
     return np.array(order, int), reach, before
 
 
+def steep_areas(plot, min_samples: int, xi: float) -> list[tuple[int, int, bool]]:
+    """(first, last, down) of the maximal steep areas of a reachability plot, by place.
+
+    Place p is a steep descent if plot[p + 1] is lower than plot[p] by the share ``xi`` at least, and a steep ascent if it is higher so. An area
+    begins and ends at steep places of one direction; between them no step goes the other way, and at most ``min_samples`` places in a row are not steep.
+    """
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ratio = plot[:-1] / plot[1:]
+    areas = []
+    for down, steep, against in ((True, ratio >= 1 / (1 - xi), ratio < 1), (False, ratio <= 1 - xi, ratio > 1)):
+        places = np.flatnonzero(steep)
+        if not len(places):
+            continue
+        turns = np.r_[0, np.cumsum(against)]  # steps the other way before a place
+        apart = (turns[places[1:]] != turns[places[:-1]]) | (np.diff(places) - 1 > min_samples)
+        firsts, lasts = places[np.r_[True, apart]], places[np.r_[apart, True]]
+        areas += [(int(a), int(b), down) for a, b in zip(firsts, lasts)]
+    return sorted(areas)
+
+
+def _trimmed(plot, pred, order, down: tuple[int, int], up: tuple[int, int], min_samples: int, xi: float) -> tuple[int, int] | None:
+    """The cluster between a descent and an ascent: its higher end is cut to the height of the lower one, and its last member must have
+    been reached from inside. None if that leaves too little."""
+    (first, foot), (rise, last) = down, up
+    left, right = plot[first], plot[last + 1]
+    if left * (1 - xi) >= right:
+        over = np.flatnonzero(~(plot[first + 1 : foot + 1] > right))
+        first = first + int(over[0]) if len(over) else foot
+    elif right * (1 - xi) >= left:
+        over = np.flatnonzero(~(plot[rise:last] > left)[::-1])
+        last = last - int(over[0]) if len(over) else rise
+    while first < last and plot[first] <= plot[last] and pred[last] not in order[first:last]:
+        last -= 1
+    return (first, last) if last - first + 1 >= min_samples and first <= foot and last >= rise else None
+
+
 def xi_labels(order, reach, before, min_samples: int, xi: float) -> np.ndarray:
-    """Clusters between steep descents and ascents of the reachability plot, smallest first; -1 is noise.
+    """Clusters of a reachability plot: intervals from a steep descent to a steep ascent; -1 is noise.
 
-    Follows the published extraction: maximal steep areas with at most ``min_samples`` flat steps, cluster borders trimmed to
-    equal heights, and the correction that a cluster's last member must have its predecessor inside.
+    A descent and a later ascent enclose a cluster if everything between them (after the descent, up to where the ascent starts) is finite and
+    lower by the share ``xi`` than where the descent starts and than where the ascent ends. Ascents are taken from left to right
+    and for each the nearest descent first, so that inner clusters come before those around them; the first that covers a place keeps it.
     """
     n = len(order)
     labels = np.full(n, -1)
     if not n:
         return labels
     plot, pred = np.r_[reach[order], np.inf], before[order]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        ratio = plot[:-1] / plot[1:]
-    steep_up, up = ratio <= 1 - xi, ratio < 1
-    steep_down, down = ratio >= 1 / (1 - xi), ratio > 1
-
-    def extend(steep, against, start):
-        """Last steep step of the area that begins at ``start``."""
-        flat, end, k = 0, start, start
-        while k < n:
-            if steep[k]:
-                flat, end = 0, k
-            elif not against[k]:
-                flat += 1
-                if flat > min_samples:
-                    break
-            else:
-                break
-            k += 1
-        return end
-
-    areas, clusters, index, mib = [], [], 0, 0.0
-    for k in np.flatnonzero(steep_up | steep_down).tolist():
-        if k < index:
-            continue
-        mib = max(mib, float(np.max(plot[index : k + 1])))
-        if np.isinf(mib):
-            areas = []
-        else:
-            areas = [a for a in areas if mib <= plot[a["start"]] * (1 - xi)]
-            for a in areas:
-                a["mib"] = max(a["mib"], mib)
-        if steep_down[k]:
-            end = extend(steep_down, up, k)
-            areas.append({"start": k, "end": end, "mib": 0.0})
-            index = end + 1
-            mib = float(plot[index])
+    open_, found, out, seen = [], 0, np.full(n, -1), 0  # open descents as [first, foot, highest place since]
+    for a, b, down in steep_areas(plot, min_samples, xi):
+        high = float(plot[seen : a + 1].max())
+        open_ = [] if np.isinf(high) else [[f, g, max(h, high)] for f, g, h in open_ if max(h, high) <= plot[f] * (1 - xi)]
+        seen = b + 1
+        if down:
+            open_.append([a, b, 0.0])
             continue
-        end = extend(steep_up, down, k)
-        index = end + 1
-        mib = float(plot[index])
-        here = []
-        for a in areas:
-            if plot[index] * (1 - xi) < a["mib"]:
-                continue
-            first, last, top = a["start"], end, plot[a["start"]]
-            if top * (1 - xi) >= plot[index]:
-                while first < a["end"] and plot[first + 1] > plot[index]:
-                    first += 1
-            elif plot[index] * (1 - xi) >= top:
-                while last > k and plot[last - 1] > top:
-                    last -= 1
-            while first < last:
-                if plot[first] > plot[last]:
-                    break
-                inside = order[first:last]
-                if pred[last] in inside:
-                    break
-                last -= 1
-            if last - first + 1 < min_samples or first > a["end"] or last < k:
-                continue
-            here.append((first, last))
-        clusters += here[::-1]
-    found, out = 0, np.full(n, -1)
-    for first, last in clusters:
-        if not np.any(out[first : last + 1] != -1):
-            out[first : last + 1] = found
-            found += 1
+        for f, g, h in reversed(open_):
+            if h <= plot[b + 1] * (1 - xi):
+                cut = _trimmed(plot, pred, order, (f, g), (a, b), min_samples, xi)
+                if cut and (out[cut[0] : cut[1] + 1] == -1).all():
+                    out[cut[0] : cut[1] + 1] = found
+                    found += 1
     labels[order] = out
     return labels
 

@@ -32,12 +32,13 @@ def _segmented(table: pa.Table, segments: list[tuple[int, int, bool]]) -> pa.Tab
     return table.append_column("seg_id", pa.array(seg, pa.int64())).append_column("kind", pa.array(kind, pa.string()))
 
 
-def stay_points(points: DataFrame, eps: float = STOP_DISTANCE_M, min_s: float = STOP_DURATION_S) -> DataFrame:
-    """Online stay-point segmentation: points with seg_id and kind. Segments tile each object's history."""
+def stay_points(points: DataFrame, eps: float = STOP_DISTANCE_M, min_s: float = STOP_DURATION_S, grid: float | None = None) -> DataFrame:
+    """Online stay-point segmentation: points with seg_id and kind. Segments tile each object's history. ``grid``: metres of the cells by
+    which most distances are settled without being computed."""
 
     def run(table: pa.Table) -> pa.Table:
         table = ordered(table)
-        return _segmented(table, kernels.stay_segments(*arrays(table, "lat", "lon", "t"), eps, min_s))
+        return _segmented(table, kernels.stay_segments(*arrays(table, "lat", "lon", "t"), eps, min_s, grid))
 
     return points.select(*POINT_COLUMNS).groupBy("obj_id").applyInArrow(run, SEGMENTED)
 

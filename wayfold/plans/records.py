@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 from wayfold.operators import experiments, matching, metrics, moves, segmentation, stops
 from wayfold.operators.experiments import SLIM
+from wayfold.operators.kernels import GRID_SHARE
 from wayfold.plans import registry as r
 from wayfold.plans.registry import CAPACITY, EPS, SAMPLES, SECONDS, _millis, _micros, _query
 from wayfold.schema import Matching, ReferenceCoding
@@ -88,6 +89,12 @@ def d18_stream_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _micros(moves.stream_ratio(p, moves.referential_coding(p, ReferenceCoding(gamma=3.8))))
 
 
+@_query("m1a_grid_pruning", f"{r._STAY} SELECT obj_id, seq, seg_id, kind FROM sp")
+def m1a_grid_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Stay points with distances settled by grid cells where these decide."""
+    return segmentation.stay_points(from_events(spark, d), EPS, SECONDS, GRID_SHARE * EPS).select("obj_id", "seq", "seg_id", "kind")
+
+
 _RETAINED = r.ORACLES["d17_retained_points"].rpartition("SELECT obj_id, seg_id, seq, reason")[0]
 
 
