@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators import kernels, metrics
+from wayfold.operators.percentiles import exact_percentiles
 from wayfold.operators.segmentation import arrays, ordered
 from wayfold.schema import POINT_COLUMNS, XI
 
@@ -36,8 +37,10 @@ def epsilon_sweep(points: DataFrame, grid) -> DataFrame:
 
     kept = rows.groupBy("obj_id").applyInArrow(run, rows.schema)
     errors = metrics.synchronized_errors(rows, kept).withColumn("eps", F.substring_index("obj_id", "|", 1).cast("double"))
-    pooled = errors.groupBy("eps").agg(F.avg("sed").alias("mean_sed"), F.percentile("sed", F.lit(0.95)).alias("p95_sed"), F.max("sed").alias("max_sed"), F.count("*").alias("n_points"))
-    return pooled.join(kept.groupBy("eps").agg(F.count("*").alias("kept")), "eps").withColumn("cr", F.col("n_points") / F.col("kept"))
+    # the pooled errors of an epsilon are as many as the points: their percentile is selected, not gathered
+    pooled = errors.groupBy("eps").agg(F.avg("sed").alias("mean_sed"), F.max("sed").alias("max_sed"), F.count("*").alias("n_points"))
+    pooled = pooled.join(F.broadcast(exact_percentiles(errors.select("eps", "sed"), ["eps"], {"p95_sed": ("sed", 0.95)})), "eps")  # a row per epsilon
+    return pooled.select("eps", "mean_sed", "p95_sed", "max_sed", "n_points").join(kept.groupBy("eps").agg(F.count("*").alias("kept")), "eps").withColumn("cr", F.col("n_points") / F.col("kept"))
 
 
 def select_epsilon(sweep: DataFrame, baseline_p95: float | None = None) -> DataFrame:
@@ -165,4 +168,6 @@ def segmentation_sweep(points: DataFrame, eps=EPS_GRID, seconds=SECONDS_GRID, mi
 
 def key_totals(rows: DataFrame, columns) -> DataFrame:
     """Sum, mean and median of each column over all rows."""
-    return rows.agg(*[f for c in columns for f in (F.sum(c).alias(f"{c}_sum"), F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"))])
+    medians = exact_percentiles(rows.select(*columns), [], {f"{c}_median": (c, 0.5) for c in columns})
+    totals = rows.agg(*[f for c in columns for f in (F.sum(c).alias(f"{c}_sum"), F.avg(c).alias(f"{c}_mean"))])
+    return totals.join(F.broadcast(medians)).select(*[f"{c}_{k}" for c in columns for k in ("sum", "mean", "median")]) if medians.count() else totals.select(*[x for c in columns for x in (f"{c}_sum", f"{c}_mean", F.lit(None).cast("double").alias(f"{c}_median"))])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import planar, synchronized
+from wayfold.operators.percentiles import exact_percentiles
 from wayfold.schema import BYTES_PER_POINT
 
 METRICS = ("cr", "stored_points", "avg_sed_m", "p95_sed_m", "max_sed_m", "latency_us_per_point")
@@ -251,9 +252,12 @@ def ranked_deltas(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def variant_summary(rows: DataFrame) -> DataFrame:
-    """variant, average_sed, cr, pct_5m -> statistics per variant."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return rows.groupBy("variant").agg(F.avg("average_sed").alias("mean_sed"), p("average_sed", 0.5).alias("median_sed"), p("average_sed", 0.95).alias("p95_sed"), p("average_sed", 0.99).alias("p99_sed"), F.avg("cr").alias("mean_cr"), p("cr", 0.5).alias("median_cr"), F.avg("pct_5m").alias("mean_pct_5m"))
+    """variant, average_sed, cr, pct_5m -> statistics per variant. A variant has a row for each object, so percentiles are selected, not gathered."""
+    shares = {"median_sed": ("average_sed", 0.5), "p95_sed": ("average_sed", 0.95), "p99_sed": ("average_sed", 0.99), "median_cr": ("cr", 0.5)}
+    picked = exact_percentiles(rows, ["variant"], shares).withColumnRenamed("variant", "_variant")
+    means = rows.groupBy("variant").agg(F.avg("average_sed").alias("mean_sed"), F.avg("cr").alias("mean_cr"), F.avg("pct_5m").alias("mean_pct_5m"))
+    joined = means.join(F.broadcast(picked), F.col("variant").eqNullSafe(F.col("_variant")))  # a row per variant
+    return joined.select("variant", "mean_sed", "median_sed", "p95_sed", "p99_sed", "mean_cr", "median_cr", "mean_pct_5m")
 
 
 def branch_counts(segments: DataFrame, capacity: int, refine: bool = False) -> DataFrame:
