@@ -32,17 +32,29 @@ def keypoint_reconstruction(stops: DataFrame, moves: DataFrame) -> DataFrame:
     return stops.select("obj_id", F.col("start_t").alias("t"), "lat", "lon").unionByName(moves.select("obj_id", "t", "lat", "lon"))
 
 
-def _timeline(points: DataFrame, compressed: DataFrame, keys) -> DataFrame:
+def _timeline(points: DataFrame, compressed: DataFrame, keys, block_s: float | None = None) -> DataFrame:
     """Both sides in time order, raw points (side 0) with their error ``sed`` (null without compressed points) and compressed ones (side 1)
-    with ``stored``: the backward as-of join of each point with its timed segment, by one window."""
+    with ``stored``: the backward as-of join of each point with its timed segment, by one window. With ``block_s`` a key's time is cut into
+    blocks of so many seconds, each a partition of its own; the last compressed point before a block and the first after it are carried in."""
     none = F.lit(None).cast("double")
     raw = points.select(*keys, "t", F.lit(0).alias("side"), "seq", "lat", "lon", F.lit(0).cast("long").alias("stored"), F.lit(None).cast("struct<t:double,lat:double,lon:double>").alias("k"))
     stored = F.col("stored").cast("long") if "stored" in compressed.columns else F.lit(1).cast("long")
     key = compressed.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast("long").alias("seq"), none.alias("lat"), none.alias("lon"), stored.alias("stored"), F.struct("t", "lat", "lon").alias("k"))
-    w = Window.partitionBy(*keys).orderBy("t", "side", "seq")
     both = raw.unionByName(key)
-    both = both.withColumn("a", F.last("k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("b", F.first("k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    if block_s:
+        both = both.withColumn("block", F.floor(F.col("t") / block_s))
+        ends = both.groupBy(*keys, "block").agg(F.min("k").alias("first"), F.max("k").alias("last"))  # by time first
+        track = Window.partitionBy(*keys).orderBy("block")  # one row per block
+        ends = ends.withColumn("before", F.last("last", ignorenulls=True).over(track.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("first", ignorenulls=True).over(track.rowsBetween(1, Window.unboundedFollowing)))
+        # the carried points travel as rows of their block (side 2), so that a block's rows meet in one exchange and no join moves a key's rows
+        carried = ends.select(*keys, "block", "before", "after").withColumns({"t": F.lit(None).cast("double"), "side": F.lit(2), "seq": F.lit(None).cast("long"), "lat": none, "lon": none, "stored": F.lit(0).cast("long"), "k": F.lit(None).cast("struct<t:double,lat:double,lon:double>")})
+        both = both.withColumns({c: F.lit(None).cast("struct<t:double,lat:double,lon:double>") for c in ("before", "after")}).unionByName(carried)
+    w = Window.partitionBy(*keys, *(["block"] if block_s else [])).orderBy("t", "side", "seq")
+    a, b = F.last("k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    if block_s:
+        whole = Window.partitionBy(*keys, "block")
+        a, b = F.coalesce(a, F.max("before").over(whole)), F.coalesce(b, F.max("after").over(whole))
+    both = both.withColumn("a", a).withColumn("b", b).where("side < 2")
     lat, lon, t, a, b = F.col("lat"), F.col("lon"), F.col("t"), F.col("a"), F.col("b")
     sed = (
         F.when(b.isNull(), planar(lat, lon, a["lat"], a["lon"]))
@@ -52,9 +64,9 @@ def _timeline(points: DataFrame, compressed: DataFrame, keys) -> DataFrame:
     return both.select(*keys, "seq", "t", "side", "stored", F.when(F.col("side") == 0, sed).alias("sed"))
 
 
-def synchronized_errors(points: DataFrame, compressed: DataFrame, keys=("obj_id",)) -> DataFrame:
-    """keys, seq, t, sed. Objects without compressed points have no rows."""
-    return _timeline(points, compressed, keys).where("side = 0 AND sed IS NOT NULL").drop("side", "stored")
+def synchronized_errors(points: DataFrame, compressed: DataFrame, keys=("obj_id",), block_s: float | None = None) -> DataFrame:
+    """keys, seq, t, sed. Objects without compressed points have no rows. ``block_s``: seconds of a time block, for objects too long for one task."""
+    return _timeline(points, compressed, keys, block_s).where("side = 0 AND sed IS NOT NULL").drop("side", "stored")
 
 
 def evaluation(points: DataFrame, compressed: DataFrame, keys=("obj_id",)) -> DataFrame:
@@ -223,10 +235,16 @@ def normalise_metric(value: Column) -> Column:
     return F.coalesce(value.cast("string").try_cast("double"), F.lit(float("nan")))
 
 
-def contract_aggregate(records: DataFrame) -> DataFrame:
-    """pipeline, metric, value -> mean, median and p95 without NaN (nulls if all are)."""
+def contract_aggregate(records: DataFrame, order: str | None = None) -> DataFrame:
+    """pipeline, metric, value -> mean, median and p95 without NaN (nulls if all are). ``order``: a column by which records are ordered; it adds
+    ``place``, the number of a pipeline (from 0) in order of first appearance."""
     good = F.when(~F.isnan("value"), F.col("value"))
-    return records.groupBy("pipeline", "metric").agg(F.avg(good).alias("mean"), F.percentile(good, F.lit(0.5)).alias("median"), F.percentile(good, F.lit(0.95)).alias("p95"))
+    found = records.groupBy("pipeline", "metric").agg(F.avg(good).alias("mean"), F.percentile(good, F.lit(0.5)).alias("median"), F.percentile(good, F.lit(0.95)).alias("p95"))
+    if order is None:
+        return found
+    first = records.groupBy(F.col("pipeline").alias("_pipeline")).agg(F.min(order).alias("_first"))
+    places = first.select("_pipeline", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first", "_pipeline")) - 1).alias("place"))  # a row per pipeline
+    return found.join(F.broadcast(places), F.col("pipeline").eqNullSafe(F.col("_pipeline"))).drop("_pipeline")
 
 
 def strategy_summary(rows: DataFrame) -> DataFrame:

@@ -95,6 +95,13 @@ def m1a_grid_pruning(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.stay_points(from_events(spark, d), EPS, SECONDS, GRID_SHARE * EPS).select("obj_id", "seq", "seg_id", "kind")
 
 
+@_query("e5_blocked_errors", r.ORACLES["e5_synchronized_errors"])
+def e5_blocked_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Synchronized errors with each object's time cut into blocks of 35 seconds, fewer than the fixes between kept points at times."""
+    p = from_events(spark, d)
+    return _millis(metrics.synchronized_errors(p, moves.line_simplify(p, eps=EPS), block_s=35.0).select("obj_id", "seq", "sed"))
+
+
 _RETAINED = r.ORACLES["d17_retained_points"].rpartition("SELECT obj_id, seg_id, seq, reason")[0]
 
 

@@ -107,6 +107,12 @@ def check_file_id(name: str) -> str:
     return name
 
 
+def list_file_ids(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, bytes: the ``*.csv`` files of a folder whose stems are file ids, to be taken in numeric order. Contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(file_stem(F.col("path")).alias("file_id"), F.col("length").alias("bytes"))
+    return files.where(F.col("file_id").rlike("^[0-9]+$"))
+
+
 def matched(df: DataFrame) -> DataFrame:
     """Pre-matched rows: matched coordinates and the way as road id."""
     return from_frame(df, {"lat": "matched_latitude", "lon": "matched_longitude", "road_id": "osm_way_id"})
