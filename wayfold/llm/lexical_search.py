@@ -31,10 +31,10 @@ from wayfold.llm.common import materialize, sized_broadcast, text_of, trimmed
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Signature bits of an entry, rows of bits that each sets, documents and cells of a block.
-ENTRY_BITS, HASHES, BLOCK_DOCS, BLOCK_CELLS = 22, 5, 2_048, 1 << 24
+ENTRY_BITS, HASHES, BLOCK_DOCS, BLOCK_CELLS = 22, 5, 2_048, 1 << 23
 #: Occurrences that a term enters a signature at.
 STEPS = (1, 2, 3, 4, 6, 10, 20, 50)
-SEEDS, ITEM_TERMS, COUNTED_TERMS = 32, 100_000, 400_000
+SEEDS, ITEM_TERMS, COUNTED_TERMS = 32, 100_000, 200_000
 
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 INDEX = "term string, df long, width int, ids array<long>, hashes array<long>, lengths array<long>, slices binary"
