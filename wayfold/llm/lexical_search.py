@@ -70,7 +70,7 @@ class _Block:
         self.lengths.append(n)
         self.sizes.append(len(counted))
         self.terms.append(_hashes(counted))
-        self.counts.append(np.fromiter(counted.values(), np.int64))
+        self.counts.append(np.fromiter(counted.values(), np.int32))
         self.widest = max(self.widest, len(counted))
 
     def full(self) -> bool:
@@ -83,7 +83,10 @@ class _Block:
         width = max(64, int(most) * ENTRY_BITS)
         cells = np.zeros((width, len(self.ids)), bool)
         for k, e in enumerate(entries):
-            cells[bit_rows(terms[e], k, width), docs[e][:, None]] = True
+            own = np.flatnonzero(e)
+            for at in range(0, len(own), 1 << 16):  # the rows of all entries at once would outweigh the cells
+                some = own[at : at + (1 << 16)]
+                cells[bit_rows(terms[some], k, width), docs[some][:, None]] = True
         return {"width": width, "ids": self.ids, "hashes": self.texts, "lengths": self.lengths, "slices": np.packbits(cells, axis=1).tobytes()}
 
 
