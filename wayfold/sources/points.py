@@ -78,6 +78,25 @@ def read_replay(spark: SparkSession, path: str, start: str, interval_s: float =
     return replay(df, start, interval_s, obj_id)
 
 
+def stage_replay(df: DataFrame, path: str, start: str, interval_s: float = 1.0, rows_per_batch: int = 100, obj_id: str | None = None) -> None:
+    """Write what ``replay`` gives so that ``replay_stream`` can play it: one folder for every ``rows_per_batch`` beats of the clock."""
+    begin = F.unix_micros(F.lit(start).cast("timestamp")) / 1e6
+    beat = F.round((F.col("t") - begin) / interval_s).cast("long")
+    replay(df, start, interval_s, obj_id).withColumn("batch", F.floor(beat / rows_per_batch)).repartition("batch").write.partitionBy("batch").parquet(path)
+
+
+def replay_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of staged points, in the clock's order: each micro-batch brings the next beats of all objects.
+
+    The clock is Spark's own micro-batch source, so a query that stops goes on from its checkpoint where it was. The beats' number meets the staged folders,
+    of which only the wanted one is read. After the last folder micro-batches are empty, until the query is stopped.
+    """
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).option("startTimestamp", 0).load()
+    staged = spark.read.parquet(path)
+    joined = staged.join(F.broadcast(clock.select("value")), F.col("batch") == F.col("value"))  # one row
+    return joined.select("obj_id", "seq", "lat", "lon", "t", "road_id")
+
+
 def fleet_log(lines: DataFrame) -> DataFrame:
     """Tab-separated fleet rows (id, vehicle, date, three times, x, y, speed); header and short rows are dropped."""
     parts = F.split("value", "\t")
