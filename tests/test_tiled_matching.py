@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 
 from wayfold.operators import matching, moves
 from wayfold.operators.matching import match, match_tiled
@@ -65,3 +66,30 @@ def test_large_graphs_go_by_tiles(spark, monkeypatch):
         matching.shared_graph(nodes, edges)
     assert match_tiled(p.where("false"), nodes, edges).count() == 0
     assert sorted(map(tuple, match_tiled(p, nodes, edges.where("false")).collect())) == sorted(map(tuple, p.collect()))
+
+
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_counters_equal_those_of_the_results(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "MAX_EDGES", most)  # in tiles, and with the whole graph
+    (nodes, edges), p, config = city(spark), tracks(spark), Matching(window=4)
+    seen = Observation("matching")
+    found = match(p, nodes, edges, config, observation=seen)
+    rows = {(r.obj_id, r.seq): r for r in found.collect()}
+    assert found.schema == p.schema and sorted(map(tuple, rows.values())) == sorted(map(tuple, match(p, nodes, edges, config).collect()))
+    before = {(r.obj_id, r.seq): r for r in p.collect()}
+    hit = [k for k, r in rows.items() if r.road_id not in (None, "own")]
+    assert (seen.get["points"], seen.get["matched"], seen.get["unmatched"]) == (len(before), len(hit), len(before) - len(hit))
+    assert seen.get["snapped"] == sum((rows[k].lat, rows[k].lon) != (before[k].lat, before[k].lon) for k in rows) and seen.get["metres"] > 0
+
+
+def test_coder_counters(spark):
+    from wayfold.operators import segmentation
+    from wayfold.schema import ReferenceCoding
+    from wayfold.sources.points import from_events
+
+    seen = Observation("coding")
+    moving = segmentation.moves(segmentation.stay_points(from_events(spark, "/root/testdata/sf0.001")))
+    rows = moves.referential_coding(moving, ReferenceCoding(gamma=3.8), seen).collect()
+    tags = [f.tag for r in rows for f in [*r.e, *r.v]]
+    want = {"moves": len(rows), "matches": tags.count("match"), "literals": tags.count("literal"), "bytes": sum(r.encoded_bytes for r in rows), "most_references": max(r.references for r in rows)}
+    assert seen.get == want and want["matches"] > 0

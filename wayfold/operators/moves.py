@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators import kernels
@@ -94,8 +94,11 @@ def retained_points(points: DataFrame, keys=PER_SEGMENT, coding: ReferenceCoding
     return points.groupBy(*keys).applyInArrow(run, kinds + ", reason string")
 
 
-def referential_coding(move_points: DataFrame, coding: ReferenceCoding | None = None) -> DataFrame:
-    """obj_id, seg_id, e, v (factors), encoded_bytes, references: moves of an object in order, each a reference for the next."""
+def referential_coding(move_points: DataFrame, coding: ReferenceCoding | None = None, observation: Observation | None = None) -> DataFrame:
+    """obj_id, seg_id, e, v (factors), encoded_bytes, references: moves of an object in order, each a reference for the next.
+
+    ``observation`` counts while the result is made: moves, matches, literals, bytes, and the most references held at once.
+    """
     coding = coding or ReferenceCoding()
 
     def cell(f) -> dict:
@@ -116,7 +119,11 @@ def referential_coding(move_points: DataFrame, coding: ReferenceCoding | None =
         return pa.Table.from_pylist(rows, schema=pa.schema([("obj_id", pa.string()), ("seg_id", pa.int64()), ("e", kind), ("v", kind), ("references", pa.int64())]))
 
     coded = move_points.groupBy("obj_id").applyInArrow(run, f"obj_id string, seg_id long, e array<{FACTOR}>, v array<{FACTOR}>, references long")
-    return coded.withColumn("encoded_bytes", factor_bytes(F.col("e")) + factor_bytes(F.col("v")))
+    coded = coded.withColumn("encoded_bytes", factor_bytes(F.col("e")) + factor_bytes(F.col("v")))
+    if observation is None:
+        return coded
+    of = lambda tag: F.coalesce(F.sum(F.size(F.filter("e", lambda f: f["tag"] == tag)) + F.size(F.filter("v", lambda f: f["tag"] == tag))), F.lit(0))
+    return coded.observe(observation, F.count(F.lit(1)).alias("moves"), of("match").alias("matches"), of("literal").alias("literals"), F.coalesce(F.sum("encoded_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("references"), F.lit(0)).alias("most_references"))
 
 
 def _decoded(factors: Column, earlier: Column) -> Column:
