@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 BUNDLE_SCHEMA = "trajectory-eval-contract-v1"
 
@@ -60,6 +61,32 @@ def evaluation_bundle(records: DataFrame, aggregate: DataFrame, run_config: dict
     return head.unionByName(rows(per, "per_file")).unionByName(rows(clean(aggregate), "aggregate"))
 
 
+def put_batch(records: DataFrame, number: int, path: str) -> None:
+    """One micro-batch of metric records as JSON lines in a folder of its number; the same number again replaces what it wrote before."""
+    clean(records).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
+
+
+def stream_metrics_json(records: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """A stream of metric records to ``path``, one JSON object a line. A micro-batch that is run again after a failure is written once: its
+    number names its folder, and the checkpoint keeps numbers and rows together."""
+    writer = records.writeStream.foreachBatch(lambda frame, number: put_batch(frame, number, path)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_bundle(segments: DataFrame, path: str, checkpoint: str, run_config: dict, available_now: bool = False) -> StreamingQuery:
+    """The evaluation bundle of a stream of segments (``online_stream``): for each micro-batch the header and a row per object with
+    what closed in it: segments, points, stored keypoints and bytes. Sums over micro-batches are those of the whole."""
+
+    def put(frame: DataFrame, number: int) -> None:
+        per = frame.groupBy("obj_id").agg(F.count("*").alias("segments"), F.sum("n_points").alias("n_raw_points"), F.sum(F.size("keypoints")).alias("stored_points"), F.sum("encoded_bytes").alias("encoded_bytes"))
+        head = frame.sparkSession.createDataFrame([("header", json.dumps({"schema": BUNDLE_SCHEMA, "run_config": {str(k): str(v) for k, v in run_config.items()}}))], "part string, value string")
+        rows = head.unionByName(clean(per).select(F.lit("per_file").alias("part"), F.to_json(F.struct("*")).alias("value")))
+        rows.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    writer = segments.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
     """Node and edge tables as Parquet, and a metadata record beside them: nodes, edges and bytes."""
     nodes.write.parquet(f"{path}/nodes")
