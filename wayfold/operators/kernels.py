@@ -35,6 +35,8 @@ class StayDetector:
         self.base, self.fixes, self.stay = 0, [], None
         self.origin, self.cells = None, {}
         self.counts = {"exact": 0, "confirmed": 0, "pruned": 0}
+        if grid:
+            self._far = self._far_by_cells
 
     def _cell(self, fix: tuple) -> tuple[int, int]:
         """Cell relative to the first fix of the track; remembered while the fix is held."""
@@ -44,19 +46,21 @@ class StayDetector:
         return self.cells[fix]
 
     def _far(self, a: tuple, b: tuple) -> bool:
-        if self.grid:
-            (y1, x1), (y2, x2), reach = self._cell(a), self._cell(b), (self.eps / self.grid) ** 2
-            dy, dx = abs(y1 - y2), abs(x1 - x2)
-            if (dy + 1) ** 2 + (dx + 1) ** 2 <= reach:
-                self.counts["confirmed"] += 1
-                return False
-            if max(0, dy - 1) ** 2 + max(0, dx - 1) ** 2 > reach:
-                self.counts["pruned"] += 1
-                return True
-        self.counts["exact"] += 1
         x = math.radians(b[1] - a[1]) * math.cos(math.radians((a[0] + b[0]) / 2))
         return EARTH_RADIUS_M * math.sqrt(x * x + math.radians(b[0] - a[0]) ** 2) > self.eps
 
+    def _far_by_cells(self, a: tuple, b: tuple) -> bool:
+        (y1, x1), (y2, x2), reach = self._cell(a), self._cell(b), (self.eps / self.grid) ** 2
+        dy, dx = abs(y1 - y2), abs(x1 - x2)
+        if (dy + 1) ** 2 + (dx + 1) ** 2 <= reach:
+            self.counts["confirmed"] += 1
+            return False
+        if max(0, dy - 1) ** 2 + max(0, dx - 1) ** 2 > reach:
+            self.counts["pruned"] += 1
+            return True
+        self.counts["exact"] += 1
+        return StayDetector._far(self, a, b)
+
     def _drop(self, base: int) -> None:
         if self.grid:
             for fix in self.fixes[: base - self.base]:
@@ -66,7 +70,8 @@ class StayDetector:
 
     def push(self, lat: float, lon: float, t: float) -> list[tuple[int, int, bool]]:
         fix, fixes = (lat, lon, t), self.fixes
-        self.origin = self.origin or fix
+        if self.grid and self.origin is None:
+            self.origin = fix
         fixes.append(fix)
         c = first = self.base + len(fixes) - 1
         end = self.stay[1] if self.stay else -1
