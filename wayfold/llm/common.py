@@ -30,14 +30,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared scratch folder and read it back.
 
     The table survives lost executors, because it is on shared storage and not in an executor's cache.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,6 +67,11 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def broadcast_by_bytes(df: DataFrame, size: Column) -> DataFrame:
+    """Broadcast hint for a written table whose rows' ``size`` sums to no more than BROADCAST_BYTES."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """``names`` with as many underscores before them as it takes to clash with no column of ``docs``, letter case aside."""
     taken, lead = {c.lower() for c in docs.columns}, "_"

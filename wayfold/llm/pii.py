@@ -1,17 +1,23 @@
 """Information-theoretic removal of personal data. DataFrame operations only.
 
 Emails, addresses, cards, phone numbers and credentials (keys, tokens and passwords behind their label, or of a published form) are
-found by pattern and are the protected entities. Then co-occurrence over the corpus says what else reveals them: for a term t in a document with an entity e, the pointwise mutual information
-log(p(t, e) / (p(t) p(e))) against the information content of the entity, -log p(e), is the share of the entity that the term
-discloses. Terms that disclose at least ``GENERALISE`` of any entity become their class (a number, a name, a word);
-from ``REMOVE`` on they go, in every row that holds them. Both sides of the co-occurrence are counted over whole documents,
-their entities left out. The digest of base spans covers the first four kinds only. All pairs are scored, however rare: p(e | t) is (n(t, e) + SMOOTH p(e)) / (n(t) + SMOOTH), so a few
-documents count for less than many, and a name in the only document of an entity still discloses it.
+found by pattern and are the protected entities. Then co-occurrence over the corpus says what else reveals them. A term t discloses an
+entity e if all of these hold, n(t), n(e) and n(t, e) being numbers of rows:
+
+* the lower confidence bound (``Z`` deviations, Wilson's) on p(e | t) is ``GENERALISE`` or more: seeing t leaves at most one bit about e;
+* that bound gives at least ``GAIN`` bits over p(e): it is eight times as likely with t, so what every eighth row holds is nobody's secret;
+* chance does not explain it: of all pairs of a term of t's frequency and an entity of e's, were each occurrence of the term dealt to a
+  row in proportion to its number of terms, fewer than ``CHANCE`` would be expected to meet so often (Chernoff's bound on the binomial tail);
+* at most ``ALIKE`` terms stand to e exactly as t does, with equal n(t) and n(t, e). Counts cannot tell such terms apart, and
+  the rare words of one document, or of copies of it, are many where names are few.
+
+Each looks at e's own rows and at t's own frequency, so thresholds do not drift as a corpus grows. Disclosing terms become
+their class (a number, a name, a word); those whose bound is ``REMOVE`` or more go, in every row that holds them. Both sides of the
+co-occurrence are counted over whole documents, their entities left out. The digest of base spans covers the first four kinds only.
 
 Places come from cutting a text at a pattern: the lengths of gaps and matches add up to code point offsets. Patterns are written so that
-they neither rescan runs nor recurse, and each runs only on texts that can hold a match. Document frequencies cover all
-documents; texts are scanned again for each step (the patterns cost less than a copy on disk; only rows with entities are
-written once), rows are named by a hash of their text, and texts shuffle only if the rows' disclosing terms exceed a broadcast.
+they neither rescan runs nor recurse, and each runs only on texts that can hold a match, once: texts are written with their spans.
+Document frequencies cover all documents; rows are named by a hash of their text, and texts shuffle only if the rows' disclosing terms exceed a broadcast.
 Two steps keep pairs few and lose none: entities that occur in the same rows are one class, and a term in more documents than could
 still disclose an entity (``most_documents``) does not meet it.
 
@@ -21,10 +27,13 @@ outside base spans; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, sized_broadcast, text_of
+from wayfold.llm.common import broadcast_by_bytes, materialize, text_of
 
 #: In the order in which equal starts are listed. The patterns equal the plain ones in meaning: possessive groups where
 #: nothing follows that could need the characters back, and a run is entered at its start or after a match.
@@ -48,26 +57,52 @@ BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"[\p{L}\p{N}]{2,}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
-#: Documents that count as seen before any, and the shares from which terms are generalised and removed.
-SMOOTH, GENERALISE, REMOVE = 0.5, 0.9, 0.97
+#: Bounds on p(entity | term) from which terms are generalised and removed, and the deviations below the estimate at which the bound lies.
+GENERALISE, REMOVE, Z = 0.5, 0.9, 1.0
+#: Bits that a term must give; terms that chance may be expected to tie to an entity; terms alike among which names cannot be told.
+GAIN, CHANCE, ALIKE = 3.0, 0.05, 8
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _places(text: Column, pattern, kind: int) -> Column:
-    """Spans of a pattern's matches: array<struct<start, kind, end, value>>."""
+    """Spans of a pattern's matches: array<struct<start, kind, end, value>>. Offsets add up in blocks of as many matches as there are
+    blocks, as an array that a fold appends to is copied each time."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(gaps) - 1), lambda m, g: F.struct(m.alias("m"), g.alias("g"), F.length(m).alias("n")))
-    return F.aggregate(
-        pairs,
-        F.struct(F.array().cast(_SPAN).alias("out"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(
-            F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["g"] + x["n"]).alias("end"), x["m"].alias("value"))).alias("out"),
-            (acc["at"] + x["g"] + x["n"]).alias("at"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pairs = _let(gaps, lambda g: F.zip_with(found, F.slice(g, 1, F.size(g) - 1), lambda m, g: F.struct(m.alias("m"), g.alias("g"), F.length(m).alias("n"))))
+    none = F.array().cast(_SPAN)
+
+    def span(at: Column, size: Column, value: Column) -> Column:
+        return F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + size).alias("end"), value.alias("value"))
+
+    def block(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(none.alias("out"), F.lit(0).alias("at")),
+            lambda acc, x: F.struct(F.array_append(acc["out"], span(acc["at"] + x["g"], x["n"], x["m"])).alias("out"), (acc["at"] + x["g"] + x["n"]).alias("at")),
+        )
+
+    def joined(all_pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_pairs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / width).cast("int")), lambda k: block(F.slice(all_pairs, k * width + 1, width)))
+        spans = F.aggregate(
+            blocks,
+            F.struct(F.array().cast(f"array<{_SPAN}>").alias("out"), F.lit(0).alias("at")),
+            lambda acc, x: F.struct(
+                F.array_append(acc["out"], F.transform(x["out"], lambda s: span(acc["at"] + s["start"], s["end"] - s["start"], s["value"]))).alias("out"),
+                (acc["at"] + x["at"]).alias("at"),
+            ),
+            lambda acc: acc["out"],
+        )
+        return F.when(F.size(all_pairs) > 0, F.flatten(spans)).otherwise(none)
+
+    return _let(pairs, joined)
 
 
 def _digits(value: Column) -> Column:
@@ -117,72 +152,110 @@ def _entity(span: Column) -> Column:
 
 
 def _masked() -> Column:
-    """The text with spaces for its entities: what is left to disclose them, at the same places."""
-    done = F.aggregate(
-        "entities",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"]))).alias("out"),
-            F.greatest(s["end"], acc["at"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return F.when(F.size("entities") > 0, done).otherwise(F.col("text"))
-
-
-def _words(rows: DataFrame) -> DataFrame:
-    """row, term: the distinct terms of each row's whole text outside its entities."""
-    return rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(_masked(), F.lit(TERM), F.lit(0)))).alias("term"))
+    """The text with spaces for its entities: what is left to disclose them, at the same places. Entities go in blocks, each with
+    the piece of the text from the furthest end before it to the furthest end in it."""
+    n = F.size("entities")
+    width = F.ceil(F.sqrt(n)).cast("int")
+    last = F.floor((n - 1) / width).cast("int")
+
+    def furthest(count: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.slice("entities", F.lit(1), count), lambda s: s["end"])), F.lit(0))
+
+    def block(b: Column) -> Column:
+        return F.aggregate(
+            b["spans"],
+            F.struct(F.array().cast("array<string>").alias("out"), b["begin"].alias("at")),
+            lambda acc, s: F.struct(
+                F.array_append(
+                    acc["out"],
+                    F.concat(
+                        F.substring(b["piece"], acc["at"] - b["begin"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                        F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"])),
+                    ),
+                ).alias("out"),
+                F.greatest(s["end"], acc["at"]).alias("at"),
+            ),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(b["piece"], acc["at"] - b["begin"] + 1, F.length(b["piece"]))),
+        )
+
+    def bounds(k: Column) -> Column:
+        end = F.when(k == last, F.length("text")).otherwise(furthest((k + 1) * width))
+        return F.struct(k.alias("k"), furthest(k * width).alias("begin"), end.alias("end"))
+
+    def filled(x: Column) -> Column:
+        piece = F.substring(F.col("text"), x["begin"] + 1, x["end"] - x["begin"])
+        return F.struct(F.slice("entities", x["k"] * width + 1, width).alias("spans"), x["begin"].alias("begin"), piece.alias("piece"))
+
+    pieces = F.transform(F.transform(F.transform(F.sequence(F.lit(0), last), bounds), filled), block)
+    return F.when(n > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
+
+
+def _terms() -> Column:
+    """The distinct terms of a whole text outside its entities."""
+    return F.array_distinct(F.regexp_extract_all(_masked(), F.lit(TERM), F.lit(0)))
 
 
 def _classes(found: DataFrame) -> DataFrame:
-    """row, classes: the entities of each row, those that occur in the same rows as one, with their number of rows n."""
-    entities = found.select("row", F.explode(F.array_distinct(F.transform("entities", _entity))).alias("entity"))
-    shared = entities.groupBy("entity").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mix")).where("n > 1")
-    shared = materialize(shared.select("entity", F.struct("n", "first", "last", "mix").alias("class")), "pii-shared")
-    alone = F.struct(F.lit(1).cast("long").alias("n"), F.col("row").alias("first"), F.col("row").alias("last"), F.xxhash64("row").alias("mix"))
-    named = entities.join(sized_broadcast(shared, shared.count() * 4), "entity", "left")
+    """row, classes: the entities of each row, those that occur in the same rows as one, with their number of rows n and of terms in them, held."""
+    entities = found.select("row", F.size("terms").cast("long").alias("n_terms"), F.explode(F.array_distinct(F.transform("entities", _entity))).alias("entity"))
+    shared = entities.groupBy("entity").agg(
+        F.count("*").alias("n"), F.sum("n_terms").alias("held"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mix")
+    ).where("n > 1")
+    shared = materialize(shared.select("entity", F.struct("n", "held", "first", "last", "mix").alias("class")), "pii-shared")
+    alone = F.struct(F.lit(1).cast("long").alias("n"), F.col("n_terms").alias("held"), F.col("row").alias("first"), F.col("row").alias("last"), F.xxhash64("row").alias("mix"))
+    named = entities.join(broadcast_by_bytes(shared, F.octet_length("entity") + 64), "entity", "left")
     return named.groupBy("row").agg(F.collect_set(F.coalesce("class", alone)).alias("classes"))
 
 
-def share_of(total: int, entity: Column, term: Column, both: Column) -> Column:
-    """The share of an entity's information that a term discloses, from the documents that hold each and both."""
-    p = entity / float(total)
-    information = -F.log(p)
-    mutual = F.log((both + SMOOTH * p) / (term + SMOOTH)) + information
-    return F.when(information > 0, mutual / information).otherwise(0.0)
+def lower_bound(both: Column, term: Column) -> Column:
+    """The lower confidence bound on p(entity | term) from the rows that hold the term, and both."""
+    return (both + Z * Z / 2 - Z * F.sqrt(both * (term - both) / term + Z * Z / 4)) / (term + Z * Z)
+
+
+def log_chance(both: Column, term: Column, part: Column, pairs: Column) -> Column:
+    """The logarithm of how many of ``pairs`` pairs of a term and an entity, whose rows hold ``part`` of all terms, are expected to meet as often."""
+    p = both / term
+    rest = F.when(both < term, (1 - p) * F.log((1 - p) / (1 - part))).otherwise(0.0)
+    return F.log(pairs) - F.when(p > part, term * (p * F.log(p / part) + rest)).otherwise(0.0)
 
 
-def most_documents(total: int, entity: Column) -> Column:
-    """In how many documents a term can be and still disclose ``GENERALISE`` of an entity: share_of with each of the entity's as both."""
-    p = entity / float(total)
-    return (entity + SMOOTH * p) * F.pow(p, F.lit(GENERALISE - 1)) * (1 + 1e-9) - SMOOTH
+def most_documents(entity: Column) -> Column:
+    """In how many documents a term can be and still disclose an entity: the bound lies below the estimate, and that is at most entity / term."""
+    return entity / GENERALISE
 
 
 def disclosures(rows: DataFrame) -> DataFrame:
-    """term, share: the most that a term discloses of an entity, from ``GENERALISE`` on. ``rows``: row, entities, text."""
-    total = max(rows.select("row").count(), 1)
-    found = materialize(rows.where(F.size("entities") > 0).select("row", "entities", "text"), "pii-found")
+    """term, share: the highest bound of the entities that a term discloses. ``rows``: row, entities, text."""
+    found = materialize(rows.where(F.size("entities") > 0).select("row", "entities", _terms().alias("terms")), "pii-found")
     classes = materialize(_classes(found), "pii-classes")
     top = classes.agg(F.max(F.array_max(F.transform("classes", lambda c: c["n"])))).first()[0] or 1
-    counted = _words(rows).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= most_documents(total, F.lit(top)))
-    counted = materialize(counted, "pii-words")
-    near = _words(found).join(sized_broadcast(counted, counted.count() * 2), "term").join(sized_broadcast(classes, classes.count() * 4), "row")
-    able = F.filter("classes", lambda c: F.col("n_term") <= most_documents(total, c["n"]))
+    words = materialize(rows.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-words")
+    total, held = max(rows.count(), 1), words.agg(F.sum("n_term")).first()[0] or 1
+    counted = words.where(F.col("n_term") <= most_documents(F.lit(top)))
+    alike = materialize(counted.groupBy("n_term").agg(F.count("*").alias("n_alike")), "pii-frequencies")
+    sizes = materialize(classes.select(F.explode("classes").alias("class")).distinct().groupBy(F.col("class.n").alias("n_entity")).agg(F.count("*").alias("n_like")), "pii-sizes")
+    near = found.select("row", F.explode("terms").alias("term")).join(broadcast_by_bytes(counted, F.octet_length("term") + 16), "term")
+    near = near.join(broadcast_by_bytes(classes, F.size("classes") * 48 + 16), "row")
+    able = F.filter("classes", lambda c: F.col("n_term") <= most_documents(c["n"]))
     pairs = near.select("term", "n_term", F.explode(able).alias("class")).groupBy("class", "term", "n_term").agg(F.count("*").alias("n_both"))
-    shares = pairs.select("term", share_of(total, F.col("class.n"), F.col("n_term"), F.col("n_both")).alias("share"))
-    return shares.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
+    bound = lower_bound(F.col("n_both"), F.col("n_term"))
+    bounded = pairs.withColumn("share", bound).where((F.col("share") >= GENERALISE) & (F.col("share") * total >= F.col("class.n") * 2**GAIN))
+    chance = log_chance(F.col("n_both"), F.col("n_term"), F.col("class.held") / float(held), F.col("n_alike") * F.col("n_like"))
+    tied = bounded.join(broadcast_by_bytes(alike, F.lit(16)), "n_term").join(broadcast_by_bytes(sizes, F.lit(16)), F.col("class.n") == F.col("n_entity")).where(chance <= math.log(CHANCE))
+    told = tied.withColumn("n_same", F.count("*").over(Window.partitionBy("class", "n_term", "n_both"))).where(F.col("n_same") <= ALIKE)
+    return told.groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, entities and terms (spans by start), shares, text where there are any spans."""
     text = text_of(docs)
-    based = docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), entity_spans(text).alias("entities"), text.alias("text"))
+    based = materialize(docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), entity_spans(text).alias("entities"), text.alias("text")), "pii-texts", "zstd")
     shares = materialize(disclosures(based), "pii-shares")
-    hits = _words(based).join(sized_broadcast(shares, shares.count() * 2), "term").groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
+    words = based.select("row", F.explode(_terms()).alias("term"))
+    hits = words.join(broadcast_by_bytes(shares, F.octet_length("term") + 16), "term").groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
     hits = materialize(hits, "pii-hits")
-    n_hits = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
-    marked = based.join(sized_broadcast(hits, n_hits * 2), "row", "left")
+    size = F.aggregate("hits", F.lit(16), lambda n, h: n + F.octet_length(h["term"]) + 24)
+    marked = based.join(broadcast_by_bytes(hits, size), "row", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("hits", lambda h: h["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     places = F.when(F.col("hits").isNotNull(), _places(_masked(), pattern, TERM_KIND)).otherwise(F.array().cast(_SPAN))
     some = F.when((F.size("entities") > 0) | F.col("hits").isNotNull(), F.col("text"))
@@ -208,12 +281,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # of spans that meet, the first stays
     done = F.aggregate(
         F.sort_array(F.concat("entities", "terms")),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
-            F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), put(s)).alias("out"), s["end"].alias("at")),
+            F.struct(F.array_append(acc["out"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), put(s))).alias("out"), s["end"].alias("at")),
         ).otherwise(acc),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
     return found.select("doc_id", done.alias("clean"))
 
