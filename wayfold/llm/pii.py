@@ -16,8 +16,10 @@ their class (a number, a name, a word); those whose bound is ``REMOVE`` or more
 co-occurrence are counted over whole documents, their entities left out. The digest of base spans covers the first four kinds only.
 
 Places come from cutting a text at a pattern: the lengths of gaps and matches add up to code point offsets. Patterns are written so that
-they neither rescan runs nor recurse, and each runs only on texts that can hold a match, once: texts are written with their spans.
-Document frequencies cover all documents; rows are named by a hash of their text, and texts shuffle only if the rows' disclosing terms exceed a broadcast.
+they neither rescan runs nor recurse, and each runs only on texts that can hold a match: once for what discloses, once for the result
+(a copy of the texts with their spans would save the second and cost more disk than the input). Document frequencies cover all documents:
+terms are counted in texts as they are, and rows with entities, which are written, give what the entities add to or take from the
+counts. Rows are named by a hash of their text, and texts shuffle only if the rows' disclosing terms exceed a broadcast.
 Two steps keep pairs few and lose none: entities that occur in the same rows are one class, and a term in more documents than could
 still disclose an entity (``most_documents``) does not meet it.
 
@@ -190,14 +192,14 @@ def _masked() -> Column:
     return F.when(n > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
 
 
-def _terms() -> Column:
-    """The distinct terms of a whole text outside its entities."""
-    return F.array_distinct(F.regexp_extract_all(_masked(), F.lit(TERM), F.lit(0)))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
 def _classes(found: DataFrame) -> DataFrame:
     """row, classes: the entities of each row, those that occur in the same rows as one, with their number of rows n and of terms in them, held."""
-    entities = found.select("row", F.size("terms").cast("long").alias("n_terms"), F.explode(F.array_distinct(F.transform("entities", _entity))).alias("entity"))
+    entities = found.select("row", F.size("terms").cast("long").alias("n_terms"), F.explode("names").alias("entity"))
     shared = entities.groupBy("entity").agg(
         F.count("*").alias("n"), F.sum("n_terms").alias("held"), F.min("row").alias("first"), F.max("row").alias("last"), F.bit_xor(F.xxhash64("row")).alias("mix")
     ).where("n > 1")
@@ -224,12 +226,20 @@ def most_documents(entity: Column) -> Column:
     return entity / GENERALISE
 
 
-def disclosures(rows: DataFrame) -> DataFrame:
-    """term, share: the highest bound of the entities that a term discloses. ``rows``: row, entities, text."""
-    found = materialize(rows.where(F.size("entities") > 0).select("row", "entities", _terms().alias("terms")), "pii-found")
+def _found(rows: DataFrame) -> DataFrame:
+    """Rows with entities: row, names of their entities, terms outside them, raw terms that only the whole text has, new ones that only the rest has."""
+    some = rows.where(F.size("entities") > 0).select("row", F.array_distinct(F.transform("entities", _entity)).alias("names"), _terms(_masked()).alias("terms"), _terms(F.col("text")).alias("raw"))
+    return materialize(some.select("row", "names", "terms", F.array_except("raw", "terms").alias("raw"), F.array_except("terms", "raw").alias("new")), "pii-found")
+
+
+def disclosures(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """term, share: the highest bound of the entities that a term discloses. ``rows``: row, text; ``found``: those with entities."""
     classes = materialize(_classes(found), "pii-classes")
     top = classes.agg(F.max(F.array_max(F.transform("classes", lambda c: c["n"])))).first()[0] or 1
-    words = materialize(rows.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-words")
+    plain = rows.select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).alias("one"))
+    for own, one in (("raw", -1), ("new", 1)):
+        plain = plain.unionByName(found.select(F.explode(own).alias("term"), F.lit(one).alias("one")))
+    words = materialize(plain.groupBy("term").agg(F.sum("one").alias("n_term")).where("n_term > 0"), "pii-words")
     total, held = max(rows.count(), 1), words.agg(F.sum("n_term")).first()[0] or 1
     counted = words.where(F.col("n_term") <= most_documents(F.lit(top)))
     alike = materialize(counted.groupBy("n_term").agg(F.count("*").alias("n_alike")), "pii-frequencies")
@@ -249,10 +259,15 @@ def disclosures(rows: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, entities and terms (spans by start), shares, text where there are any spans."""
     text = text_of(docs)
-    based = materialize(docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), entity_spans(text).alias("entities"), text.alias("text")), "pii-texts", "zstd")
-    shares = materialize(disclosures(based), "pii-shares")
-    words = based.select("row", F.explode(_terms()).alias("term"))
-    hits = words.join(broadcast_by_bytes(shares, F.octet_length("term") + 16), "term").groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
+    based = docs.select(docs["doc_id"], F.xxhash64(text).alias("row"), entity_spans(text).alias("entities"), text.alias("text"))
+    found = _found(based)
+    shares = materialize(disclosures(based, found), "pii-shares")
+    told = broadcast_by_bytes(shares, F.octet_length("term") + 16)
+    # of rows with entities the terms outside them count, of others all
+    own = found.select("row", F.explode("terms").alias("term")).join(told, "term")
+    others = based.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(told, "term")
+    others = others.join(broadcast_by_bytes(found.select("row"), F.lit(16)), "row", "left_anti")
+    hits = own.unionByName(others).groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
     hits = materialize(hits, "pii-hits")
     size = F.aggregate("hits", F.lit(16), lambda n, h: n + F.octet_length(h["term"]) + 24)
     marked = based.join(broadcast_by_bytes(hits, size), "row", "left")
