@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -381,6 +383,23 @@ def quality_texts(n):
     return [(good(), 1) if i % 4 else (bad(), 0) for i in range(n)]
 
 
+def test_suffix_workers_hold_bounded_slices(monkeypatch):
+    """No part that a worker makes grows with its Arrow batch or with one document's pieces."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_ROWS", 10, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SLICE_PIECES", 7, raising=False)
+    units = [suffix_dedup.Unit(0, 40, 8), suffix_dedup.Unit(1, 10, 3)]
+    shared = types.SimpleNamespace(value=np.full((1 << suffix_dedup.BITMAP_BITS) // 64, -1, np.int64).tobytes())
+    texts = [" ".join(f"w{(k * j) % 211}" for j in range(20 + 40 * (k % 3))) for k in range(55)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(55)), pa.array(range(55)), pa.array(texts)], names=["doc_id", "h", "text"])
+    found = list(suffix_dedup._emit(units, shared)([batch]))
+    assert max(map(len, found)) <= 7
+    got = [(d, u, a) for b in found for d, u, a in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
+    assert got == [(k, u.number, int(a)) for k, t in enumerate(texts) for u in units for a in u.pieces(np.frombuffer(t.encode(), np.uint8))[2]]
+    rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([None] * 55, pa.list_(pa.struct([("unit", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])))], names=["doc_id", "text", "cuts"])
+    kept = list(suffix_dedup._cut({0: 40, 1: 10})([rows]))
+    assert max(map(len, kept)) <= 10 and [x.decode() for b in kept for x in b.column(7).to_pylist()] == texts
+
+
 def test_quality(spark):
     pairs = quality_texts(400)
     docs = documents(spark, [t for t, _ in pairs] + [None, ""])

@@ -95,15 +95,25 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(sized_broadcast(named, named.count()), same, "left_anti")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows; what is made from a part can be freed before the next."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def trim() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, and then what its task has freed goes back to the system: workers outlive their tasks, and idle ones count too."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            return  # another C library
+        trim()
 
     return whole

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import BROADCAST_BYTES, materialize, text_of
+from wayfold.llm.common import BROADCAST_BYTES, materialize, sliced, text_of, trim, trimmed
 
 LENGTH, GRAM = 400, 64
 #: Least words of a passage, and words of its anchor.
@@ -45,6 +45,8 @@ BITMAP_BITS = 27
 GROUP_PIECES, HOT_PIECES = 20_000, 4096
 #: Positions handled at once in one document.
 CHUNK = 1 << 22
+#: Rows of documents, and found pieces, that a worker holds at a time; an Arrow batch may have ten times as many rows.
+SLICE_ROWS, SLICE_PIECES = 1_000, 8_192
 
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -179,7 +181,7 @@ class Unit:
 
 def _anchor_counts(units: list[Unit]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SLICE_ROWS):
             found = [u.pieces(d)[0] for d in _bytes(batch, 0) for u in units]
             if found:
                 keys, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -202,7 +204,13 @@ def _emit(units: list[Unit], shared):
         bitmap = np.frombuffer(shared.value, np.int64)
         sent: set[bytes] = set()
         names = ["doc_id", "h", "unit", "first", "n", "key", "anchor", "offset", "body"]
-        for batch in batches:
+
+        def held(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            take, unit, first, n, key, anchor, offset, body = zip(*rows)
+            kept = batch.select([0, 1]).take(pa.array(take))
+            return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(unit, pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(anchor, pa.int64()), pa.array(offset, pa.int32()), pa.array(body, pa.binary())], names=names)
+
+        for batch in sliced(batches, SLICE_ROWS):
             rows: list[tuple] = []
             for k, data in enumerate(_bytes(batch, 2)):
                 for u in units:
@@ -217,10 +225,11 @@ def _emit(units: list[Unit], shared):
                                 sent.clear()
                             sent.add(key)
                         rows.append((k, u.number, int(first[j]), int(n[j]), key, int(anchors[j].view(np.int64)), offset, body if new else None))
+                        if len(rows) >= SLICE_PIECES:
+                            yield held(batch, rows)
+                            rows = []
             if rows:
-                take, unit, first, n, key, anchor, offset, body = zip(*rows)
-                kept = batch.select([0, 1]).take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(unit, pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(anchor, pa.int64()), pa.array(offset, pa.int32()), pa.array(body, pa.binary())], names=names)
+                yield held(batch, rows)
 
     return run
 
@@ -306,6 +315,7 @@ def _compare(units: list[Unit]):
             shift = left - offset[rows]
             out += zip([keys[take[r]] for r in rows], (a - shift).tolist(), (b - shift).tolist())
         cols = list(zip(*out)) or [[], [], []]
+        trim()
         return pa.table({"key": pa.array(cols[0], pa.binary()), "a": pa.array(cols[1], pa.int64()), "b": pa.array(cols[2], pa.int64())})
 
     return run
@@ -342,10 +352,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeats_of_hot(bodies: DataFrame, units: list[Unit]) -> DataFrame:
     """key, a, b for the pieces of anchors that have too many to compare in one task; no group is held anywhere."""
     pieces_ = bodies.groupBy("key").agg(F.first("unit").alias("unit"), F.first("body").alias("body"))
-    starts = materialize(pieces_.mapInArrow(_named_starts(units), "key binary, at long, x long, y long"), "suffix-starts")
+    starts = materialize(pieces_.mapInArrow(trimmed(_named_starts(units)), "key binary, at long, x long, y long"), "suffix-starts")
     twice = starts.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
     places = starts.join(twice, ["x", "y"], "left_semi").groupBy("key").agg(F.collect_list("at").alias("places"))  # at most length - gram + 1 each
-    return places.mapInArrow(_runs, "key binary, a long, b long")
+    return places.mapInArrow(trimmed(_runs), "key binary, a long, b long")
 
 
 def _merge_cuts(lengths: dict[int, int]):
@@ -371,7 +381,7 @@ def _merge_cuts(lengths: dict[int, int]):
 def _cut(lengths: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", "kept"]
-        for batch in batches:
+        for batch in sliced(batches, SLICE_ROWS):
             numbers, digest, kept = [], [], []
             for data, cuts in zip(_bytes(batch, 1), batch.column(2).to_pylist()):
                 out, at, spans, passages, words = [], 0, 0, 0, 0
@@ -404,10 +414,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     text = text_of(docs)
     rows = docs.select(docs["doc_id"], F.xxhash64(text).alias("h"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = rows.select("text").mapInArrow(_anchor_counts(units), "anchor long, n long, word long, mask long")
+    counted = rows.select("text").mapInArrow(trimmed(_anchor_counts(units)), "anchor long, n long, word long, mask long")
     shared = spark.sparkContext.broadcast(_bitmap(counted))
     schema = f"doc_id {kind}, h long, unit int, first long, n long, key binary, anchor long, offset int, body binary"
-    listed = materialize(rows.mapInArrow(_emit(units, shared), schema), "suffix-pieces")
+    listed = materialize(rows.mapInArrow(trimmed(_emit(units, shared)), schema), "suffix-pieces")
     bodies = listed.where("body IS NOT NULL").select("unit", "key", "anchor", "offset", "n", "body")
     buckets = max(1, bodies.count() // GROUP_PIECES)
     hot = materialize(bodies.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT_PIECES).select("anchor"), "suffix-hot")
@@ -421,10 +431,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     spans = materialize(whole.select("key", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).unionByName(partial.join(whole.select("key"), "key", "left_anti")), "suffix-repeats")
     places = listed.select("doc_id", "h", "unit", "first", "key").join(spans, "key").select("doc_id", "h", "unit", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     cuts = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("unit", "a", "b")).alias("cuts"))
-    cuts = materialize(cuts.mapInArrow(_merge_cuts(lengths), f"doc_id {kind}, h long, cuts array<struct<unit:int,a:long,b:long>>"), "suffix-cuts")
+    cuts = materialize(cuts.mapInArrow(trimmed(_merge_cuts(lengths)), f"doc_id {kind}, h long, cuts array<struct<unit:int,a:long,b:long>>"), "suffix-cuts")
     n = cuts.agg(F.sum(48 + 24 * F.size("cuts"))).first()[0] or 0
     cuts = cuts.withColumnsRenamed({"doc_id": "d", "h": "g"})
     cuts = F.broadcast(cuts) if n <= BROADCAST_BYTES else cuts
     joined = rows.join(cuts, rows["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, kept binary"
-    return joined.select("doc_id", "text", "cuts").mapInArrow(_cut(lengths), schema)
+    return joined.select("doc_id", "text", "cuts").mapInArrow(trimmed(_cut(lengths)), schema)
