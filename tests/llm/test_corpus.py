@@ -559,6 +559,20 @@ def test_far_codes_are_found_by_probing():
     assert index.visited == int((each <= flips).any(axis=1).sum()) < index.n and index.probed == index.m * sum(len(f) for f in index.flips[: flips + 1])
 
 
+def test_each_level_asks_all_tables_at_once(monkeypatch):
+    """One lookup a level, however many tables there are; what it finds is what the tables hold."""
+    codes = np.random.default_rng(6).integers(0, 2**63, (1500, 2), dtype=np.uint64)
+    codes[300:340] = codes[3]
+    index, lookups = neighbours.MultiIndex(codes), []
+    real = neighbours.MultiIndex._found
+    monkeypatch.setattr(neighbours.MultiIndex, "_found", lambda self, *values: lookups.append(real(self, *values)) or lookups[-1])
+    got = np.sort(index.within(codes[0], 40))
+    d = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
+    assert got.tolist() == np.flatnonzero(d <= d[got].max()).tolist()
+    each = np.bitwise_count(index.codes.view(np.uint16) ^ codes[0].view(np.uint16))
+    assert [sorted(x.tolist()) for x in lookups] == [sorted(np.nonzero(each == r)[0].tolist()) for r in range(len(lookups))]
+
+
 def test_neighbours_of_repeated_ids(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 1.0]), (1, [0.5, 1.0]), (2, [9.0, 0.1])]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3)

@@ -54,7 +54,7 @@ def binary_codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> n
 class MultiIndex:
     """One table per 16-bit substring over the different codes of a shard."""
 
-    flips = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() == n], np.uint16) for n in range(SUBSTRING + 1)]
+    flips = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() == n], np.int64) for n in range(SUBSTRING + 1)]
 
     def __init__(self, codes: np.ndarray):
         order = np.lexsort(codes.T)
@@ -64,34 +64,35 @@ class MultiIndex:
         self.n, parts = len(self.codes), self.codes.view(np.uint16)
         self.m = parts.shape[1]
         self.rows = np.argsort(parts, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.starts = np.zeros((self.m, (1 << SUBSTRING) + 1), np.int32)
         self.probed = self.visited = self.asked = 0  # values, codes that they found, queries
-        for j in range(self.m):
-            self.starts[j, 1:] = np.cumsum(np.bincount(parts[:, j], minlength=1 << SUBSTRING))
-
-    def _found(self, j: int, values: np.ndarray) -> np.ndarray:
-        """Codes whose substring ``j`` is one of ``values``."""
-        a, b = self.starts[j, values], self.starts[j, values + 1]
-        some = a < b
-        a, counts = a[some].astype(np.int64), (b - a)[some]
-        return self.rows[j, np.repeat(a - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        # the tables end to end: entry j * 65536 + value has the rows from its start up to the next entry's
+        self.base = np.arange(self.m) << SUBSTRING
+        sizes = np.bincount((parts + self.base).ravel(), minlength=self.m << SUBSTRING)
+        self.held, self.starts = sizes > 0, np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        self.rows, self.words = self.rows.ravel(), self.codes.T.copy()
+
+    def _found(self, entries: np.ndarray) -> np.ndarray:
+        """Codes that the tables have at ``entries``, once for each table that has them."""
+        entries = entries[np.flatnonzero(self.held.take(entries))]  # most have no code: a small table tells them
+        a = self.starts[entries].astype(np.int64)
+        counts = self.starts[entries + 1] - a
+        return self.rows[np.repeat(a - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
 
     def within(self, code: np.ndarray, want: int) -> np.ndarray:
         """All rows within the smallest radius that holds at least ``want`` codes (or all)."""
-        parts = code.view(np.uint16)
+        own = (code.view(np.uint16) + self.base)[:, None]  # flips stay within an entry's 16 low bits
         marked = np.zeros(self.n, bool)
         want, bits, rows, distance = min(want, self.n), 64 * self.codes.shape[1], [], []
         held = np.zeros(bits + 1, np.int64)  # codes found, by distance
         self.asked += 1
         for r, masks in enumerate(self.flips):
             new = np.zeros(self.n, bool)
-            for j in range(self.m):
-                new[self._found(j, (parts[j] ^ masks).astype(np.int64))] = True
+            new[self._found((own ^ masks).ravel())] = True
             self.probed += self.m * len(masks)
             found = np.flatnonzero(new & ~marked)
             marked[found] = True
             rows.append(found)
-            distance.append(np.bitwise_count(self.codes[found] ^ code).sum(axis=1, dtype=np.int64))
+            distance.append(sum(np.bitwise_count(w[found] ^ c).astype(np.int16) for w, c in zip(self.words, code)))
             held += np.bincount(distance[-1], minlength=bits + 1)
             if held[: self.m * (r + 1)].sum() >= want:
                 break
