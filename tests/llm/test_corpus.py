@@ -400,6 +400,29 @@ def test_suffix_workers_hold_bounded_slices(monkeypatch):
     assert max(map(len, kept)) <= 10 and [x.decode() for b in kept for x in b.column(7).to_pylist()] == texts
 
 
+def test_slices_of_texts_score_as_single_words_do(monkeypatch):
+    """All different words of a slice at once give what word_entries and pair_entries give one by one; slices are bounded."""
+    rng = random.Random(4)
+    spaces = [" ", "  ", "\t", "\n", "\u00a0", "\u2003", "\x1c", "\x85", " \u3000"]
+    words = ["a", "it", "Straße", "naïve", "日本語", "😀x😀", "\x00", "z" * 300, "🙂", "word", "word,", "é", "e\u0301"]
+    texts = ["", " ", "a", "a a a", " \u3000word ", *("".join(rng.choice(spaces) * rng.randrange(1, 3) + rng.choice(words) for _ in range(rng.randrange(1, 90))) + rng.choice(["", " "]) for _ in range(60))]
+    odds = np.random.default_rng(3).normal(size=2 * quality._SIZE).astype(np.float32)
+    want = []
+    for text in texts:
+        parts = text.split()
+        entries = [e for w in parts for e in quality.word_entries(w)]
+        entries += quality.pair_entries(np.array([quality._hash(w) for w in parts], np.uint64)).tolist() if parts else []
+        want.append(odds[entries].astype(float).mean() if entries else 0.0)
+    assert np.allclose(quality.log_odds(pa.array(texts), odds), want, atol=1e-9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(quality, "SLICE_BYTES", 400)
+    monkeypatch.setattr(quality, "SLICE_ROWS", 3)
+    parts = list(quality.slices(batch.slice(2)))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(2, len(texts)))
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t.encode()) for t in p.column(1).to_pylist()) <= 400) for p in parts)
+    assert np.allclose(np.concatenate([quality.log_odds(p.column(1), odds) for p in parts]), want[2:], atol=1e-9)
+
+
 def test_quality(spark):
     pairs = quality_texts(400)
     docs = documents(spark, [t for t, _ in pairs] + [None, ""])

@@ -7,7 +7,7 @@ repetition is visible whatever is repeated. A softmax over two classes follows.
 length of the document's feature vector, so that long and short documents move the average alike.
 
 Scoring is linear after averaging: each table entry reduces to one number, the log odds it adds, and a word to a
-sum and a count, remembered per worker in a table of bounded size. Every row is scored in one pass, without a shuffle.
+sum and a count, found for all different words of a slice of rows at once. Every row is scored in one pass, without a shuffle.
 
 Defined results: a null or blank text has no features and gets the model's bias; rows with a null label or doc_id do not
 train; an id labelled twice counts with its lower label; without both classes the model is flat and every score is the share
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +30,13 @@ from wayfold.llm.common import materialize, text_of, trimmed, without
 TRAIN_ROWS, TRAIN_BYTES = 3_000, 64 << 20
 BITS, DIM, GRAMS = 18, 8, (3, 4, 5)
 STEPS, RATE, SEED = 12_000, 0.25, 7
-CACHE_WORDS = 150_000
+#: Bytes of text, and rows, that a worker scores at once; a longer text is scored alone.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2_000
 THRESHOLD = 0.7
 
 _SIZE = 1 << BITS
 _SAME = 2 * _SIZE - 1  # the entry of a pair of equal words
+_CRC = np.array([zlib.crc32(bytes([255 ^ k])) ^ 0xFF000000 for k in range(256)], np.uint32)  # what a byte adds to the register
 
 
 def word_entries(word: str) -> list[int]:
@@ -139,6 +142,72 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> tuple[np
     return train(frame["text"].tolist(), [int(x > 0) for x in frame["label"]])
 
 
+def _crc_steps(state: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """zlib.crc32 of each string ``data[begin:end]``, carried on from ``state``."""
+    crc, longest = ~state, int((end - begin).max(initial=0))
+    least = int((end - begin).min(initial=longest))
+    for k in range(longest):
+        at = slice(None) if k < least else np.flatnonzero(end - begin > k)
+        c = crc[at]
+        crc[at] = _CRC[(c ^ data[begin[at] + k]) & 255] ^ (c >> np.uint32(8))
+    return ~crc
+
+
+def word_odds(words: pa.Array, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By word: the sum of ``odds`` over its ``word_entries``, how many these are, and its ``_hash``."""
+    plain = [w.encode() for w in words.to_pylist()]
+    crc = zlib.crc32
+    hashes = np.fromiter(map(crc, plain), np.int64, len(plain)) + 1
+    marked = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x.cast(pa.large_string()) for x in ("<", words, ">", "")))
+    ends = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    data = np.frombuffer(marked.buffers()[2], np.uint8)
+    first = np.flatnonzero((data[: ends[-1]] & 0xC0) != 0x80)  # byte of each character
+    start = np.searchsorted(first, ends)  # characters before each word
+    size = np.diff(start)
+    first = np.r_[first, ends[-1:]]
+    opened = crc(b"<")
+    whole = np.fromiter((crc(b">", crc(w, opened)) for w in plain), np.int64, len(plain)) & (_SIZE - 1)
+    sums, counts = odds[whole].astype(np.float64), np.ones(len(plain), np.int64)
+    owner = np.repeat(np.arange(len(plain)), size)
+    place = np.arange(len(owner)) - np.repeat(start[:-1], size)
+    for n in GRAMS:
+        at = np.flatnonzero(place + n <= size[owner])
+        entries = _crc_steps(np.full(len(at), n, np.uint32), data, first[at], first[at + n]) & np.uint32(_SIZE - 1)
+        sums += np.bincount(owner[at], odds[entries], len(plain))
+        counts += np.maximum(size - n + 1, 0)
+    return sums, counts, hashes.astype(np.uint64)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most SLICE_ROWS rows and SLICE_BYTES of text (column 1), or one row."""
+    before = np.r_[0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))]
+    a = 0
+    while a < batch.num_rows:
+        b = min(a + SLICE_ROWS, max(a + 1, int(np.searchsorted(before, before[a] + SLICE_BYTES, side="right")) - 1), batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def log_odds(texts: pa.Array, odds: np.ndarray) -> np.ndarray:
+    """The mean of ``odds`` over the entries of each text's words and pairs; 0 without words."""
+    n = len(texts)
+    split = pc.utf8_split_whitespace(texts)  # at the characters of str.split
+    coded = split.flatten().dictionary_encode()
+    at, doc = coded.indices.to_numpy(), np.repeat(np.arange(n), pc.list_value_length(split).to_numpy())
+    empty = pc.index(coded.dictionary, "").as_py()  # before leading and after trailing white space
+    if empty >= 0:
+        at, doc = at[kept := at != empty], doc[kept]
+    if not len(at):
+        return np.zeros(n)
+    sums, counts, hashes = word_odds(coded.dictionary, odds)
+    total = np.bincount(doc, sums[at], n)
+    size = np.bincount(doc, counts[at], n)
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    total += np.bincount(doc[inside], odds[pair_entries(hashes[at])[inside]], n)
+    size += np.bincount(doc[inside], minlength=n)
+    return total / np.maximum(size, 1)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: str = "doc_id") -> DataFrame:
     """``keep`` and score (0 to 1: how likely label 1 is) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, fixed by BITS
@@ -146,36 +215,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, bias = shared.value
-        slot: dict[str, int] = {}
-        sums, counts, hashes = [], [], []
-
-        def add(words: set[str]) -> None:
-            for w in words:
-                entries = word_entries(w)
-                slot[w] = len(sums)
-                sums.append(float(odds[entries].sum()) if len(entries) > 12 else sum(map(odds.item, entries)))
-                counts.append(len(entries))
-                hashes.append(_hash(w))
-
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = text.split()
-                if not words:
-                    out.append(bias)
-                    continue
-                new = {w for w in words if w not in slot}
-                if new:
-                    if len(slot) > CACHE_WORDS:
-                        slot.clear(), sums.clear(), counts.clear(), hashes.clear()
-                        new = set(words)
-                    add(new)
-                at = [slot[w] for w in words]
-                pairs = pair_entries(np.array([hashes[k] for k in at], np.uint64))
-                total = sum([sums[k] for k in at]) + float(odds[pairs].sum(dtype=np.float64))
-                out.append(total / (sum([counts[k] for k in at]) + len(pairs)) + bias)
-            p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -700, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[keep, "score"])
+        for part in (p for b in batches for p in slices(b)):
+            z = log_odds(part.column(1), odds) + bias
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=[keep, "score"])
 
     return docs.select(docs[keep], text_of(docs).alias("text")).mapInArrow(trimmed(run), f"{keep} {kind}, score double")
 
