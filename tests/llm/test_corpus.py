@@ -77,6 +77,28 @@ def test_pieces_equal_the_library(library, text):
     assert own.digest(text) == (",".join(map(str, ids)), library.decode(ids))
 
 
+def test_pieces_of_many_words_are_encoded_once(library, monkeypatch):
+    """A task's vocabulary stays remembered: of 300,000 different words none is encoded again when the text comes back."""
+    own = piece_codec.PieceCodec(open(MODEL, "rb").read())
+    words = [f"{k:x}" for k in range(300_000)]
+    calls = collections.Counter()
+    monkeypatch.setattr(own, "_word", lambda word: calls.update([word]) or (word, " " + word))
+    for _ in range(2):
+        for k in range(0, len(words), 1000):
+            own.digest(" ".join(words[k : k + 1000]))
+    assert max(calls.values()) == 1 and len(calls) == len(words)
+
+
+def test_remembered_pairs_do_not_change_pieces(library):
+    """Pairs of tokens looked up before, cut characters and bytes give the library's ids, in any order of texts."""
+    own, rng = piece_codec.PieceCodec(open(MODEL, "rb").read()), random.Random(8)
+    letters = ["a", "e", "n", "th", "ing", "ß", "é", "ö", "7", ",", "\n", "日", "😀", "\u0301", "'", "Z"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for text in texts + texts[::-1]:
+        ids = library.encode(text)
+        assert own.encode(text) == ids and own.decode(ids) == library.decode(ids)
+
+
 def test_piece_documents(spark, library):
     got = {r.doc_id: r for r in piece_codec.encode_documents(documents(spark, TEXTS), MODEL, with_ids=True).collect()}
     for i, t in enumerate(TEXTS):

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from wayfold.llm.common import text_of, trimmed
 
 MARK = "▁"
-#: Remembered words in one Python worker; the table is emptied when full.
-CACHE_WORDS = 200_000
+#: Remembered words, and parts of words, in one Python worker; a table is emptied when full.
+CACHE_WORDS, CACHE_PARTS = 600_000, 200_000
 #: Rows whose texts, ids and digests a worker holds at a time; an Arrow batch may have ten times as many.
 SLICE_ROWS = 1_000
 
@@ -59,6 +59,13 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
+class _Follow(dict):
+    """Sets by character; a character without one has the empty set and is not added."""
+
+    def __missing__(self, key: str) -> frozenset:
+        return frozenset()
+
+
 class PieceCodec:
     """Encoder and decoder of one merge-type model with byte fallback and the identity normaliser."""
 
@@ -84,18 +91,23 @@ class PieceCodec:
         self.control = {i for i, (_, _, kind) in enumerate(pieces) if kind in (2, 3)}
         self.rank = {p: (-score, i) for i, (p, score, kind) in enumerate(pieces) if kind in (1, 4)}
         self.id_of = {p: i for p, (_, i) in self.rank.items()}
-        self.pairs = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        self.follow = _Follow()  # characters that stand after a character in some piece
+        for p in self.rank:
+            for a, b in zip(p, p[1:]):
+                self.follow.setdefault(a, set()).add(b)
         whole = [p for p in self.rank if self._merge(p) == [p]]
         self.tokens = set(whole)
+        self.bytes_of = [b"" if i in self.control else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.shorter: dict[str, str | None] = {}
         self.automaton = ahocorasick.Automaton()
         for p in whole:
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.tokens), None)
             self.automaton.add_word(p[::-1], p)
         self.automaton.make_automaton()
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[str, dict[str, bool]] = {}  # by left and right token
+        self._n_fits = 0
         self._parts: dict[str, tuple[str, str]] = {}
-        self._words: dict[str, tuple[str, str]] = {}
+        self._words: dict[str, str] = {}  # ids of words that decode to themselves
 
     def _merge(self, text: str) -> list[str]:
         """Merging by rank, leftmost first on ties: the definition, used on one token or a pair of tokens only."""
@@ -111,20 +123,19 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self._fits.get(key)
-        if known is None:
-            known = (a[-1] + b[0]) not in self.pairs or self._merge(a + b) == [a, b]
-            if len(self._fits) > 300_000:
-                self._fits.clear()
-            self._fits[key] = known
-        return known
+        self._n_fits += 1
+        if self._n_fits > 300_000:
+            self._fits.clear()
+            self._n_fits = 0
+        return b[0] not in self.follow[a[-1]] or self._merge(a + b) == [a, b]
 
     def tokenize(self, text: str) -> list[str]:
         """Tokens of a text without white space handling, by backtracking; an unknown character is a token of its own."""
         n = len(text)
         if n == 0:
             return []
+        if text in self.tokens:  # the longest token, and no neighbours
+            return [text]
         longest: list[str | None] = [None] * n
         seen = -1
         for end, piece in self.automaton.iter(text[::-1]):
@@ -134,15 +145,22 @@ class PieceCodec:
         open_ = bytearray(b"\x01") * (n + 1)  # bitfield: from here the rest may still be encoded
         tokens: list[str] = []
         shorter, fits, compatible = self.shorter, self._fits, self._compatible
+        row: dict[str, bool] | None
         at, token = 0, longest[0] or text[0]
         while True:
-            last = tokens[-1] if tokens else None
+            if tokens:
+                last = tokens[-1]
+                row = fits.get(last)
+                if row is None:
+                    row = fits[last] = {}
+            else:
+                row = None
             while True:
                 end = at + len(token)
                 if open_[end]:
-                    ok = True if last is None else fits.get((last, token))
+                    ok = True if row is None else row.get(token)
                     if ok is None:
-                        ok = compatible(last, token)
+                        ok = row[token] = compatible(last, token)
                     if ok:
                         tokens.append(token)
                         at = end
@@ -158,15 +176,16 @@ class PieceCodec:
                     break
                 token = less
 
-    def _cut(self, text: str) -> Iterator[str]:
+    def _cut(self, text: str) -> list[str]:
         """Parts that no token can reach across."""
-        a = 0
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in self.pairs:
-                yield text[a:k]
+        follow, parts, a = self.follow, [], 0
+        for k, (left, right) in enumerate(zip(text, text[1:]), 1):
+            if right not in follow[left]:
+                parts.append(text[a:k])
                 a = k
         if text:
-            yield text[a:]
+            parts.append(text[a:])
+        return parts
 
     def _part_ids(self, part: str) -> list[int]:
         ids: list[int] = []
@@ -182,13 +201,8 @@ class PieceCodec:
         return [i for part in self._cut(self._spaced(text)) for i in self._part_ids(part)]
 
     def _raw(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.control:
-                out += self.pieces[i].replace(MARK, " ").encode()
-        return out.decode(errors="replace")
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[i] for i in ids]).decode(errors="replace")
 
     def decode(self, ids: list[int]) -> str:
         text = self._raw(ids)
@@ -203,7 +217,7 @@ class PieceCodec:
                 nums = self._part_ids(part)
                 got = ",".join(map(str, nums)), self._raw(nums)
                 if len(part) <= 64 and len(part) <= len(word):  # a whole word is remembered by the caller
-                    if len(self._parts) >= CACHE_WORDS:
+                    if len(self._parts) >= CACHE_PARTS:
                         self._parts.clear()
                     self._parts[part] = got
             ids.append(got[0])
@@ -213,6 +227,7 @@ class PieceCodec:
     def forget(self) -> None:
         """Empty the tables of remembered encodings: a worker outlives its task, and the next one may be of another stage."""
         self._words.clear(), self._parts.clear(), self._fits.clear()
+        self._n_fits = 0
 
     def digest(self, text: str) -> tuple[str, str]:
         """Comma-joined ids and decoded text."""
@@ -221,17 +236,24 @@ class PieceCodec:
         if not self.dummy_prefix or "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
             ids = self.encode(text)
             return ",".join(map(str, ids)), self.decode(ids)
-        words, out = self._words, []
-        for word in text.split(" "):
-            got = words.get(word)
-            if got is None:
-                got = self._word(word)
-                if len(word) <= 64:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[word] = got
-            out.append(got)
-        return ",".join([g[0] for g in out]), "".join([g[1] for g in out])[1:]
+        words, parts = self._words, text.split(" ")
+        out = list(map(words.get, parts))
+        if None in out:
+            for k, got in enumerate(out):
+                if got is None:
+                    word = parts[k]
+                    got = words.get(word)
+                    if got is None:
+                        got, decoded = self._word(word)
+                        if decoded != " " + word:
+                            ids = self.encode(text)
+                            return ",".join(map(str, ids)), self.decode(ids)
+                        if len(word) <= 64:
+                            if len(words) >= CACHE_WORDS:
+                                words.clear()
+                            words[word] = got
+                    out[k] = got
+        return ",".join(out), " ".join(parts)  # each word's ids decode to a space and the word
 
 
 @lru_cache(maxsize=2)
