@@ -23,6 +23,24 @@ def test_spike_is_kept():
     assert k.douglas_peucker(lat, lon, 50.0).tolist() == [0, 2, 4] or 2 in k.douglas_peucker(lat, lon, 50.0)
 
 
+def test_the_first_of_equal_costs_leaves_the_buffer():
+    """A zigzag of whole numbers, where costs are often equal, against the plain rule: the least cost goes, the first of equals."""
+    rng = np.random.default_rng(2)
+    for n, capacity in ((60, 8), (40, 3), (90, 20)):
+        lat, lon, t = rng.integers(0, 3, n).astype(float), rng.integers(0, 2, n).astype(float), np.arange(n) * 5.0
+        held: list[int] = []
+        for i in range(n):
+            held.append(i)
+            if len(held) > capacity:
+                costs = []
+                for a, b, c in zip(held, held[1:], held[2:]):
+                    r = (t[b] - t[a]) / (t[c] - t[a])
+                    dy, dx = lat[b] - (lat[a] + (lat[c] - lat[a]) * r), lon[b] - (lon[a] + (lon[c] - lon[a]) * r)
+                    costs.append(float(np.sqrt(dy * dy + dx * dx)))
+                held.pop(costs.index(min(costs)) + 1)
+        assert k.squish(lat, lon, t, capacity).tolist() == held
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_short_inputs_pass(n):
     lat, lon, t = line(n)
