@@ -210,14 +210,30 @@ def road_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.select("obj_id", F.when(union == 0, F.lit(float("nan"))).otherwise(F.size(F.array_intersect("a", "b")) / F.when(union > 0, union)).alias("jaccard"))
 
 
-def latency_stats(latencies: DataFrame, column: str, keys=()) -> DataFrame:
-    """Count, mean, max, min and nearest-rank p95 (index rounded half to even).
+def ordered_means(rows: DataFrame, keys: list[str], means: dict[str, Column], order: list[str], *more: Column) -> DataFrame:
+    """``keys``, a mean for each of ``means`` (name -> value) whose sum is added up in ``order`` row by row, and ``more`` aggregates.
+
+    A sum of doubles depends on its order in the last digits, and a mean half-way between two rounded values on these: with an order given, the
+    result does not depend on how rows are dealt to tasks. The sum runs along a sorted partition, so no list of a key's values is held.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"_{n}": c for n, c in means.items()})
+    rows = rows.withColumns({f"_sum_{n}": F.sum(f"_{n}").over(so_far) for n in means})
+    return rows.groupBy(*keys).agg(*[(F.max_by(f"_sum_{n}", F.struct(*order)) / F.nullif(F.count(f"_{n}"), F.lit(0))).alias(n) for n in means], *more)
+
+
+def latency_stats(latencies: DataFrame, column: str, keys=(), order=()) -> DataFrame:
+    """Count, mean, max, min and nearest-rank p95 (index rounded half to even). ``order``: columns in whose order values are summed.
 
     The rank comes from counts of equal values, partially aggregated, so no list of a key's values is held.
     """
     one = [] if keys else ["_all"]
     keys, latencies = list(keys) or one, latencies.withColumns({c: F.lit(0) for c in one})
-    stats = latencies.groupBy(*keys).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.max(column).alias("max"), F.min(column).alias("min"))
+    count, most, least = F.count(column).alias("count"), F.max(column).alias("max"), F.min(column).alias("min")
+    if order:
+        stats = ordered_means(latencies, keys, {"mean": F.col(column)}, list(order), count, most, least).select(*keys, "count", "mean", "max", "min")
+    else:
+        stats = latencies.groupBy(*keys).agg(count, F.avg(column).alias("mean"), most, least)
     counts = latencies.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(column))
     rank = F.rint(0.95 * (F.sum("_n").over(Window.partitionBy(*keys)) - 1)) + 1
