@@ -43,17 +43,18 @@ def order_statistics(rows: DataFrame, ranks: dict[tuple, list[int]], bounds: dic
         todo = {(tuple(x["k"]), x["r"]): (x["lo"], x["hi"], x["upto"] - x["n"]) for x in at.collect()}
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], held: bool = False) -> DataFrame:
     """``keys`` and one column for each of ``wanted`` (name -> column and share), equal to Spark's ``percentile``; nulls and NaN do not count.
 
     Keys of any type, null among them; a key without values has nulls. Raises ValueError beyond MAX_KEYS keys, for which ``percentile`` is the
-    better plan.
+    better plan. ``held``: the rows are persisted already, and are not held a second time.
     """
     spark = rows.sparkSession
     columns = sorted({c for c, _ in wanted.values()})
     # names of our own, whatever the input's are
     named = rows.select(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]).cast("array<string>").alias("k"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    named = named.persist(StorageLevel.MEMORY_AND_DISK)
+    if not held:
+        named = named.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good = lambda c: F.when(~F.isnan(c), F.col(c))
         stats = named.groupBy("k").agg(*[F.first(f"key{i}").alias(f"key{i}") for i in range(len(keys))], *[f(good(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
@@ -66,11 +67,12 @@ def exact_percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[
             at = {(name, k): q * (n - 1) for name, (col, q) in wanted.items() if col == c for k, n in sizes.items()}
             ranks = {k: sorted({f(p) for (_, other), p in at.items() if other == k for f in (floor, ceil)}) for k in sizes}
             bounds = {tuple(r["k"]): (r[f"lo{i}"], r[f"hi{i}"]) for r in whole if r[f"n{i}"]}
-            held = order_statistics(named.select("k", F.col(f"v{i}").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")), ranks, bounds)
+            found = order_statistics(named.select("k", F.col(f"v{i}").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")), ranks, bounds)
             for (name, k), p in at.items():
-                lo, hi = held[k][floor(p)], held[k][ceil(p)]
+                lo, hi = found[k][floor(p)], found[k][ceil(p)]
                 values[name][k] = lo if floor(p) == ceil(p) else (ceil(p) - p) * lo + (p - floor(p)) * hi
         schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], *[f"`{name}` double" for name in wanted]])
         return spark.createDataFrame([(*[r[f"key{i}"] for i in range(len(keys))], *[values[name].get(tuple(r["k"])) for name in wanted]) for r in whole], schema)
     finally:
-        named.unpersist()
+        if not held:
+            named.unpersist()
